@@ -104,11 +104,11 @@ def _(t):
     return raw.select("vault_path", F.sha2("content", 256).alias("hash"), F.length("content").cast("long").alias("size"))
 
 
-@query("s6_extract_text", "SELECT vault_path, 'text' AS kind, sha256(full_body) AS content_hash, strlen(full_body)::BIGINT AS size, length(rtrim(full_body, chr(10))) AS n FROM docs WHERE strlen(full_body) <= 20000")
+@query("s6_extract_text", "SELECT vault_path, 'text' AS kind, sha256(full_body) AS content_hash, strlen(full_body)::BIGINT AS size, length(rtrim(full_body, chr(10))) AS n FROM docs")
 def _(t):
-    """Text of all document files within the size cap."""
+    """Text of all document files."""
     raw = t.documents.select("vault_path", F.encode("full_body", "utf-8").alias("content"))
-    rows, _big = files.extract_text(raw.withColumn("size", F.length("content").cast("long")), max_bytes=20_000)
+    rows, _big = files.extract_text(raw.withColumn("size", F.length("content").cast("long")))
     return rows.select("vault_path", "kind", "content_hash", "size", F.length("text").cast("long").alias("n"))
 
 

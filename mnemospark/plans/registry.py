@@ -14,7 +14,7 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable:
     """Register ``fn(tables) -> DataFrame``; ``sql`` may use the views of ``corpus.VIEWS``."""
-    from mnemospark.plans.corpus import Tables, with_views
+    from mnemospark.plans.corpus import FOLD_SQL, Tables, tokens_sql, with_views
 
     def register(fn: Callable[[Tables], DataFrame]) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,10 @@ def query(name: str, sql: str | None = None) -> Callable:
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            SQL[name] = with_views(sql)
+            filled = sql.replace("__FOLDED__", FOLD_SQL.format("fact"))
+            for field in ("entity", "fact"):
+                filled = filled.replace(f"__{field.upper()}__", tokens_sql(field))
+            SQL[name] = with_views(filled)
         return fn
 
     return register

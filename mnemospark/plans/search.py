@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.operators import index, retrieval
+from mnemospark.operators import context, index, retrieval
 from mnemospark.operators.filters import filter_documents, first_occurrence, listing
 from mnemospark.operators.retrieval import QuerySet
 from mnemospark.schemas import DEFAULTS
@@ -99,3 +99,45 @@ def search_dual(facts: DataFrame, documents: DataFrame) -> DataFrame:
     f = first_occurrence(facts, order="rank", per=("qid",)).withColumn("corpus", F.lit("fact"))
     d = first_occurrence(documents, order="rank", per=("qid",)).withColumn("corpus", F.lit("document"))
     return f.unionByName(d, allowMissingColumns=True)
+
+
+def search_response(
+    session: str,
+    facts: DataFrame,
+    documents: DataFrame,
+    entries: DataFrame,
+    corrections: DataFrame,
+    seen_facts: DataFrame,
+    seen_docs: DataFrame,
+    cap: int = DEFAULTS.orientation_per_dimension,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks of one response: orientation facts, new facts, new documents.
+
+    Also returns the facts surfaced (one event each, for the retrieval score) and
+    the documents shown. Result lists are top-k, hence small.
+    """
+    found = facts.withColumn("session_id", F.lit(session))
+    about = context.orientation_for_entities(entries, found.filter(F.col("entity") != "").select("entity"), cap)
+    about = context.mark_volatile(about, corrections).withColumn("session_id", F.lit(session))
+    shown = about.select("session_id", "id").unionByName(seen_facts.select("session_id", "id"))
+    fresh_facts, _ = context.unseen(found, shown)
+    fresh_docs, _ = context.unseen(documents.withColumn("session_id", F.lit(session)), seen_docs)
+    new_about, _ = context.unseen(about, seen_facts)
+    shape = ["block", "type", "rank", "id", "heading", "text", "status", "score"]
+    none = F.lit(None)
+    orientation = about.select(
+        F.lit(1).alias("block"), F.lit("context").alias("type"), "rank", "id",
+        F.concat(F.lit("## "), "dimension", F.lit(" — "), "entity").alias("heading"), F.col("bullet").alias("text"),
+        "status", none.cast("double").alias("score"),
+    )
+    fact_blocks = fresh_facts.select(
+        F.lit(2).alias("block"), F.lit("fact_result").alias("type"), "rank", "id",
+        F.concat("dimension", F.lit("/"), "entity").alias("heading"), F.col("fact").alias("text"), "status", "score",
+    )
+    doc_blocks = fresh_docs.select(
+        F.lit(3).alias("block"), F.lit("result_card").alias("type"), "rank", "id",
+        F.col("title").alias("heading"), F.col("summary").alias("text"), none.cast("string").alias("status"), "score",
+    )
+    blocks = orientation.select(shape).unionByName(fact_blocks.select(shape)).unionByName(doc_blocks.select(shape))
+    surfaced = new_about.select("session_id", "id").unionByName(fresh_facts.select("session_id", "id")).distinct()
+    return blocks, surfaced, fresh_docs.select("session_id", "id").distinct()
