@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions.quality import status_of
 from mnemospark.operators.folds import number_rows, value_before
 from mnemospark.schemas import DEFAULTS, Bands
+from mnemospark.session import cut_lineage
 
 KEY = ["dimension", "entity", "tag"]
 
@@ -203,7 +204,8 @@ def apply_actions(
     )
     settled = fresh.join(closing, "target", "left_anti").select(columns)
     news = settled.unionByName(disputed.select(columns))
-    placed = explicit.select(columns).unionByName(news)
+    # Five branches below read the placed actions; they are stored once.
+    placed = cut_lineage(explicit.select(columns).unionByName(news))
 
     # 3. Existing rows: last write per target.
     writes = (F.col("action") != "retire") & ~F.coalesce("guarded", F.lit(False))
@@ -251,7 +253,8 @@ def apply_actions(
     top_id = F.coalesce(entries.agg(F.max("id")).scalar(), F.lit(0))
     inserted = number_rows(
         started.unionByName(competing), F.floor(F.col("first.doc_id") / chunk), ["first"], "id", top_id
-    ).withColumn("trust_score", F.lit(0.5))
+    )
+    inserted = cut_lineage(inserted.withColumn("trust_score", F.lit(0.5)))
 
     # 5. Source links, one per (row, document).
     touched = on_rows.filter(is_write).select(F.col("target").alias("entry_id"), "doc_id", order.alias("at"))

@@ -102,7 +102,7 @@ def volatile_entries(corrections: DataFrame, entries: DataFrame, threshold: int
 
 def uncovered_documents(docs: DataFrame, entries: DataFrame) -> DataFrame:
     """Documents that no fact names as a source."""
-    used = entries.select(F.explode("sources").try_cast("long").alias("id")).distinct()
+    used = entries.select(F.explode("sources").alias("doc")).select(F.col("doc").try_cast("long").alias("id")).distinct()
     return docs.join(used, "id", "left_anti")
 
 

@@ -30,6 +30,9 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         """Read a table; a scan of fewer files than cores is spread over the cores."""
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        for column, kind in df.dtypes:
+            if kind == "timestamp_ntz":
+                df = df.withColumn(column, F.col(column).cast("timestamp"))
         cores = self.spark.sparkContext.defaultParallelism
         return df.repartition(cores) if len(df.inputFiles()) < cores else df
 

@@ -331,7 +331,10 @@ def _(t):
     """WITH pool AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) - 1 AS idx FROM (
         SELECT c.*, e.dimension, e.entity FROM corrections c JOIN entries e ON e.id = c.entry_id WHERE reason_category = 'ai_error') x
         QUALIFY idx < 200),
-      target AS (SELECT lang AS target, list(DISTINCT entity) AS entities FROM (SELECT dimension AS lang, lower(entity) AS entity FROM entries WHERE id % 100000 = 1) y GROUP BY lang)
+      target AS (SELECT dimension AS target, list(entity) AS entities FROM (
+        SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY cnt DESC, entity) AS r FROM (
+          SELECT dimension, entity, count(*) AS cnt FROM entries WHERE (status IS NULL OR status <> 'retired') AND entity <> '' GROUP BY ALL) c) y
+        WHERE r <= 15 GROUP BY dimension)
     SELECT target, rank, id, score, line FROM (
       SELECT target, id, score, row_number() OVER (PARTITION BY target ORDER BY score DESC, idx) AS rank,
         '- For [' || entity || '] in [' || dimension || ']: The AI incorrectly extracted "' || old_fact || '".'
@@ -340,8 +343,9 @@ def _(t):
         + greatest(0::DOUBLE, 1 - idx * 0.1::DOUBLE), 9) AS score FROM pool, target) s) r WHERE rank <= 5""",
 )
 def _(t):
-    second = t.entries.filter(F.col("id") % 100000 == 1)
-    targets = second.groupBy(F.col("dimension").alias("target")).agg(F.collect_set("entity").alias("entities"))
+    """Examples for every dimension, preferring its 15 largest entities."""
+    top = context.entity_map(t.entries)
+    targets = top.groupBy(F.col("dimension").alias("target")).agg(F.collect_list("entity").alias("entities"))
     return context.few_shot(t.corrections, t.entries, targets).select("target", "rank", "id", "score", "line")
 
 
