@@ -834,8 +834,8 @@ def _(t):
 @query(
     "x6_move_chains",
     """WITH h AS (SELECT event_id, ts, user_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR AS near FROM events),
-      g AS (SELECT *, sum(CASE WHEN near THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM h)
-      SELECT coalesce('e' || arg_min(p, event_id), 'u' || user_id) AS src, 'e' || max(event_id) AS dst, count(*) AS hops FROM g GROUP BY user_id, s""",
+      g AS (SELECT *, sum(CASE WHEN near THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s, coalesce('e' || lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'u' || user_id) AS p FROM h)
+      SELECT arg_min(p, event_id) AS src, 'e' || max(event_id) AS dst, count(*) AS hops FROM g GROUP BY user_id, s""",
 )
 def _(t):
     """Each user's events as hops of one file from place to place."""
