@@ -7,18 +7,23 @@ import email
 import email.policy
 import io
 import mimetypes
+import os
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemospark.functions.paths import is_excluded, is_managed_attachment, matches_ignore
-from mnemospark.functions.text import extension, nfc, note_hash
+from mnemospark.functions.text import extension, note_hash
 from mnemospark.schemas import DEFAULTS
+from mnemospark.session import cut_lineage, literal_rows
 
 # Front-matter keys with a column of their own, and retired keys.
 KNOWN_KEYS = (
@@ -29,22 +34,99 @@ KNOWN_KEYS = (
 DEPRECATED_KEYS = ("domain",)
 
 
-def list_files(spark: SparkSession, root: str, glob: str | None = None, content: bool = True) -> DataFrame:
-    """Files under ``root`` with NFC vault-relative paths. Symlinks are not followed."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(root)
-    bare = F.regexp_replace("path", r"^[a-zA-Z0-9]+:(//[^/]*)?(?=/)", "")
-    base = re.sub(r"^[a-zA-Z0-9]+:(//[^/]*)?(?=/)", "", root).rstrip("/") + "/"
-    return files.select(
-        "path", nfc(F.substring(bare, len(base) + 1, 2**30)).alias("vault_path"), F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified"), *(["content"] if content else []),
-    )
+_LISTED = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("vault_path", T.StringType()),
+        T.StructField("is_dir", T.BooleanType()),
+        T.StructField("size", T.LongType()),
+        T.StructField("mtime", T.DoubleType()),
+    ]
+)
+
+
+def _open_root(root: str) -> tuple[fs.FileSystem, str]:
+    if re.match(r"^[a-zA-Z0-9]+:", root):
+        return fs.FileSystem.from_uri(root)
+    return fs.LocalFileSystem(), root
+
+
+def _list_folders(root: str):
+    """Entries of each folder in a batch of ``path``; symlinks are left out."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, base = _open_root(root)
+        base = base.rstrip("/") + "/"
+        local = isinstance(files, fs.LocalFileSystem)
+        for pdf in batches:
+            for folder in pdf["path"]:
+                found = files.get_file_info(fs.FileSelector(folder))
+                kept = [i for i in found if not (local and os.path.islink(i.path))]
+                yield pd.DataFrame(
+                    {
+                        "path": [i.path for i in kept],
+                        "vault_path": [unicodedata.normalize("NFC", i.path[len(base) :]) for i in kept],
+                        "is_dir": [i.type == fs.FileType.Directory for i in kept],
+                        "size": pd.array([i.size for i in kept], dtype="Int64"),
+                        "mtime": [i.mtime.timestamp() if i.mtime else None for i in kept],
+                    },
+                    columns=_LISTED.names,
+                )
+
+    return run
+
+
+def list_files(
+    spark: SparkSession, root: str, prune: Callable[[Column], Column] | None = None, max_depth: int = 100
+) -> DataFrame:
+    """``(path, vault_path, size, mtime)`` of all files under ``root``, hidden ones too.
+
+    Spark's own file sources skip names that start with a dot or an underscore, and
+    summary notes live in dot folders. Folders are listed level by level, each level
+    by one distributed job. ``prune`` drops folders before they are entered.
+    """
+    _files, base = _open_root(root)
+    frontier = literal_rows(spark, [(base.rstrip("/"),)], T.StructType([T.StructField("path", T.StringType())]))
+    levels = []
+    for _ in range(max_depth):
+        found = cut_lineage(frontier.mapInPandas(_list_folders(root), _LISTED))
+        levels.append(found.filter(~F.col("is_dir")).drop("is_dir"))
+        frontier = found.filter("is_dir")
+        if prune is not None:
+            frontier = frontier.filter(~prune(F.concat("vault_path", F.lit("/-"))))
+        if frontier.isEmpty():
+            break
+        frontier = frontier.select("path").repartition(spark.sparkContext.defaultParallelism)
+    else:
+        raise RuntimeError("folders are nested too deeply; raise max_depth")
+    return reduce(DataFrame.unionByName, levels)
+
+
+def read_contents(listing: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """Add ``content`` to listed files; also returns the files that cannot be read."""
+    schema = T.StructType(
+        [
+            *[f for f in listing.schema.fields],
+            T.StructField("content", T.BinaryType()),
+            T.StructField("reason", T.StringType()),
+        ]
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, _base = _open_root(root)
+        for pdf in batches:
+            for n in range(len(pdf)):
+                row = pdf.iloc[n : n + 1].copy()
+                try:
+                    with files.open_input_stream(row["path"].iloc[0]) as stream:
+                        content, reason = stream.read(), None
+                except OSError as problem:
+                    content, reason = None, str(problem)
+                yield row.assign(content=[content], reason=[reason])
 
-def _mtime(modified: Column) -> Column:
-    return F.unix_millis(modified) / F.lit(1000.0)
+    # Spread by path: one folder may hold most of the files.
+    read = listing.repartition(F.xxhash64("path")).mapInPandas(run, schema)
+    return read.filter(F.col("reason").isNull()).drop("reason"), read.filter(F.col("reason").isNotNull()).drop("content")
 
 
 def _yaml_scalar(text: str) -> str:
@@ -145,8 +227,11 @@ def output_extra(extra: Column) -> Column:
 
 def scan_notes(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Markdown notes of a folder tree and the notes that could not be read."""
-    files = list_files(spark, root, glob="*.[mM][dD]")
-    return parse_notes(files.filter(~is_excluded(F.col("vault_path"))))
+    path = F.col("vault_path")
+    listed = list_files(spark, root, prune=is_excluded)
+    readable, broken = read_contents(listed.filter(~is_excluded(path) & F.lower(path).endswith(".md")), root)
+    notes, rejects = parse_notes(readable)
+    return notes, rejects.unionByName(broken.select("vault_path", "reason"))
 
 
 def scan_drops(listing: DataFrame) -> DataFrame:
@@ -163,18 +248,25 @@ def scan_drops(listing: DataFrame) -> DataFrame:
     return drops.withColumn("_marker", marker).join(done, "_marker", "left_anti").drop("_marker")
 
 
-def build_manifest(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
-    """``(vault_path, hash, size, mtime)`` of every file that no pattern ignores."""
-    files = list_files(spark, root).filter(~matches_ignore(F.col("vault_path"), ignore or []))
-    return files.select("vault_path", F.sha2("content", 256).alias("hash"), "size", _mtime(F.col("modified")).alias("mtime"))
+def _unignored(spark: SparkSession, root: str, ignore: list[str]) -> DataFrame:
+    def skipped(path: Column) -> Column:
+        return matches_ignore(path, [p for p in ignore if not set(p) & set("*?[")])
+
+    return list_files(spark, root, prune=skipped).filter(~matches_ignore(F.col("vault_path"), ignore))
+
+
+def build_manifest(spark: SparkSession, root: str, ignore: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(vault_path, hash, size, mtime)`` of every file that no pattern ignores, and
+    the unreadable paths."""
+    files, unreadable = read_contents(_unignored(spark, root, ignore or []), root)
+    manifest = files.select("vault_path", F.sha2("content", 256).alias("hash"), "size", "mtime")
+    return manifest, unreadable.select("vault_path", "reason")
 
 
 def changed_since(spark: SparkSession, root: str, cache: DataFrame, ignore: list[str] | None = None) -> DataFrame:
-    """Paths whose size or time differs from the cache: listed without reading contents."""
-    files = list_files(spark, root, content=False).filter(~matches_ignore(F.col("vault_path"), ignore or []))
-    now = files.select("path", "vault_path", "size", _mtime(F.col("modified")).alias("mtime"))
+    """Files whose size or time differs from the cache: listed without reading contents."""
     same = cache.select("vault_path", "size", "mtime")
-    return now.join(same, ["vault_path", "size", "mtime"], "left_anti")
+    return _unignored(spark, root, ignore or []).join(same, ["vault_path", "size", "mtime"], "left_anti")
 
 
 # --- text extraction ----------------------------------------------------------
