@@ -30,8 +30,11 @@ def build_postings(docs: DataFrame, fields=DOCUMENT_FIELDS, stem: bool = False)
     id, so a word that occurs in every document spreads over all tasks.
     """
     words = tokenized(docs, fields, stem)
+    # `explode` would make the optimizer filter empty arrays at the scan, which
+    # tokenises every text twice; `explode_outer` with a later filter does not.
     return (
-        words.select("id", "doc_len", F.explode(F.concat(*fields)).alias("term"))
+        words.select("id", "doc_len", F.explode_outer(F.concat(*fields)).alias("term"))
+        .filter(F.col("term").isNotNull())
         .groupBy("id", "term", "doc_len")
         .agg(F.count(F.lit(1)).alias("tf"))
         .select("id", "term", "tf", "doc_len")
@@ -43,28 +46,42 @@ def build_field_postings(docs: DataFrame, fields=DOCUMENT_FIELDS, stem: bool = F
     words = tokenized(docs, fields, stem)
     tagged = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in fields])
     return (
-        words.select("id", F.inline(tagged))
-        .select("id", "field", F.posexplode("words").alias("at", "term"))
+        words.select("id", F.inline_outer(tagged))
+        .select("id", "field", F.posexplode_outer("words").alias("at", "term"))
+        .filter(F.col("term").isNotNull())
         .groupBy("id", "field", "term")
         .agg(F.sort_array(F.collect_list("at")).alias("pos"))
         .withColumn("tf", F.size("pos").cast("long"))
     )
 
 
-def match_postings(docs: DataFrame, terms: DataFrame, fields=DOCUMENT_FIELDS, stem: bool = False) -> DataFrame:
-    """Postings of the given ``terms(term)`` only, straight from a table of texts.
+def match_postings(
+    docs: DataFrame, terms: DataFrame, words: list[str] | None = None, fields=DOCUMENT_FIELDS, stem: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Postings of the given ``terms(term)`` only, and corpus statistics, from texts.
 
-    Equal to a semi join of :func:`build_postings` with ``terms``, but unasked
-    tokens are dropped before the first exchange.
+    Equal to a semi join of :func:`build_postings` with ``terms``. When the terms are
+    known as a list of ``words``, each document is cut down to its length and its
+    matching tokens before the one shuffle, by id, that postings, statistics and the
+    scores grouped by id all share.
     """
-    words = tokenized(docs, fields, stem)
-    return (
-        words.select("id", "doc_len", F.explode(F.concat(*fields)).alias("term"))
-        .join(terms.select("term"), "term", "left_semi")
-        .groupBy("id", "term", "doc_len")
-        .agg(F.count(F.lit(1)).alias("tf"))
-        .select("id", "term", "tf", "doc_len")
-    )
+    texts = tokenized(docs, fields, stem)
+    every = F.concat(*fields)
+    if words is None:
+        rows = texts.select("id", "doc_len", F.explode_outer(every).alias("term"))
+        rows = rows.join(terms.select("term"), "term", "left_semi")
+        stats = corpus_stats(texts)
+    else:
+        slim = texts.select("id", "doc_len", F.filter(every, lambda t: t.isin(*words)).alias("hits")).repartition("id")
+        rows = slim.select("id", "doc_len", F.explode_outer("hits").alias("term")).filter(F.col("term").isNotNull())
+        stats = slim.agg(
+            F.count(F.lit(1)).alias("n_docs"),
+            F.avg("doc_len").alias("avg_len"),
+            # Keeps the columns of both readers equal, so that they share the shuffle.
+            F.count_if((F.size("hits") > 0) & F.col("id").isNotNull()).alias("n_matching"),
+        )
+    postings = rows.groupBy("id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+    return postings.select("id", "term", "tf", "doc_len"), stats
 
 
 def corpus_stats(tokens_df: DataFrame) -> DataFrame:
@@ -97,5 +114,10 @@ def replace_by_id(index: DataFrame, fresh: DataFrame, changed: DataFrame) -> Dat
     return index.join(changed.select("id").distinct(), "id", "left_anti").unionByName(fresh)
 
 
+def reindex(docs: DataFrame, text: Column, make_encoder, fields=DOCUMENT_FIELDS, stem: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Both indexes of all documents from scratch: postings and vectors."""
+    return build_postings(docs, fields, stem), embed(docs, text, make_encoder)
+
+
 def embed(df: DataFrame, text: Column, make_encoder) -> DataFrame:
     return df.select("id", embed_column(text, make_encoder).alias("embedding"))

@@ -19,6 +19,7 @@ from mnemospark.session import BROADCAST_ROWS, literal_rows, small
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 SCORE_DIGITS = 9
 QUERY_BLOCK = 4096
+WORD_LIST = 1000
 
 
 # --- keyword leg ------------------------------------------------------------
@@ -58,6 +59,7 @@ class QuerySet:
     terms: DataFrame
     spec: DataFrame
     stemmer: Callable[[Column], Column] | None = None
+    words: list[str] | None = None
 
 
 def compile_queries(queries: DataFrame, stemmer: Callable[[Column], Column] | None = None) -> QuerySet:
@@ -80,7 +82,10 @@ def compile_queries(queries: DataFrame, stemmer: Callable[[Column], Column] | No
     schema = T.StructType([spec.schema["qid"], T.StructField("term", T.StringType()), T.StructField("scored", T.BooleanType())])
     terms = literal_rows(spark, [(*key, value) for key, value in scored.items()], schema)
     flat = fixed.select("qid", F.inline("units"))
-    return QuerySet(rows.num_rows, flat, F.broadcast(terms), F.broadcast(fixed), stemmer)
+    words = sorted({term for _, term in scored})
+    return QuerySet(
+        rows.num_rows, flat, F.broadcast(terms), F.broadcast(fixed), stemmer, words if len(words) <= WORD_LIST else None
+    )
 
 
 def bm25_search(
@@ -98,9 +103,11 @@ def bm25_search(
     """
     terms = queries.terms
     hits = postings.join(terms.select("term"), "term", "left_semi")
-    # Reads the same columns as the scoring branch, so both share one exchange.
-    doc_freq = hits.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("doc_len") > 0)).alias("doc_freq"))
-    corpus = stats.select(F.struct("n_docs", "avg_len")).scalar()
+    # Reads the columns of the scoring branch, so that both share one exchange.
+    doc_freq = hits.groupBy("term").agg(
+        F.count_if((F.col("tf") > 0) & (F.col("doc_len") > 0) & F.col("id").isNotNull()).alias("doc_freq")
+    )
+    corpus = stats.select(F.struct(*stats.columns)).scalar()
     n_docs, avg_len = corpus.getField("n_docs"), corpus.getField("avg_len")
     idf = F.greatest(
         F.lit(IDF_FLOOR),

@@ -84,7 +84,7 @@ class Tables:
     def entries(self) -> DataFrame:
         """Every non-blank line of every document as one fact."""
         lines = self.raw("documents").select(
-            "doc_id", "lang", "source", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")
+            "doc_id", "lang", "source", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line")
         )
         fact = F.trim("line")
         n = F.length("fact")

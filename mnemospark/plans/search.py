@@ -28,12 +28,8 @@ class Corpus:
 def adhoc_corpus(rows: DataFrame, queries: QuerySet, fields, vectors: DataFrame | None = None) -> Corpus:
     """Corpus over unindexed texts that keeps only the postings of the asked terms."""
     stem = queries.stemmer is not None
-    return Corpus(
-        rows,
-        index.match_postings(rows, queries.terms, fields, stem),
-        index.corpus_stats(index.tokenized(rows, fields)),
-        vectors,
-    )
+    postings, stats = index.match_postings(rows, queries.terms, queries.words, fields, stem)
+    return Corpus(rows, postings, stats, vectors)
 
 
 def _legs(corpus: Corpus, queries: QuerySet, query_vectors: DataFrame | None, k: int, candidates=None):
