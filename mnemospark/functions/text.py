@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -104,7 +103,6 @@ def _longest(word: str, suffixes) -> str | None:
     return max(found, key=len) if found else None
 
 
-@lru_cache(maxsize=1 << 18)
 def porter(word: str) -> str:
     """Porter stem of one lower-case ASCII word; other words come back unchanged."""
     if len(word) < 3 or not (word.isascii() and word.isalpha()):
@@ -149,11 +147,24 @@ def porter(word: str) -> str:
     return word
 
 
+STEM_CACHE = 500_000
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Stem whole token arrays; the per-worker cache makes repeated words a look-up."""
-    for tokens_ in batches:
-        yield tokens_.map(lambda words: [porter(w) for w in words], na_action="ignore")
+    """Stem whole token arrays; a cache per task makes repeated words a look-up."""
+    known: dict[str, str] = {}
+
+    def stem(word: str) -> str:
+        found = known.get(word)
+        if found is None:
+            if len(known) >= STEM_CACHE:
+                known.clear()
+            found = known[word] = porter(word)
+        return found
+
+    for arrays in batches:
+        yield arrays.map(lambda words: [stem(w) for w in words], na_action="ignore")
 
 
 # --- links ------------------------------------------------------------------

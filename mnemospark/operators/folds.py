@@ -49,26 +49,48 @@ def apply_step(trust: Column, step: Column) -> Column:
     return F.round(F.least(step["hi"], F.greatest(step["lo"], trust + step["add"])), 9)
 
 
-def compose_steps(steps: DataFrame, key: str, order: list[str], bucket: str = "10 minutes") -> DataFrame:
-    """Composition of the ``step`` column per key, in ``order`` (first column a time)."""
-    slot = F.window(order[0], bucket).getField("start")
-    item = F.struct(*order, "step")
-
-    def fold(sorted_items: Column) -> Column:
-        return F.aggregate(sorted_items, _identity(), lambda acc, x: _then(acc, x["step"]))
-
-    per_slot = (
-        steps.groupBy(key, slot.alias("slot"))
-        .agg(F.sort_array(F.collect_list(item)).alias("items"))
-        .select(key, "slot", fold(F.col("items")).alias("step"))
-    )
-    return (
-        per_slot.groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("slot", "step"))).alias("items"))
-        .select(key, fold(F.col("items")).alias("step"))
+CHUNK = 1000
+
+
+def positions(rows: DataFrame, key: str, order: list[str], bucket: str = "1 hour") -> DataFrame:
+    """Add ``pos``, the 0-based place of each row in its key's ``order`` (a time first).
+
+    Rows are ranked inside (key, time slot) and shifted by the sizes of the key's
+    earlier slots.
+    """
+    rows = rows.withColumn("_slot", F.window(order[0], bucket).getField("start"))
+    sizes = rows.groupBy(key, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(key, "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(key, "_slot").orderBy(*order)
+    ranked = rows.withColumn("_rn", F.row_number().over(inside) - 1).join(offsets, [key, "_slot"])
+    return ranked.withColumn("pos", F.col("_offset") + F.col("_rn")).drop("_slot", "_rn", "_offset")
+
+
+def _fold(items: Column) -> Column:
+    return F.aggregate(items, _identity(), lambda acc, x: _then(acc, x["step"]))
+
+
+def _gather(placed: DataFrame, key: str, size: int | None) -> DataFrame:
+    """Steps in arrays of at most ``size`` consecutive ones (all of a key for None)."""
+    piece = F.lit(0) if size is None else F.floor(F.col("pos") / size)
+    return placed.groupBy(key, piece.cast("long").alias("piece")).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "step"))).alias("items")
     )
 
 
+def compose_steps(steps: DataFrame, key: str, order: list[str], bucket: str = "1 hour", chunk: int = CHUNK) -> DataFrame:
+    """Composition of the ``step`` column per key, in ``order`` (first column a time).
+
+    Steps are folded in pieces of ``chunk``, the pieces in pieces again, and then one
+    array per key: a key with 10^9 steps ends in an array of 1000.
+    """
+    level = positions(steps, key, order, bucket).select(key, "pos", "step")
+    for size in (chunk, chunk, None):
+        level = _gather(level, key, size).select(key, F.col("piece").alias("pos"), _fold(F.col("items")).alias("step"))
+    return level.select(key, "step")
+
+
 TRUST_OPERATIONS = ("confirm", "reject", "revise")
 
 
@@ -146,45 +168,40 @@ def value_before(log: DataFrame, key: str, order: list[str], values: list[str],
     return out.drop("_slot")
 
 
-def steps_before(steps: DataFrame, key: str, order: list[str], bucket: str = "1 hour") -> DataFrame:
-    """``(key, *order, before)``: composition of the key's steps ahead of each row."""
-
-    def scan(items: Column, label: list[str]) -> Column:
-        start = F.struct(_identity().alias("now"), F.array().cast(
-            "array<struct<" + ",".join(f"{n}:{t}" for n, t in label) + ",before:struct<add:double,lo:double,hi:double>>>"
-        ).alias("out"))
-        return F.aggregate(
-            items,
-            start,
-            lambda acc, x: F.struct(
-                _then(acc["now"], x["step"]).alias("now"),
-                F.concat(
-                    acc["out"], F.array(F.struct(*[x[n].alias(n) for n, _ in label], acc["now"].alias("before")))
-                ).alias("out"),
-            ),
-        )
-
-    types = dict(steps.dtypes)
-    rows = [(n, types[n]) for n in order]
-    slot = F.window(order[0], bucket).getField("start")
-    scanned = (
-        steps.groupBy(key, slot.alias("slot"))
-        .agg(F.sort_array(F.collect_list(F.struct(*order, "step"))).alias("items"))
-        .select(key, "slot", scan(F.col("items"), rows).alias("r"))
-    )
-    slots = (
-        scanned.select(key, "slot", F.col("r.now").alias("step"))
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("slot", "step"))).alias("items"))
-        .select(key, F.inline(scan(F.col("items"), [("slot", "timestamp")])["out"]))
-        .withColumnRenamed("before", "slot_before")
-    )
-    inner = scanned.select(key, "slot", F.inline("r.out"))
-    return inner.join(slots, [key, "slot"]).select(
-        key, *order, _then(F.col("slot_before"), F.col("before")).alias("before")
+def _scan(items: Column) -> Column:
+    """``struct<now, out>``: the fold of an array and, per element, the fold before it."""
+    step = "struct<add:double,lo:double,hi:double>"
+    none = F.array().cast(f"array<struct<pos:bigint,before:{step}>>")
+    return F.aggregate(
+        items,
+        F.struct(_identity().alias("now"), none.alias("out")),
+        lambda acc, x: F.struct(
+            _then(acc["now"], x["step"]).alias("now"),
+            F.concat(acc["out"], F.array(F.struct(x["pos"].alias("pos"), acc["now"].alias("before")))).alias("out"),
+        ),
     )
 
 
+def steps_before(steps: DataFrame, key: str, order: list[str], bucket: str = "1 hour", chunk: int = CHUNK) -> DataFrame:
+    """``(key, *order, before)``: composition of the key's steps ahead of each row.
+
+    Pieces of ``chunk`` steps are scanned on their own; scans over the pieces, and
+    over pieces of pieces, give what came before each.
+    """
+    placed = positions(steps, key, order, bucket)
+    level, scans = placed.select(key, "pos", "step"), []
+    for size in (chunk, chunk, None):
+        scanned = _gather(level, key, size).withColumn("r", _scan(F.col("items"))).select(key, "piece", "r")
+        scans.append(scanned.select(key, "piece", F.inline("r.out")))
+        level = scanned.select(key, F.col("piece").alias("pos"), F.col("r.now").alias("step"))
+    rows, pieces, groups = scans
+    pieces = pieces.select(key, F.col("pos").alias("piece"), F.col("piece").alias("group"), F.col("before").alias("b1"))
+    groups = groups.select(key, F.col("pos").alias("group"), F.col("before").alias("b2"))
+    full = rows.join(pieces, [key, "piece"]).join(groups, [key, "group"])
+    before = full.select(key, "pos", _then(F.col("b2"), _then(F.col("b1"), F.col("before"))).alias("before"))
+    return placed.select(key, "pos", *order).join(before, [key, "pos"]).select(key, *order, "before")
+
+
 def number_rows(df: DataFrame, chunk: Column, order: list, name: str, start: Column | int = 0) -> DataFrame:
     """Consecutive numbers in a total order without sorting everything in one task.
 

@@ -7,7 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.operators.folds import apply_step, clamp_step, compose_steps, number_rows, steps_before, value_before
+from mnemospark.operators.folds import (
+    CHUNK,
+    apply_step,
+    clamp_step,
+    compose_steps,
+    number_rows,
+    steps_before,
+    value_before,
+)
 from mnemospark.schemas import DEFAULTS, TrustRules
 
 OPERATIONS = (
@@ -30,6 +38,7 @@ def apply_corrections(
     requests: DataFrame,
     rules: TrustRules = DEFAULTS.trust,
     bucket: str = "1 hour",
+    chunk: int = CHUNK,
 ) -> AppliedCorrections:
     """Apply ``requests(id, entry_id, operation, value, reason, reason_category, feedback, created_at)``.
 
@@ -74,7 +83,7 @@ def apply_corrections(
 
     sets = ["set_fact", "set_tag", "set_entity", "set_status", "set_reason"]
     final = ops.groupBy("entry_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in sets])
-    total = compose_steps(ops.select("entry_id", *order, "step"), "entry_id", order, bucket)
+    total = compose_steps(ops.select("entry_id", *order, "step"), "entry_id", order, bucket, chunk)
     state = final.join(total, "entry_id").withColumnRenamed("entry_id", "id")
     joined = entries.join(state, "id", "left")
     values = {c: F.coalesce(f"set_{c}", c) for c in ("fact", "tag", "entity", "status")}
@@ -87,7 +96,7 @@ def apply_corrections(
     # What each operation saw: fields from the entry or its last earlier edit.
     slot = F.window("created_at", bucket).getField("start")
     seen = value_before(ops, "entry_id", order, ["set_fact", "set_tag", "set_entity"], slot)
-    before = steps_before(ops.select("entry_id", *order, "step"), "entry_id", order, bucket)
+    before = steps_before(ops.select("entry_id", *order, "step"), "entry_id", order, bucket, chunk)
     base = entries.select(
         F.col("id").alias("entry_id"), "dimension", F.col("entity").alias("e_entity"), F.col("tag").alias("e_tag"),
         F.col("fact").alias("e_fact"), "confidence", "sources", F.coalesce("trust_score", F.lit(0.5)).alias("e_trust"),

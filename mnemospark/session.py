@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+# Python functions travel to the workers with their code, so that executors need no
+# copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules["mnemospark"])
+
 BROADCAST_ROWS = 100_000
 
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed join side even where that costs one more exchange.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -34,26 +40,8 @@ def build_session(app: str = "mnemospark", master: str | None = None, **conf: st
     return prepare(builder.getOrCreate())
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="spark-pkg-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for source in root.rglob("*.py"):
-            z.write(source, source.relative_to(root.parent))
-    sc.addPyFile(str(archive))
-    _shipped.add(sc.applicationId)
-
-
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every operator relies on to an existing session."""
-    ship_package(spark)
     for key, value in _SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)

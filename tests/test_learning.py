@@ -66,6 +66,22 @@ def test_decay_matches_a_sequential_run(make):
     assert {r["id"]: r["retrieval_score"] for r in out.collect()} == pytest.approx(want, abs=1e-6)
 
 
+def test_hot_key_is_folded_in_pieces(make):
+    # One entry in one time slot: 500 steps in pieces of 7.
+    rnd = random.Random(1)
+    rows = [(k, 1, rnd.choice(["confirm", "reject", "revise"]), T0 + dt.timedelta(seconds=k)) for k in range(500)]
+    steps = log(make, rows).select("entry_id", "created_at", "id", folds.clamp_step(F.col("operation")).alias("step"))
+    order = ["created_at", "id"]
+    trust, before = 0.5, {}
+    for k, _, op, _ in rows:
+        before[k] = trust
+        trust = {"confirm": min(1.0, trust + 0.05), "reject": max(0.0, trust - 0.1), "revise": 0.6}[op]
+    total = folds.compose_steps(steps, "entry_id", order, chunk=7).select(folds.apply_step(F.lit(0.5), F.col("step")).alias("t"))
+    assert [r["t"] for r in total.collect()] == pytest.approx([trust], abs=1e-8)
+    seen = folds.steps_before(steps, "entry_id", order, chunk=7).select("id", folds.apply_step(F.lit(0.5), F.col("before")).alias("t"))
+    assert {r["id"]: r["t"] for r in seen.collect()} == pytest.approx(before, abs=1e-8)
+
+
 def test_number_rows(make):
     df = make("seq long", [(i * 3,) for i in range(50)]).repartition(7)
     got = folds.number_rows(df, F.floor(F.col("seq") / 10), ["seq"], "n", 100).orderBy("seq").collect()
@@ -110,12 +126,13 @@ def sequential(entries, requests):
     return rows, logs, spawned
 
 
-def test_corrections_match_a_sequential_run(make):
+@pytest.mark.parametrize("chunk", [3, 1000])
+def test_corrections_match_a_sequential_run(make, chunk):
     rnd = random.Random(9)
     entries = [entry(i, rnd.random()) for i in range(1, 6)]
     ops = [*learning.OPERATIONS, "zap"]
     requests = [request(k, rnd.choice([1, 1, 1, 1, 2, 3, 4, 5, 99]), rnd.choice(ops), rnd.choice(["", f"v{k}", f"w{k}"]), rnd.choice([None, f"r{k}"]), rnd.randint(0, 600)) for k in range(300)]
-    out = learning.apply_corrections(make(ENTRY, entries), make(REQ, requests))
+    out = learning.apply_corrections(make(ENTRY, entries), make(REQ, requests), chunk=chunk)
     rows, logs, spawned = sequential(entries, requests)
     for r in out.entries.collect():
         want = rows[r["id"]]
