@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.functions.paths import is_batch_folder, location_context, parent
+from mnemospark.functions.quality import describable
 from mnemospark.functions.text import chat_path, derive_title, derive_topics, path_stem
 from mnemospark.operators.facts import prune_sources
 from mnemospark.operators.filters import latest_batches
@@ -263,3 +264,29 @@ def corrections_audit(log: DataFrame, correlation_id: Column, now: str | None =
     ids = F.array(F.col("entry_id").cast("string"))
     return audit_rows(log, "correct", "apply", "APPLIED", F.col("operation"), ids, correlation_id, now)
 
+
+
+def describe_audit(files: DataFrame, correlation_id: Column, now: str | None = None) -> DataFrame:
+    """DESCRIBED or SKIPPED per file ``(id, mime_type, file_size_bytes)`` of the describable gate."""
+    gate = describable(F.col("mime_type"), F.col("file_size_bytes"))
+    outcome = F.when(gate == "ok", "DESCRIBED").otherwise("SKIPPED")
+    return audit_rows(files, "capture", "describe", outcome, "describe", F.array(F.col("id").cast("string")), correlation_id, now, gate)
+
+
+def failure_audit(rejects: DataFrame, correlation_id: Column, now: str | None = None) -> DataFrame:
+    """FAILED per rejected file ``(vault_path, reason)``."""
+    return audit_rows(rejects, "capture", "store", "FAILED", "reject", F.array("vault_path"), correlation_id, now, F.col("reason"))
+
+
+def parked_audit(before: DataFrame, after: DataFrame, correlation_id: Column, now: str | None = None) -> DataFrame:
+    """One ``parked`` row per document that became ``needs-review``."""
+    old = before.filter(F.col("status") == "needs-review").select("id")
+    parked = after.filter(F.col("status") == "needs-review").join(old, "id", "left_anti")
+    reason = F.coalesce("classify_last_error", F.lit(""))
+    return audit_rows(parked, "classify", "park", "parked", "park", F.array(F.col("id").cast("string")), correlation_id, now, reason)
+
+
+def report_audit(reports: DataFrame, correlation_id: Column, now: str | None = None) -> DataFrame:
+    """GENERATED per stored report ``(id, report_type, title)``."""
+    decision = F.concat(F.lit("report:"), "report_type")
+    return audit_rows(reports, "reports", "synthesize", "GENERATED", decision, F.array(F.col("id").cast("string")), correlation_id, now, F.col("title"))

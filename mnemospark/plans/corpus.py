@@ -36,6 +36,16 @@ class Tables:
         cores = self.spark.sparkContext.defaultParallelism
         return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
+    def stream(self, name: str) -> DataFrame:
+        """A table's file as a stream."""
+        schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
+        source = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+        rows = source.parquet(self.folder)
+        for column, kind in rows.dtypes:
+            if kind == "timestamp_ntz":
+                rows = rows.withColumn(column, F.col(column).cast("timestamp"))
+        return rows
+
     @cached_property
     def documents(self) -> DataFrame:
         d = self.raw("documents")

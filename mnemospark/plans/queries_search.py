@@ -180,6 +180,19 @@ def _(t):
     return fused.select("id", "score", "kw_rank", "vec_rank", "rank")
 
 
+@query(
+    "u3_candidate_ids",
+    "SELECT coalesce(k.id, v.id) AS id, k.id IS NOT NULL AS by_keyword, v.id IS NOT NULL AS by_vector FROM kw k FULL JOIN vec v ON k.id = v.id",
+)
+def _(t):
+    """Union of both rankings' ids, before any cut of the fused list."""
+    q = compile_queries(_asked(t, QUERY_TEXT))
+    c = search.adhoc_corpus(t.documents, q, index.DOCUMENT_FIELDS)
+    keyword = retrieval.bm25_search(c.postings, c.stats, q, 20)
+    fused = retrieval.rrf(keyword, retrieval.knn(t.vectors, _vector_query(t), 20), 40, missing=21)
+    return fused.select("id", F.col("kw_rank").isNotNull().alias("by_keyword"), F.col("vec_rank").isNotNull().alias("by_vector"))
+
+
 _FACT_FUSED = f"""
     fb AS (SELECT id, round(sum({_WEIGHT}), 9) AS score
       FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM fact_postings WHERE term IN ('tion', 'ing')) p, fact_stats

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from mnemospark.operators import facts, folds, learning, reconcile, reports, state
 from mnemospark.plans.queries_rows import stamp, stamp_sql
 from mnemospark.plans.registry import query
+from mnemospark.session import scratch_folder
+from mnemospark.sources import tables
 from mnemospark.streaming import events as ev
+from mnemospark.streaming import jobs
 
 NOW = "2024-03-01 00:00:00"
 
@@ -740,10 +743,10 @@ def _(t):
 # --- file events (static twins of the streams) ---------------------------------------
 
 
-def _file_events(t):
+def _file_events(t, events=None):
     """User events as file events; the hash is the user's, so copies collide."""
     kind = F.col("event_type")
-    return t.events.select(
+    return (t.events if events is None else events).select(
         "event_id", "ts",
         F.when(kind == "view", "modify").when(kind == "click", "create").when(kind == "error", "delete").when(kind == "purchase", "move").otherwise("create").alias("kind"),
         F.concat(F.when(kind == "signup", "tmp/").otherwise("n/"), F.col("user_id").cast("string"), F.lit(".md")).alias("path"),
@@ -885,3 +888,61 @@ def _(t):
     days = t.events.agg(F.sequence(F.date_trunc("day", F.min("ts")), F.date_trunc("day", F.max("ts")), F.expr("INTERVAL 1 DAY")).alias("d"))
     return days.select(F.explode("d").alias("d")).select(F.date_format("d", "yyyy-MM-dd").alias("day"))
 
+
+
+@query(
+    "r16_describe_audit",
+    """SELECT CASE WHEN mime_type LIKE 'image/%' AND file_size_bytes <= 10485760 THEN 'DESCRIBED' ELSE 'SKIPPED' END AS outcome, count(*) AS cnt FROM docs GROUP BY ALL""",
+)
+def _(t):
+    rows = state.describe_audit(t.documents, F.lit("run-1"), NOW)
+    return rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+# --- the same operators on streams over the given files --------------------------------
+
+
+@query("x2_rewrite_ignored_stream", f"""WITH {_FILE_EVENTS} SELECT event_id, CASE WHEN kind = 'move' AND starts_with(new_path, 'tmp/') THEN 'delete' ELSE kind END AS kind, path FROM fe WHERE NOT starts_with(path, 'tmp/')""")
+def _(t):
+    out = ev.rewrite_ignored(_file_events(t, t.stream("events")), ["tmp"]).select("event_id", "kind", "path")
+    return jobs.run_available(out, scratch_folder(t.spark))
+
+
+@query("x12_first_shown_stream", "SELECT DISTINCT event_type AS session_id, user_id AS id FROM events")
+def _(t):
+    shown = t.stream("events").select(F.col("event_type").alias("session_id"), F.col("user_id").alias("id"), "ts")
+    return jobs.run_available(ev.first_shown(shown, delay="400 days"), scratch_folder(t.spark)).select("session_id", "id")
+
+
+@query(
+    "x10_ingest_stream",
+    """WITH u AS (SELECT 'chat/c' || conv_id || '.md' AS vault_path, arg_max(sha256(text), turn) AS h FROM conversations GROUP BY conv_id)
+      SELECT vault_path, content_hash FROM docs UNION ALL SELECT vault_path, h FROM u""",
+)
+def _(t):
+    """Conversation turns ingested as a stream into a catalog snapshot."""
+    folder = scratch_folder(t.spark)
+    tables.write_snapshot(t.documents, f"{folder}/catalog", 0)
+    turns = t.stream("conversations").select(
+        F.concat(F.lit("chat/c"), F.col("conv_id").cast("string"), F.lit(".md")).alias("vault_path"), F.col("text").alias("full_body"),
+        F.sha2("text", 256).alias("content_hash"), F.col("turn").alias("seq"), F.timestamp_seconds(F.col("turn")).alias("ts"),
+    )
+    jobs.ingest_stream(turns, f"{folder}/catalog", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    done = tables.latest_version(t.spark, f"{folder}/catalog")
+    return tables.read_snapshot(t.spark, f"{folder}/catalog", done).select("vault_path", "content_hash")
+
+
+@query(
+    "x11_work_stream",
+    "SELECT d.doc_id AS id FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE quality IS NULL OR quality = 0",
+)
+def _(t):
+    """Unclassified documents of a stream, against the labels as static work state."""
+    lab = t.raw("labels").select("doc_id", "quality")
+    rows = t.stream("documents").join(lab, "doc_id", "left")
+    docs = rows.select(
+        F.col("doc_id").alias("id"), F.sha2("text", 256).alias("content_hash"), F.lit(None).cast("string").alias("status"),
+        F.when(F.col("quality") == 1, F.sha2("text", 256)).when(F.col("quality") == 0, "stale").alias("classify_content_hash"),
+        F.timestamp_seconds(F.col("n_chars")).alias("updated_at"),
+    )
+    return jobs.run_available(jobs.work_stream(docs, "1 day"), scratch_folder(t.spark)).select("id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -74,6 +75,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint directory."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/run-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on reliable storage so lost executors do not replay a loop."""
     ensure_checkpoint_dir(df.sparkSession)

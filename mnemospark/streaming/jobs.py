@@ -190,11 +190,13 @@ def _step_once(spark: SparkSession, path: str, batch_id: int) -> bool:
 def ingest_stream(texts: DataFrame, catalog_path: str, checkpoint: str, delay: str = "1 hour") -> DataStreamWriter:
     """Upsert ``texts(vault_path, full_body, content_hash, seq, ts, ...)`` into a catalog snapshot.
 
-    The same (path, hash) counts once within ``delay``. Each micro-batch writes the
+    A delivery repeated within ``delay`` (same path, hash and ``seq``) counts once; a
+    file that returns to earlier content is a change. Each micro-batch writes the
     state version of its own number; a replayed batch finds it and does nothing.
     Version 0 is the catalog before the stream.
     """
-    once = texts.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["vault_path", "content_hash"]).drop("ts")
+    key = ["vault_path", "content_hash", "seq"]
+    once = texts.withWatermark("ts", delay).dropDuplicatesWithinWatermark(key).drop("ts")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -206,7 +208,10 @@ def ingest_stream(texts: DataFrame, catalog_path: str, checkpoint: str, delay: s
 
 
 def file_stream(spark: SparkSession, root: str) -> DataFrame:
-    """New files of a folder as a stream of ``path, modificationTime, length, content``."""
+    """New files of a folder as a stream of ``path, modificationTime, length, content``.
+
+    Names that start with a dot or underscore are hidden from this source.
+    """
     schema = "path string, modificationTime timestamp, length long, content binary"
     return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(root)
 
@@ -263,6 +268,13 @@ def chain_stream(
     return moves.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
 
 
+def run_available(stream: DataFrame, folder: str) -> DataFrame:
+    """Drain what a stream has now into ``folder`` and read the result."""
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log")
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def sweep_rows(spark: SparkSession, start: str, end: str, every: str = "1 day") -> DataFrame:
     """Decay sweep times between two timestamps, for the retrieval score log."""
     days = F.sequence(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"), F.expr(f"INTERVAL {every}"))

@@ -165,6 +165,25 @@ def test_search_documents(make, corpus):
     assert end_to_end(make, corpus, "vacation", location="nowhere") == []
 
 
+def test_pluggable_scorer(make, corpus):
+    def shortest_first():
+        return lambda pairs: [1.0 / (1 + len(snippet)) for _query, snippet in pairs]
+
+    docs = corpus.selectExpr("*", "'p' vault_path", "'p' project", "'n' note_type", "current_timestamp() updated_at", "array('a') key_topics")
+    fused = make("qid int, id long, score double, rank int, snippet string", [(0, 1, 0.1, 1, "long text"), (0, 2, 0.1, 2, "x"), (0, 77, 0.1, 3, "")])
+    rows = retrieval.rerank(fused, docs, queries(make, "q"), 3, k=5, scorer=retrieval.model_scorer(shortest_first))
+    assert [(r["id"], r["rank"]) for r in rows.orderBy("rank").collect()] == [(2, 1), (1, 2)]
+
+
+def test_reindex_covers_both_indexes(make, corpus):
+    from pyspark.sql import functions as F
+
+    postings, vectors = index.reindex(corpus, F.col("full_body"), hashing_embedder)
+    assert postings.select("id").distinct().count() == vectors.count() == 5
+    assert {r["term"] for r in postings.filter("id = 3").collect()} >= {"vacat", "polici"}
+    assert all(abs(np.linalg.norm(r["embedding"]) - 1) < 1e-5 for r in vectors.collect())
+
+
 def test_keyword_leg_alone(make, corpus):
     asked = queries(make, "budget")
     q = compile_queries(asked)

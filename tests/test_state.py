@@ -107,6 +107,21 @@ def test_outcomes(make):
     assert {r["outcome"] for r in audit.collect()} == {"classify", "needs-retry"}
 
 
+def test_audit_rows_of_transitions(make):
+    c, ids = F.lit("c"), lambda df: {(r["outcome"], tuple(r["source_ids"])) for r in df.collect()}
+    before, after = make(DOC, [doc(1, "a", status="needs-review"), doc(2, "b")]), make(DOC, [doc(1, "a", status="needs-review"), doc(2, "b", status="needs-review")])
+    assert ids(state.parked_audit(before, after, c)) == {("parked", ("2",))}
+    files = make("id long, mime_type string, file_size_bytes long", [(1, "image/png", 5), (2, "text/plain", 5)])
+    assert ids(state.describe_audit(files, c)) == {("DESCRIBED", ("1",)), ("SKIPPED", ("2",))}
+    assert ids(state.failure_audit(make("vault_path string, reason string", [("p", "too big")]), c)) == {("FAILED", ("p",))}
+    assert ids(state.report_audit(make("id long, report_type string, title string", [(7, "x", "t")]), c)) == {("GENERATED", ("7",))}
+    assert ids(state.corrections_audit(make("entry_id long, operation string", [(3, "reject")]), c)) == {("APPLIED", ("3",))}
+    kept = state.capture_audit(state.upsert_uploads(make(DOC, [doc(1, "a.md")]), make(UP, [up("a.md", "h1"), up("b.md", "h")]), now=NOW), c)
+    assert ids(kept) == {("CAPTURED", ("2",))}
+    good, _ = tables.check_audit(kept)
+    assert good.count() == 1
+
+
 def test_comments_need_their_entry(make):
     c = make("id long, entry_id long, comment_text string, created_at timestamp", [])
     r = make("id long, entry_id long, comment_text string, created_at timestamp", [(1, 1, "x", OLD), (2, 5, "y", OLD)])

@@ -157,9 +157,21 @@ def test_ingest_stream(feed, make, spark, tmp_path):
     stream = feed(up, [("a.md", "new", "h2", 1, at(1)), ("b.md", "b", "h3", 2, at(2))], [("b.md", "b", "h3", 3, at(3)), ("a.md", "newer", "h4", 4, at(4))])
     jobs.ingest_stream(stream, catalog, str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     docs = tables.read_snapshot(spark, catalog, tables.latest_version(spark, catalog))
+    assert {("a.md", "newer"), ("b.md", "b")} == {(r["vault_path"], r["full_body"]) for r in docs.collect()}
     assert {(r["id"], r["vault_path"], r["full_body"]) for r in docs.collect()} == {(1, "a.md", "newer"), (2, "b.md", "b")}
 
 
+def test_ingest_keeps_a_return_to_earlier_content(feed, make, spark, tmp_path):
+    catalog = str(tmp_path / "catalog")
+    tables.write_snapshot(make(DOC, [(1, "a.md", "T", "s", "h1", "old", at(0), at(0))]), catalog, 0)
+    up = "vault_path string, full_body string, content_hash string, seq long, ts timestamp"
+    change, back = ("a.md", "new", "h2", 1, at(1)), ("a.md", "old", "h1", 2, at(2))
+    stream = feed(up, [change], [back, change], [back])
+    jobs.ingest_stream(stream, catalog, str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    docs = tables.read_snapshot(spark, catalog, tables.latest_version(spark, catalog))
+    assert [(r["id"], r["content_hash"]) for r in docs.collect()] == [(1, "h1")]
+
+
 def test_upload_stream_reads_files(spark, tmp_path):
     root = tmp_path / "vault"
     root.mkdir()
