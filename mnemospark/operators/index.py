@@ -72,7 +72,7 @@ def match_postings(
         rows = rows.join(terms.select("term"), "term", "left_semi")
         stats = corpus_stats(texts)
     else:
-        slim = texts.select("id", "doc_len", F.filter(every, lambda t: t.isin(*words)).alias("hits")).repartition("id")
+        slim = texts.select("id", "doc_len", F.filter(every, lambda t: t.isin(words)).alias("hits")).repartition("id")
         rows = slim.select("id", "doc_len", F.explode_outer("hits").alias("term")).filter(F.col("term").isNotNull())
         stats = slim.agg(
             F.count(F.lit(1)).alias("n_docs"),

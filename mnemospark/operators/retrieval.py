@@ -52,7 +52,8 @@ def query_terms(units: DataFrame) -> DataFrame:
 
 @dataclass
 class QuerySet:
-    """Parsed queries: ``units``, distinct ``terms`` and one ``spec`` row per query."""
+    """``n`` parsed queries: ``units``, distinct ``terms`` and one ``spec`` row per query
+    that has terms. ``words`` lists the terms when they are few."""
 
     n: int
     units: DataFrame
@@ -84,7 +85,7 @@ def compile_queries(queries: DataFrame, stemmer: Callable[[Column], Column] | No
     flat = fixed.select("qid", F.inline("units"))
     words = sorted({term for _, term in scored})
     return QuerySet(
-        rows.num_rows, flat, F.broadcast(terms), F.broadcast(fixed), stemmer, words if len(words) <= WORD_LIST else None
+        queries.count(), flat, F.broadcast(terms), F.broadcast(fixed), stemmer, words if len(words) <= WORD_LIST else None
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.operators import context, index, retrieval
-from mnemospark.operators.filters import filter_documents, first_occurrence, listing
+from mnemospark.operators.filters import filter_documents, first_occurrence, listing, top_per_group
 from mnemospark.operators.retrieval import QuerySet
 from mnemospark.schemas import DEFAULTS
 from mnemospark.session import pin
@@ -57,6 +57,15 @@ def search_documents(
     keyword leg stands alone.
     """
     docs = filter_documents(corpus.rows, **filters)
+    is_blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    blank = queries.filter(is_blank)
+    if not blank.isEmpty():
+        listed = _listed_cards(docs, blank, k)
+        rest = queries.filter(~is_blank)
+        if rest.isEmpty():
+            return listed
+        found = search_documents(corpus, rest, query_vectors, k, max_candidates, scorer, compiled, **filters)
+        return found.unionByName(listed, allowMissingColumns=True)
     candidates = docs.select("id") if any(v is not None for v in filters.values()) else None
     asked = retrieval.compile_queries(queries) if compiled is None else compiled
     bound = max(asked.n, 1) * max_candidates
@@ -66,6 +75,16 @@ def search_documents(
     return retrieval.rerank(shown, corpus.rows, queries, bound, k, scorer)
 
 
+def _listed_cards(docs: DataFrame, blank: DataFrame, k: int) -> DataFrame:
+    """The k newest documents as unscored cards of every blank query."""
+    columns = ["id", "vault_path", "summary", "title", "project", "note_type", "updated_at", "key_topics"]
+    newest = top_per_group(
+        listing(docs, k).select(*columns, F.lit(0).alias("_all")), ["_all"], [F.col("updated_at").desc_nulls_last(), F.col("id")], k
+    )
+    cards = newest.agg(F.sort_array(F.collect_list(F.struct("rank", *columns)))).scalar()
+    return blank.select("qid", F.inline(cards)).withColumn("snippet", F.lit("")).withColumn("score", F.lit(None).cast("double"))
+
+
 def list_documents(docs: DataFrame, k: int = DEFAULTS.search_results, **filters) -> DataFrame:
     """The blank-query form of :func:`search_documents`."""
     return listing(filter_documents(docs, **filters), k)

@@ -165,6 +165,17 @@ def test_search_documents(make, corpus):
     assert end_to_end(make, corpus, "vacation", location="nowhere") == []
 
 
+def test_blank_query_lists_newest(make, corpus):
+    docs = corpus.selectExpr("*", "concat('d/', id) vault_path", "'p' project", "'n' note_type", "timestamp_seconds(id) updated_at", "array('a') key_topics")
+    for texts, asked_rows in ((["  "], {0: [5, 4, 3]}), (["", "budget", "!!!"], {0: [5, 4, 3], 1: [2, 4]})):
+        asked = queries(make, *texts)
+        q = compile_queries(asked)
+        rows = search.search_documents(search.adhoc_corpus(docs, q, ("full_body",)), asked, k=3, compiled=q).collect()
+        got = {n: [r["id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["qid"] == n] for n in {r["qid"] for r in rows}}
+        assert got == asked_rows
+    assert [r["id"] for r in search.list_documents(docs, 2).collect()] == [5, 4]
+
+
 def test_pluggable_scorer(make, corpus):
     def shortest_first():
         return lambda pairs: [1.0 / (1 + len(snippet)) for _query, snippet in pairs]
