@@ -50,6 +50,8 @@ def apply_step(trust: Column, step: Column) -> Column:
 
 
 CHUNK = 1000
+# A scan copies its output array per element, so its pieces are shorter.
+SCAN_CHUNK = 200
 
 
 def positions(rows: DataFrame, key: str, order: list[str], bucket: str = "1 hour") -> DataFrame:
@@ -182,7 +184,9 @@ def _scan(items: Column) -> Column:
     )
 
 
-def steps_before(steps: DataFrame, key: str, order: list[str], bucket: str = "1 hour", chunk: int = CHUNK) -> DataFrame:
+def steps_before(
+    steps: DataFrame, key: str, order: list[str], bucket: str = "1 hour", chunk: int = SCAN_CHUNK
+) -> DataFrame:
     """``(key, *order, before)``: composition of the key's steps ahead of each row.
 
     Pieces of ``chunk`` steps are scanned on their own; scans over the pieces, and
@@ -190,7 +194,7 @@ def steps_before(steps: DataFrame, key: str, order: list[str], bucket: str = "1
     """
     placed = positions(steps, key, order, bucket)
     level, scans = placed.select(key, "pos", "step"), []
-    for size in (chunk, chunk, None):
+    for size in (chunk, 5 * chunk, None):
         scanned = _gather(level, key, size).withColumn("r", _scan(F.col("items"))).select(key, "piece", "r")
         scans.append(scanned.select(key, "piece", F.inline("r.out")))
         level = scanned.select(key, F.col("piece").alias("pos"), F.col("r.now").alias("step"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.operators.folds import (
-    CHUNK,
+    SCAN_CHUNK,
     apply_step,
     clamp_step,
     compose_steps,
@@ -38,7 +38,7 @@ def apply_corrections(
     requests: DataFrame,
     rules: TrustRules = DEFAULTS.trust,
     bucket: str = "1 hour",
-    chunk: int = CHUNK,
+    chunk: int = SCAN_CHUNK,
 ) -> AppliedCorrections:
     """Apply ``requests(id, entry_id, operation, value, reason, reason_category, feedback, created_at)``.
 
@@ -83,7 +83,7 @@ def apply_corrections(
 
     sets = ["set_fact", "set_tag", "set_entity", "set_status", "set_reason"]
     final = ops.groupBy("entry_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in sets])
-    total = compose_steps(ops.select("entry_id", *order, "step"), "entry_id", order, bucket, chunk)
+    total = compose_steps(ops.select("entry_id", *order, "step"), "entry_id", order, bucket)
     state = final.join(total, "entry_id").withColumnRenamed("entry_id", "id")
     joined = entries.join(state, "id", "left")
     values = {c: F.coalesce(f"set_{c}", c) for c in ("fact", "tag", "entity", "status")}
@@ -101,10 +101,11 @@ def apply_corrections(
         F.col("id").alias("entry_id"), "dimension", F.col("entity").alias("e_entity"), F.col("tag").alias("e_tag"),
         F.col("fact").alias("e_fact"), "confidence", "sources", F.coalesce("trust_score", F.lit(0.5)).alias("e_trust"),
     )
-    seen = seen.join(before, ["entry_id", *order]).join(base, "entry_id")
+    seen = seen.join(base, "entry_id")
+    logged = seen.join(before, ["entry_id", *order])
     old_trust = apply_step(F.col("e_trust"), F.col("before"))
     is_revise = op == "revise"
-    log = seen.select(
+    log = logged.select(
         "id", "entry_id", "operation", "reason_category", "feedback",
         F.coalesce("prev_set_fact", "e_fact").alias("old_fact"),
         F.when(op.isin("edit_fact", "revise"), F.col("value")).alias("new_fact"),
