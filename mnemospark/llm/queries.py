@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mnemospark.llm import langid, token_files, toxicity
+from mnemospark.llm import langid, substrings, token_files, toxicity
 from mnemospark.llm.common import documents, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,33 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_severity(docs, toxicity.fit_severity(graded))
 
 
+@query
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.remove_repeats(documents(spark, folder), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL["op5_substring_dedup"] = """
+    WITH w AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
+        FROM documents
+    ), win AS (
+        SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS body
+        FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 19)) AS s FROM w WHERE len(ws) >= 20)
+    ), firsts AS (SELECT body, min((doc_id, s)) AS f FROM win GROUP BY body HAVING count(*) > 1),
+    gone AS (
+        SELECT DISTINCT doc_id, unnest(generate_series(s, s + 19)) AS p
+        FROM win JOIN firsts USING (body) WHERE (doc_id, s) <> f
+    ), g AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+    k AS (
+        SELECT w.doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed,
+               CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END AS kept
+        FROM w LEFT JOIN g USING (doc_id)
+    )
+    SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
+"""
+
+
 @query
 def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
