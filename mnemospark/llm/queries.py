@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import langid, substrings, token_files, toxicity
+from mnemospark.llm import langid, simhash, substrings, token_files, toxicity
 from mnemospark.llm.common import documents, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_severity(docs, toxicity.fit_severity(graded))
 
 
+@query
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, folder), words=3, distance=3)
+
+
 @query
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substrings.remove_repeats(documents(spark, folder), window=20)
