@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import langid, simhash, substrings, token_files, toxicity
+from mnemospark.llm import langid, simhash, sketch, substrings, token_files, toxicity
 from mnemospark.llm.common import documents, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,58 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     found = langid.identify_languages(docs, model)
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
+
+
+@query
+def op10_threshold_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = sketch.with_next(docs.withColumn("sketch", sketch.sketch(F.col("text"))), ["text", "sketch"])
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring("next_text", 1, half))
+    rows = found.select("doc_id", F.length("text").cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
+    both = rows.withColumn("edited_sketch", sketch.sketch(F.col("edited")))
+    return both.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        sketch.as_string(F.col("sketch")).alias("fingerprint"),
+        sketch.as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketch.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        sketch.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
+_WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+SQL["op10_threshold_sketch"] = f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    n AS (
+        SELECT *, coalesce(lead(doc_id) OVER (ORDER BY doc_id), first_value(doc_id) OVER (ORDER BY doc_id)) AS next_id,
+               coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next_text
+        FROM d
+    ), e AS (
+        SELECT doc_id, next_id, text,
+               substring(text, 1, length(text) - length(text) // 2) || substring(next_text, 1, length(text) // 2) AS edited
+        FROM n
+    ), w AS (
+        SELECT doc_id, false AS e, {_WORDS.format("text")} AS ws FROM e
+        UNION ALL SELECT doc_id, true, {_WORDS.format("edited")} FROM e
+    ), s AS (
+        SELECT doc_id, e, list_distinct(list_transform(
+                   CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                   ELSE list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' ')) END,
+                   lambda x: md5(x))) AS hs
+        FROM w
+    ), p AS (
+        SELECT doc_id, e, CASE WHEN len(list_filter(hs, lambda h: h < '2')) > 0 THEN list_filter(hs, lambda h: h < '2')
+                               WHEN len(hs) > 0 THEN [list_min(hs)] ELSE []::VARCHAR[] END AS hs
+        FROM s
+    ), k AS (SELECT doc_id, e, list_sort(list_distinct(list_transform(hs, lambda h: h[1:16]))) AS sk FROM p)
+    SELECT e.doc_id, length(e.text) AS n_chars, sha256(edited) AS edited_sha256,
+           array_to_string(a.sk, '') AS fingerprint, array_to_string(b.sk, '') AS edited_fingerprint,
+           CASE WHEN least(len(a.sk), len(b.sk)) = 0 THEN CASE WHEN len(a.sk) = len(b.sk) THEN 1.0 ELSE 0.0 END
+                ELSE len(list_intersect(a.sk, b.sk))::DOUBLE / least(len(a.sk), len(b.sk)) END AS near_edited,
+           CASE WHEN least(len(a.sk), len(c.sk)) = 0 THEN CASE WHEN len(a.sk) = len(c.sk) THEN 1.0 ELSE 0.0 END
+                ELSE len(list_intersect(a.sk, c.sk))::DOUBLE / least(len(a.sk), len(c.sk)) END AS near_next
+    FROM e JOIN k a ON a.doc_id = e.doc_id AND NOT a.e JOIN k b ON b.doc_id = e.doc_id AND b.e
+         JOIN k c ON c.doc_id = e.next_id AND NOT c.e
+"""

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from mnemospark.llm.common import blocks, tune, worker_cache
 
 #: A word also counts by its beginnings of these lengths, for languages that build words from parts.
-PREFIXES = (4, 5, 6, 7, 8)
+PREFIXES = (4, 6, 8)
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -70,7 +70,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _train(features: np.ndarray, counts: np.ndarray, grades: np.ndarray, buckets: int, steps: int, rate: float, lasso: float) -> SeverityModel:
     """Full-batch steps scaled as in Adam, shrunk towards 0 after each: most words mean nothing. Thresholds stay in order."""
     top = int(grades.max())
-    row = np.repeat(np.arange(len(counts)), counts)
+    row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     present = np.bincount(features, minlength=buckets)
     w = np.zeros(buckets)
     at_least = np.array([(grades >= k).mean() for k in range(1, top + 1)]).clip(1e-3, 1 - 1e-3)
@@ -107,7 +107,7 @@ def graded_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(by_id, "doc_id")
 
 
-def fit_severity(graded: DataFrame, text: str = "text", grade: str = "grade", key: str = "doc_id", buckets: int = 1 << 18, max_rows: int = 20_000, min_texts: int = 4, steps: int = 300, rate: float = 0.1, lasso: float = 1e-3) -> SeverityModel:
+def fit_severity(graded: DataFrame, text: str = "text", grade: str = "grade", key: str = "doc_id", buckets: int = 1 << 18, max_rows: int = 4_000, min_texts: int = 4, steps: int = 300, rate: float = 0.1, lasso: float = 1e-3) -> SeverityModel:
     """Fit on at most ``max_rows`` rows with a grade (0, 1, 2, ...), those with the smallest hashes of ``key``.
 
     Buckets that fewer than ``min_texts`` of those rows have keep the weight 0.
@@ -128,9 +128,9 @@ def fit_severity(graded: DataFrame, text: str = "text", grade: str = "grade", ke
     if not table.num_rows:
         return SeverityModel(np.zeros(buckets, np.float32), np.array([]))
     lists = table.column("codes").combine_chunks()
-    codes, counts = lists.flatten().to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    codes, counts = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
     often = np.bincount(codes, minlength=buckets) >= min_texts
-    row = np.repeat(np.arange(len(counts)), counts)
+    row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     kept = often[codes]
     return _train(codes[kept], np.bincount(row[kept], minlength=len(counts)), table.column("grade").to_numpy().astype(np.int64), buckets, steps, rate, lasso)
 
