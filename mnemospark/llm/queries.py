@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import langid, simhash, sketch, substrings, token_files, toxicity
-from mnemospark.llm.common import documents, scratch_folder
+from mnemospark.llm import langid, outliers, simhash, sketch, substrings, token_files, toxicity
+from mnemospark.llm.common import documents, scratch_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -131,3 +131,9 @@ SQL["op10_threshold_sketch"] = f"""
     FROM e JOIN k a ON a.doc_id = e.doc_id AND NOT a.e JOIN k b ON b.doc_id = e.doc_id AND b.e
          JOIN k c ON c.doc_id = e.next_id AND NOT c.e
 """
+
+
+@query
+def op8_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    measured = stored(outliers.measure(documents(spark, folder), ["doc_id"]))
+    return outliers.judge(measured, outliers.fit_outliers(measured), ["doc_id"])

@@ -12,30 +12,74 @@ empty table gives an empty folder that reads as no rows.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import blocks, partitions, tune, worker_cache
+from mnemospark.llm.common import blocks, partitions, segments, tune, worker_cache
 
-#: Distinct words that a worker remembers; it starts anew beyond them.
-REMEMBERED = 1_000_000
+#: Distinct strings that a worker remembers at each level; it starts anew beyond them.
+REMEMBERED = 600_000
+#: A space that must begin a word of its own: one between two other characters.
+_SEAM = re.compile(r"(?<=\S) (?=\S)")
+#: Spacing in which not every space is such a seam.
+_ODD_SPACING = re.compile(r"\s[ ]|[ ]\s|^ | $")
+_JOINABLE = re.compile(r" ?\S+")
 
 
-class WordEncoder:
+class _Remembered(dict):
+    """Numbers strings as they are asked for; their ids lie end to end and are added by the block."""
+
+    def __init__(self) -> None:
+        self.fresh: list = []
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def __missing__(self, key) -> int:
+        code = self[key] = len(self)
+        self.fresh.append(key)
+        return code
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """The ids of the ``fresh`` strings."""
+        base = len(self) - len(self.fresh)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while len(self) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[base : len(self)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[base : len(self)] = lengths
+        self.used += len(ids)
+        self.fresh = []
+
+    def gather(self, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts of ``counts`` strings each, and how many ids each text has."""
+        lengths = self.lengths[codes]
+        ends = np.cumsum(lengths)
+        place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[codes] - (ends - lengths), lengths)
+        before = np.concatenate([[0], ends])
+        last = np.cumsum(counts)
+        return self.ids[place], before[last] - before[last - counts]
+
+
+class TextEncoder:
     """Encodes with the tokenizers library and remembers what it gave for each word.
 
     A byte-level tokenizer cuts a text into words by a fixed pattern and encodes each by
-    itself. The words of a block that are new go to the library together.
+    itself, and a single space between two other characters always begins a word. So a
+    text is first cut at those spaces; pieces that are new are cut by the pattern; words
+    that are new go to the library, many at a time with line ends between them.
     """
 
     def __init__(self, path: str) -> None:
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from public_tokenizers import PATTERN
@@ -43,52 +87,62 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.find = regex.compile(PATTERN).findall
-        self.forget()
+        self.cut = regex.compile(PATTERN).findall
+        self.line_end = self.library.encode("\n", add_special_tokens=False).ids
+        self.pieces, self.words = _Remembered(), _Remembered()
 
-    def forget(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def learn(self, new: list[str]) -> None:
-        base = len(self.codes)
-        given = [x.ids for x in self.library.encode_batch_fast(new, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        given = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, given), np.int64, len(given))
-        flat = np.fromiter((i for x in given for i in x), np.uint32, int(lengths.sum()))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while base + len(new) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.starts[base : base + len(new)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[base : base + len(new)] = lengths
-        self.used += len(flat)
-        self.codes.update(zip(new, range(base, base + len(new))))
+        return np.fromiter(chain.from_iterable(given), np.uint32, int(lengths.sum())), lengths
+
+    def _learn_words(self) -> None:
+        """Words with a space or line end inside are encoded one by one, the others 50 at a time."""
+        fresh = self.words.fresh
+        plain = [w for w in fresh if _JOINABLE.fullmatch(w)] if len(self.line_end) == 1 else []
+        ids, lengths = self._encode(["\n".join([*plain[i : i + 50], ""]) for i in range(0, len(plain), 50)])
+        ends = np.flatnonzero(ids == self.line_end[0]) if plain else np.empty(0, np.int64)
+        if len(ends) != len(plain):
+            plain, ids, ends = [], ids[:0], ends[:0]
+        known = set(plain)
+        rest = [w for w in fresh if w not in known]
+        more, more_lengths = self._encode(rest)
+        ids = np.concatenate([np.delete(ids, ends), more])
+        lengths = np.concatenate([np.diff(ends, prepend=-1) - 1, more_lengths])
+        row = {w: i for i, w in enumerate(plain + rest)}
+        order = np.fromiter((row[w] for w in fresh), np.int64, len(fresh))
+        starts = (np.cumsum(lengths) - lengths)[order]
+        lengths = lengths[order]
+        run, place = segments(lengths)
+        self.words.add(ids[starts[run] + place], lengths)
+
+    def _by_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.cut(x) for x in texts]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        codes = list(map(self.words.__getitem__, chain.from_iterable(found)))
+        if self.words.fresh:
+            self._learn_words()
+        return self.words.gather(np.array(codes, np.int64), counts)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and how many each has."""
-        if len(self.codes) > REMEMBERED:
-            self.forget()
-        found = [self.find(x) for x in texts]
-        new = set().union(*found).difference(self.codes) if found else set()
-        if new:
-            self.learn(sorted(new))
-        get = self.codes.__getitem__
+        for level in ("pieces", "words"):
+            if len(getattr(self, level)) > REMEMBERED:
+                setattr(self, level, _Remembered())
+        found = [_SEAM.split(x) if _ODD_SPACING.search(x) else x.split(" ") for x in texts]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        codes = np.fromiter((get(w) for x in found for w in x), np.int64, int(counts.sum()))
-        lengths = self.lengths[codes]
-        ends = np.cumsum(lengths)
-        place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[codes] - (ends - lengths), lengths)
-        before = np.concatenate([[0], ends])
-        last = np.cumsum(counts)
-        return self.ids[place], before[last] - before[last - counts]
+        for own in found:
+            own[0] = (own[0],)  # the first has no space before it
+        codes = np.array(list(map(self.pieces.__getitem__, chain.from_iterable(found))), np.int64)
+        if fresh := self.pieces.fresh:
+            self.pieces.add(*self._by_words([x[0] if isinstance(x, tuple) else f" {x}" for x in fresh]))
+        return self.pieces.gather(codes, counts)
 
 
-def encoder(path: str) -> WordEncoder:
-    known = worker_cache("word_encoders")
+def encoder(path: str) -> TextEncoder:
+    known = worker_cache("text_encoders")
     if path not in known:
-        known[path] = WordEncoder(path)
+        known[path] = TextEncoder(path)
     return known[path]
 
 
