@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import langid, outliers, simhash, sketch, substrings, token_files, toxicity
+from mnemospark.llm import langid, mixing, outliers, simhash, sketch, substrings, token_files, toxicity
 from mnemospark.llm.common import documents, scratch_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,10 @@ SQL["op10_threshold_sketch"] = f"""
 def op8_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
     measured = stored(outliers.measure(documents(spark, folder), ["doc_id"]))
     return outliers.judge(measured, outliers.fit_outliers(measured), ["doc_id"])
+
+
+@query
+def op6_temperature_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text", "source")
+    plan = mixing.plan_mix(docs, repetitions=1.5)
+    return mixing.mix(docs, plan).select("doc_id", "source", "mix_pass", "mix_block", "mix_place")
