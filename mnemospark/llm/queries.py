@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import langid, mixing, outliers, simhash, sketch, substrings, token_files, toxicity
+from mnemospark.llm import langid, mixing, outliers, pieces, simhash, sketch, substrings, token_files, toxicity
 from mnemospark.llm.common import documents, scratch_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,12 @@ def op6_temperature_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text", "source")
     plan = mixing.plan_mix(docs, repetitions=1.5)
     return mixing.mix(docs, plan).select("doc_id", "source", "mix_pass", "mix_block", "mix_place")
+
+
+@query
+def op4_gumbel_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    found = pieces.sample_segmentations(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"), k=2)
+    sizes = F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash")
+    return found.select("doc_id", "rank", *sizes, "log_prob", "inclusion", "decoded_ok")
