@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import langid, mixing, outliers, pieces, simhash, sketch, substrings, token_files, toxicity
+from mnemospark.llm import langid, lm, mixing, outliers, pieces, simhash, sketch, substrings, token_files, toxicity
 from mnemospark.llm.common import documents, scratch_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,8 +24,8 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Expected severity of every document, fitted on the labelled ones."""
     docs = documents(spark, folder)
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    graded = toxicity.graded_documents(docs, labels)
-    return toxicity.score_severity(docs, toxicity.fit_severity(graded))
+    model = toxicity.fit_severity(docs, toxicity.severity_grades(labels))
+    return toxicity.score_severity(docs, model)
 
 
 @query
@@ -153,3 +153,9 @@ def op4_gumbel_pieces(spark: SparkSession, folder: str) -> DataFrame:
     found = pieces.sample_segmentations(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"), k=2)
     sizes = F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash")
     return found.select("doc_id", "rank", *sizes, "log_prob", "inclusion", "decoded_ok")
+
+
+@query
+def op3_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return lm.score_documents(docs, lm.fit_window_model(docs))
