@@ -118,9 +118,9 @@ def sampled_masks(bits: int, size: int, tables: int, seed: int = 42) -> list[np.
     return [np.sort(dealt[i * size : (i + 1) * size]) for i in range(tables)]
 
 
-def _forest(words: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links (i, root) joining rows of ``words`` (n, width) that are connected by at most ``distance`` differing bits."""
-    n = len(words)
+def _forest(prints: list[str], distance: int) -> list[tuple[int, int]]:
+    """Links (i, root) joining the fingerprints that are connected by at most ``distance`` differing bits."""
+    n = len(prints)
     root = list(range(n))
 
     def find(i: int) -> int:
@@ -129,14 +129,15 @@ def _forest(words: np.ndarray, distance: int) -> list[tuple[int, int]]:
             i = root[i]
         return i
 
-    if n <= 8 and words.shape[1] == 1:
-        own = words[:, 0].tolist()
+    if n <= 8:
+        own = [int(x, 16) for x in prints]
         for i in range(n):
             for j in range(i):
                 if (own[i] ^ own[j]).bit_count() <= distance:
                     a, b = find(i), find(j)
                     root[max(a, b)] = min(a, b)
     else:
+        words = np.frombuffer(bytes.fromhex("".join(prints)), ">u8").astype(np.uint64).reshape(n, -1)
         for i in range(1, n):
             near = np.flatnonzero(np.bitwise_count(words[:i] ^ words[i]).sum(1, dtype=np.int64) <= distance)
             for r in {find(j) for j in near.tolist()}:
@@ -194,10 +195,7 @@ def links(distinct: DataFrame, masks: list[np.ndarray], distance: int, width: in
         yield table(close(held))
 
     def close(prints: list[str]) -> list[tuple[str, str]]:
-        if len(prints) < 2:
-            return []
-        raw = np.frombuffer(bytes.fromhex("".join(prints)), ">u8").astype(np.uint64).reshape(-1, width)
-        return [(prints[i], prints[j]) for i, j in _forest(raw, distance)]
+        return [(prints[i], prints[j]) for i, j in _forest(prints, distance)] if len(prints) > 1 else []
 
     def table(found: list[tuple[str, str]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], ["a", "b"])

@@ -260,22 +260,30 @@ def repeated_windows(docs: DataFrame, window: int = 20, text: str = "text", doc_
     return runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", doc_id: str = "doc_id", buckets: int | None = None) -> DataFrame:
-    """A row for each row of ``docs``: ``doc_id, n_words, n_removed, kept_text``, the kept words joined by one space."""
+def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", doc_id: str = "doc_id", buckets: int | None = None, keep: tuple[str, ...] = (), respace: bool = True) -> DataFrame:
+    """A row for each row of ``docs``: ``doc_id``, the ``keep`` columns, ``n_words, n_removed, kept_text``.
+
+    ``kept_text`` has the kept words joined by one space; without ``respace`` a text that
+    loses nothing stays as it is, a null one null.
+    """
     runs = stored(repeated_windows(docs, window, text, doc_id, buckets))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("key"), F.col(text).alias("text"))
-    joined = rows.join(runs.withColumnRenamed("doc_id", "key"), "key", "left").select("doc_id", "text", F.col("runs.start").alias("starts"), F.col("runs.n").alias("sizes"))
+    kind = {c: docs.schema[c].dataType.simpleString() for c in keep}
+    carried = {c: f"_keep{i}" for i, c in enumerate(keep)}
+    own = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(n) for c, n in carried.items()]]
+    rows = docs.select(*own, F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("_key"))
+    joined = rows.join(runs.withColumnRenamed("doc_id", "_key"), "_key", "left").select("doc_id", "text", *carried.values(), F.col("runs.start").alias("starts"), F.col("runs.n").alias("sizes"))
+    names = ["doc_id", *carried.values(), "n_words", "n_removed", "kept_text"]
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             n_words, n_removed, kept = [], [], []
-            texts = block.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
+            texts = block.column("text").cast(pa.binary()).to_pylist()
             for x, starts, sizes in zip(texts, block.column("starts").to_pylist(), block.column("sizes").to_pylist()):
-                own = x.split()
+                own = (x or b"").split()
                 n_words.append(len(own))
                 if not starts:
                     n_removed.append(0)
-                    kept.append(b" ".join(own))
+                    kept.append(b" ".join(own) if respace else x)
                     continue
                 change = np.zeros(len(own) + 1, np.int32)
                 np.add.at(change, starts, 1)
@@ -283,6 +291,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, text: str = "text", doc_id
                 stay = np.cumsum(change)[:-1] == 0
                 n_removed.append(int(len(own) - stay.sum()))
                 kept.append(b" ".join([w for w, s in zip(own, stay.tolist()) if s]))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), *(block.column(n) for n in carried.values()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names)
 
-    return joined.mapInArrow(strip, "doc_id long, n_words long, n_removed long, kept_text string")
+    shape = ", ".join(["doc_id long", *[f"{n} {kind[c]}" for c, n in carried.items()], "n_words long", "n_removed long", "kept_text string"])
+    return joined.mapInArrow(strip, shape).withColumnsRenamed({n: c for c, n in carried.items()})
