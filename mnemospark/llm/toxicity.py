@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import blocks, tune, worker_cache
+from mnemospark.llm.common import blocks, stored, tune, worker_cache
 
 #: A word also counts by its beginnings of these lengths, for languages that build words from parts.
 PREFIXES = (4, 6, 8)
@@ -97,24 +97,25 @@ def _train(features: np.ndarray, counts: np.ndarray, grades: np.ndarray, buckets
     return SeverityModel(w.astype(np.float32), b)
 
 
-def graded_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The labelled texts with a severity grade: 0 clean, 1 toxic in a text of good quality, 2 toxic in one of poor quality.
-
-    Equal labels of one document count once, so that the join cannot multiply rows by them.
-    """
+def severity_grades(labels: DataFrame) -> DataFrame:
+    """``doc_id, grade``: 0 clean, 1 toxic in a text of good quality, 2 toxic in one of poor quality; the worst of several labels."""
     grade = F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1))
-    by_id = labels.select("doc_id", grade.alias("grade")).groupBy("doc_id").agg(F.max("grade").alias("grade"))
-    return docs.select("doc_id", "text").join(by_id, "doc_id")
+    return labels.select("doc_id", grade.alias("grade")).groupBy("doc_id").agg(F.max("grade").alias("grade"))
 
 
-def fit_severity(graded: DataFrame, text: str = "text", grade: str = "grade", key: str = "doc_id", buckets: int = 1 << 18, max_rows: int = 4_000, min_texts: int = 4, steps: int = 300, rate: float = 0.1, lasso: float = 1e-3) -> SeverityModel:
-    """Fit on at most ``max_rows`` rows with a grade (0, 1, 2, ...), those with the smallest hashes of ``key``.
+def fit_severity(docs: DataFrame, grades: DataFrame, text: str = "text", doc_id: str = "doc_id", buckets: int = 1 << 18, max_rows: int = 4_000, min_texts: int = 4, steps: int = 300, rate: float = 0.1, lasso: float = 1e-3) -> SeverityModel:
+    """Fit on the documents of at most ``max_rows`` ids with a grade (0, 1, 2, ...), those with the smallest hashes.
 
-    Buckets that fewer than ``min_texts`` of those rows have keep the weight 0.
+    ``grades`` has a row for each id. The chosen ids are few by that bound, so they are
+    sent to the documents and no text is shuffled but theirs. Of several texts with one id
+    the first in their order is taken. Buckets that fewer than ``min_texts`` of the
+    texts have keep the weight 0.
     """
-    tune(graded.sparkSession)
-    rows = graded.where(F.col(grade).isNotNull()).select(F.col(text).alias("text"), F.col(grade).cast("int").alias("grade"), F.xxhash64(key).alias("place"))
-    chosen = rows.orderBy("place", "grade", "text").limit(max_rows)
+    tune(docs.sparkSession)
+    given = grades.where(F.col("grade").isNotNull()).select(F.col("doc_id").alias("id"), F.col("grade").cast("int").alias("grade"), F.xxhash64("doc_id").alias("place"))
+    chosen = stored(given.orderBy("place", "id").limit(max_rows))
+    found = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    rows = found.groupBy("id", "place", "grade").agg(F.min("text").alias("text")).select("text", "grade", "place")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -122,9 +123,7 @@ def fit_severity(graded: DataFrame, text: str = "text", grade: str = "grade", ke
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(codes.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([block.column("place"), block.column("grade"), lists], ["place", "grade", "codes"])
 
-    # the limit applies to hashes first, so that no task gathers the texts
-    picked = chosen.select("place").distinct()
-    table = rows.join(picked, "place", "left_semi").mapInArrow(featurise, "place long, grade int, codes array<int>").toArrow().sort_by([("place", "ascending"), ("grade", "ascending")]).combine_chunks()
+    table = rows.mapInArrow(featurise, "place long, grade int, codes array<int>").toArrow().sort_by([("place", "ascending"), ("grade", "ascending")]).combine_chunks()
     if not table.num_rows:
         return SeverityModel(np.zeros(buckets, np.float32), np.array([]))
     lists = table.column("codes").combine_chunks()
