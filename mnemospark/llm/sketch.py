@@ -45,7 +45,8 @@ def sketch(text: Column, size: int = 5, fraction: float = FRACTION) -> Column:
         return F.when(F.size(low) > 0, low).otherwise(F.array(F.array_min(hashes)))
 
     def cut(hashes: Column) -> Column:
-        return F.array_sort(F.array_distinct(F.transform(pick(hashes), lambda h: F.substring(h, 1, 16))))
+        kept = F.array_sort(F.array_distinct(F.transform(pick(hashes), lambda h: F.substring(h, 1, 16))))
+        return F.when(hashes.isNotNull(), kept)
 
     found = let(words(text), lambda own: let(shingle_hashes(own, size), cut))
     return F.coalesce(found, F.array().cast("array<string>"))
