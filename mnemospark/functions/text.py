@@ -215,9 +215,15 @@ def slug(text: Column) -> Column:
     return F.substring(F.trim(dashed, F.lit("-")), 1, 50)
 
 
+def _unique_slug(text: Column) -> Column:
+    """The slug, followed by a digest of the text where it was cut: two texts then never share it."""
+    dashed = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
+    return F.when(F.length(dashed) <= 50, dashed).otherwise(F.concat(F.substring(dashed, 1, 50), F.lit("-"), F.substring(F.sha2(text, 256), 1, 16)))
+
+
 def chat_path(ts: Column, title_hint: Column) -> Column:
     hint = F.when(F.coalesce(title_hint, F.lit("")) == "", "insight").otherwise(title_hint)
-    return F.concat(F.lit("chat/"), F.date_format(ts, "yyyyMMdd-HHmmss"), F.lit("-"), slug(hint), F.lit(".md"))
+    return F.concat(F.lit("chat/"), F.date_format(ts, "yyyyMMdd-HHmmss"), F.lit("-"), _unique_slug(hint), F.lit(".md"))
 
 
 _TITLE_LINE = r"(?s)^(?:(.*)\n)?Title:([^\n]*)"

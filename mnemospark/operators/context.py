@@ -116,29 +116,44 @@ def few_shot(
     entries: DataFrame,
     targets: DataFrame,
     cap: int = DEFAULTS.trust.few_shot_cap,
-    pool: int = DEFAULTS.few_shot_pool,
 ) -> DataFrame:
     """Best recent extraction mistakes for each ``targets(target, entities)`` dimension.
 
-    The pool is the newest ``pool`` corrections overall, so its size is fixed.
+    A match of dimension or entity outweighs recency, which only the newest ten have. So
+    the best ``cap`` are among the newest ``cap`` of each dimension, of each entity and
+    of all, and the newest ten: the whole log is searched, and few rows go on.
     """
     keyed = entries.select(F.col("id").alias("entry_id"), "dimension", "entity")
     errors = corrections.filter(F.col("reason_category") == "ai_error").join(keyed, "entry_id")
-    recent = errors.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(pool)
-    ranked = recent.agg(
-        F.reverse(F.sort_array(F.collect_list(F.struct("created_at", "id", "dimension", "entity", "old_fact", "new_fact", "feedback")))).alias("pool")
-    ).scalar()
-    rows = targets.select("target", "entities", F.posexplode(ranked).alias("idx", "c"))
+    columns = ["created_at", "id", "dimension", "entity", "old_fact", "new_fact", "feedback"]
+    errors = errors.select(*columns, F.lower("entity").alias("_entity"))
+    newest_first = [F.col("created_at").desc(), F.col("id").desc()]
+    newest = errors.orderBy(*newest_first).limit(max(10, cap))
+    ages = newest.agg(F.reverse(F.sort_array(F.collect_list(F.struct("created_at", "id")))).alias("a")).select(
+        F.posexplode("a").alias("_age", "c")
+    ).select("_age", F.col("c.id").alias("id"))
+    wanted = targets.select("target", F.transform("entities", lambda e: F.lower(e)).alias("_names"))
+    named = wanted.select("target", F.explode("_names").alias("_entity")).distinct()
+    of_dimension = top_per_group(errors, ["dimension"], newest_first, cap).select(*columns, "_entity")
+    with_entity = errors.filter(F.col("_entity") != "")
+    of_entity = top_per_group(with_entity, ["_entity"], newest_first, cap).select(*columns, "_entity")
+    of_both = top_per_group(with_entity, ["dimension", "_entity"], newest_first, cap).select(*columns, "_entity")
+    any_target = wanted.select("target", F.lit(1).alias("_all"))
+    found = (
+        of_dimension.withColumn("target", F.col("dimension")).join(wanted.select("target"), "target")
+        .unionByName(of_entity.join(named, "_entity"))
+        .unionByName(of_both.join(named, "_entity").filter(F.col("dimension") == F.col("target")))
+        .unionByName(newest.withColumn("_all", F.lit(1)).join(any_target, "_all").drop("_all"))
+        .dropDuplicates(["target", "id"])
+    )
+    rows = found.join(wanted, "target").join(F.broadcast(ages), "id", "left")
     score = (
-        F.when(F.col("c.dimension") == F.col("target"), 3.0).otherwise(0.0)
-        + F.when(
-            F.array_contains(F.transform("entities", lambda e: F.lower(e)), F.lower(F.coalesce("c.entity", F.lit("")))) & (F.col("c.entity") != ""),
-            2.0,
-        ).otherwise(0.0)
-        + F.greatest(F.lit(0.0), F.lit(1.0) - F.col("idx") * 0.1)
+        F.when(F.col("dimension") == F.col("target"), 3.0).otherwise(0.0)
+        + F.when(F.array_contains("_names", F.coalesce("_entity", F.lit(""))) & (F.col("_entity") != ""), 2.0).otherwise(0.0)
+        + F.greatest(F.lit(0.0), F.lit(1.0) - F.coalesce("_age", F.lit(10)) * 0.1)
     )
-    scored = rows.select("target", "idx", F.round(score, 9).alias("score"), "c.*")
-    best = top_per_group(scored, ["target"], [F.col("score").desc(), F.col("idx")], cap)
+    scored = rows.select("target", F.round(score, 9).alias("score"), *columns)
+    best = top_per_group(scored, ["target"], [F.col("score").desc(), *newest_first], cap)
     line = few_shot_line(F.col("entity"), F.col("dimension"), F.col("old_fact"), F.col("new_fact"), F.col("feedback"))
     return best.withColumn("line", line)
 
@@ -170,7 +185,7 @@ def extraction_requests(
     )
     per_dimension = dims.join(facts, "dimension", "left").join(shots, "dimension", "left")
     todo = choose_content(find_unclassified(docs), max_tokens).select(
-        F.col("id").alias("doc_id"), "content", F.col("classify_last_error").alias("feedback"), F.explode(names).alias("dimension")
+        F.col("id").alias("doc_id"), "content", "fits", F.col("classify_last_error").alias("feedback"), F.explode(names).alias("dimension")
     )
     empty_shots = F.array().cast("array<string>")
     return todo.join(F.broadcast(per_dimension), "dimension").withColumn("few_shot", F.coalesce("few_shot", empty_shots))

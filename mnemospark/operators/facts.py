@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.functions.quality import status_of
-from mnemospark.operators.folds import number_rows, value_before
+from mnemospark.operators.folds import last_write, number_rows, value_before
 from mnemospark.schemas import DEFAULTS, Bands
 from mnemospark.session import cut_lineage
 
@@ -99,7 +99,11 @@ def upsert_status(explicit: Column, confidence: Column, existing: Column, bands:
 
 
 def upsert_entries(entries: DataFrame, rows: DataFrame, bands: Bands | None = DEFAULTS.bands) -> DataFrame:
-    """Overwrite entries by id; the retrieval score never changes here."""
+    """Overwrite entries by id; the retrieval score never changes here.
+
+    Of several rows with one id the last by ``seq`` counts, if there is such a column.
+    """
+    rows = last_write(rows, "id")
     new = rows.select("id", *[F.col(c).alias(f"n_{c}") for c in rows.columns if c != "id"], F.lit(True).alias("_hit"))
     joined = entries.join(new, "id", "left")
     status = upsert_status(F.col("n_status"), F.col("n_confidence"), F.col("status"), bands)
@@ -109,8 +113,12 @@ def upsert_entries(entries: DataFrame, rows: DataFrame, bands: Bands | None = DE
 
 
 def retire(entries: DataFrame, retirements: DataFrame) -> DataFrame:
-    """Mark ``retirements(id, reason)`` retired; the rows stay searchable."""
-    hit = retirements.groupBy("id").agg(F.max("reason").alias("_reason")).withColumn("_hit", F.lit(True))
+    """Mark ``retirements(id, reason)`` retired; the rows stay searchable.
+
+    Of several reasons the last by ``seq`` stays, if there is such a column.
+    """
+    own = retirements.select("id", F.col("reason").alias("_reason"), *(["seq"] if "seq" in retirements.columns else []))
+    hit = last_write(own, "id").withColumn("_hit", F.lit(True))
     joined = entries.join(hit, "id", "left")
     return (
         joined.withColumn("status", F.when(F.col("_hit"), "retired").otherwise(F.col("status")))
@@ -163,6 +171,7 @@ def apply_actions(
     overwrite_above: float = DEFAULTS.trust.overwrite_above,
     now: str | None = None,
     chunk: int = 1000,
+    answered: DataFrame | None = None,
 ) -> AppliedActions:
     """Apply new / update / retire actions in (document, dimension, item) order.
 
@@ -170,6 +179,9 @@ def apply_actions(
     target needs grouped aggregates only; no group is gathered. Twins are looked up
     at the start of the batch. A ``new`` whose twin was retired earlier in the batch
     starts a fresh row.
+
+    ``answered(doc_id, dimension)`` lists the accepted replies, so that one without any
+    action has its outcome too: it is clean.
     """
     stamp = F.lit(now).cast("timestamp") if now else F.current_timestamp()
     order = F.struct("doc_id", "dimension", "item_no")
@@ -251,9 +263,7 @@ def apply_actions(
         F.col("target").alias("competes_with"), order.alias("first"),
     ).select(rows)
     top_id = F.coalesce(entries.agg(F.max("id")).scalar(), F.lit(0))
-    inserted = number_rows(
-        started.unionByName(competing), F.floor(F.col("first.doc_id") / chunk), ["first"], "id", top_id
-    )
+    inserted = number_rows(started.unionByName(competing), ["first"], "id", top_id)
     inserted = cut_lineage(inserted.withColumn("trust_score", F.lit(0.5)))
 
     # 5. Source links, one per (row, document).
@@ -266,8 +276,9 @@ def apply_actions(
     links = (
         touched.unionByName(own).unionByName(begun).groupBy("entry_id", "doc_id").agg(F.min("at").alias("at"))
     )
+    heard = acts if answered is None else acts.select("doc_id", "dimension").unionByName(answered.select("doc_id", "dimension"))
     replies = (
-        acts.select("doc_id", "dimension", F.lit(0).alias("bad"))
+        heard.select("doc_id", "dimension", F.lit(0).alias("bad"))
         .unionByName(skipped.select("doc_id", "dimension", F.lit(1).alias("bad")))
         .groupBy("doc_id", "dimension")
         .agg((F.sum("bad") == 0).alias("clean"), F.sum("bad").alias("n_skipped"))
@@ -278,6 +289,25 @@ def apply_actions(
     return AppliedActions(full, inserted.drop("first"), links, skipped, replies)
 
 
+def reply_outcomes(applied: AppliedActions, rejects: DataFrame) -> DataFrame:
+    """``doc_id, dimension, clean, error`` of every reply, for :func:`state.apply_outcomes`.
+
+    A reply is clean when it was accepted and none of its actions was skipped; of
+    several replies to one question any failure counts.
+    """
+    kept = applied.replies.select(
+        "doc_id", "dimension", "clean",
+        F.when(~F.col("clean"), F.format_string("%d actions name unknown entries", "n_skipped")).alias("error"),
+    )
+    refused = rejects.select("doc_id", "dimension", F.lit(False).alias("clean"), F.col("reason").alias("error"))
+    return kept.unionByName(refused).groupBy("doc_id", "dimension").agg(F.every("clean").alias("clean"), F.max("error").alias("error"))
+
+
+def accepted_replies(replies: DataFrame, rejects: DataFrame) -> DataFrame:
+    """``doc_id, dimension`` of the replies that were not rejected, those without items too."""
+    return replies.join(rejects.select("reply_id"), "reply_id", "left_anti").select("doc_id", "dimension").distinct()
+
+
 def pack_sources(entries: DataFrame, links: DataFrame) -> DataFrame:
     """Fold new source links into the ``sources`` arrays, for display.
 

@@ -46,24 +46,31 @@ def listing(docs: DataFrame, k: int = DEFAULTS.search_results) -> DataFrame:
     return docs.orderBy(F.col("updated_at").desc_nulls_last(), F.col("id")).limit(k)
 
 
-def choose_content(docs: DataFrame, max_tokens: int = DEFAULTS.content_tokens) -> DataFrame:
-    """Body when it is short enough, else the summary."""
+def choose_content(docs: DataFrame, max_tokens: int | None = None) -> DataFrame:
+    """The whole body, or the summary of a document without one, as ``content``.
+
+    Nothing is cut: ``fits`` tells whether the content is below ``max_tokens`` (all is
+    without that), and the caller splits what does not fit.
+    """
     body, summary = F.coalesce("full_body", F.lit("")), F.coalesce("summary", F.lit(""))
-    fits = (body != "") & (F.floor(F.length(body) / 4) < max_tokens)
-    return docs.withColumn("content", F.when(fits, body).otherwise(summary))
+    content = F.when(body != "", body).otherwise(summary)
+    fits = F.lit(True) if max_tokens is None else F.floor(F.length(content) / 4) < max_tokens
+    return docs.withColumn("content", content).withColumn("fits", fits)
 
 
-def resolve(docs: DataFrame, requests: DataFrame, mode: str, max_text_refs: int = DEFAULTS.max_text_refs) -> DataFrame:
+def resolve(docs: DataFrame, requests: DataFrame, mode: str, max_text_refs: int | None = None) -> DataFrame:
     """Look up requested ids as ``summary``, ``text`` or ``file``.
 
     ``requests`` has ``request_id`` and an ``ids`` array; an unknown id is dropped
-    but keeps its place in the count that limits full texts.
+    but keeps its place in the count by which ``max_text_refs``, if given, limits full texts.
     """
     wanted = requests.select("request_id", F.posexplode("ids").alias("pos", "id"))
     rows = wanted.join(docs, "id")
     summary = F.coalesce(F.nullif("summary", F.lit("")), F.lit("[Summary pending]"))
     if mode == "text":
-        full = (F.col("pos") < max_text_refs) & F.col("full_body").isNotNull()
+        full = F.col("full_body").isNotNull()
+        if max_text_refs is not None:
+            full = (F.col("pos") < max_text_refs) & full
         content, degraded = F.when(full, F.col("full_body")).otherwise(summary), ~full
     elif mode == "summary":
         content, degraded = summary, F.lit(False)
@@ -79,7 +86,7 @@ def query_audit(
     date: str | None = None,
     pipeline: str | None = None,
     correlation_id: str | None = None,
-    limit: int = 1000,
+    limit: int | None = None,
 ) -> DataFrame:
     if date is not None:
         if "dt" in audit.columns:
@@ -90,7 +97,8 @@ def query_audit(
         audit = audit.filter(F.col("pipeline") == pipeline)
     if correlation_id is not None:
         audit = audit.filter(F.col("correlation_id") == correlation_id)
-    return audit.orderBy("id").limit(limit)
+    ordered = audit.orderBy("id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def entries_by(

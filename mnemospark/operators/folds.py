@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.schemas import DEFAULTS, TrustRules
+from mnemospark.session import cut_lineage
 
 
 def clamp_step(op: Column, rules: TrustRules = DEFAULTS.trust) -> Column:
@@ -206,17 +207,29 @@ def steps_before(
     return placed.select(key, "pos", *order).join(before, [key, "pos"]).select(key, *order, "before")
 
 
-def number_rows(df: DataFrame, chunk: Column, order: list, name: str, start: Column | int = 0) -> DataFrame:
+def number_rows(df: DataFrame, order: list, name: str, start: Column | int = 0) -> DataFrame:
     """Consecutive numbers in a total order without sorting everything in one task.
 
-    ``chunk`` must be monotone in the order. Rows are numbered inside their chunk and
-    shifted by the sizes of the earlier chunks, of which there are few.
+    Rows are dealt out by ranges of the order, sorted there and stored, so that their
+    places stay. A range starts at the sum of the sizes of those before: one row for each
+    partition is all that is summed up together. Give slim rows, and join the rest back.
     """
-    df = df.withColumn("_chunk", chunk)
-    sizes = df.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_chunk").orderBy(*order)
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut_lineage(placed.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     base = F.lit(start) if isinstance(start, int) else start
-    numbered = df.withColumn("_rn", F.row_number().over(inside)).join(offsets, "_chunk")
-    return numbered.withColumn(name, (base + F.col("_offset") + F.col("_rn")).cast("long")).drop("_chunk", "_rn", "_offset")
+    numbered = placed.join(F.broadcast(offsets), "_part")
+    return numbered.withColumn(name, (base + F.col("_offset") + F.col("_place") + 1).cast("long")).drop("_part", "_place", "_offset")
+
+
+def last_write(df: DataFrame, key: str, order: str = "seq") -> DataFrame:
+    """One row for each key: of every column the value written last that is not null.
+
+    Rows are in the order of the column ``order``; without such a column the largest
+    value wins, so that the result does not depend on how the rows lie.
+    """
+    columns = [c for c in df.columns if c not in (key, order)]
+    when = {c: F.col(order) if order in df.columns else F.col(c) for c in columns}
+    return df.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), when[c])).alias(c) for c in columns])

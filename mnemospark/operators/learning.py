@@ -122,6 +122,5 @@ def apply_corrections(
         F.coalesce(given, F.concat(F.lit("Revised from entry "), F.col("entry_id").cast("string"))).alias("reasoning"),
     )
     top_id = F.coalesce(entries.agg(F.max("id")).scalar(), F.lit(0))
-    day = F.date_trunc("day", "created_at")
-    spawned = number_rows(spawned, day, ["created_at", "request_id"], "id", top_id)
+    spawned = number_rows(spawned, ["created_at", "request_id"], "id", top_id)
     return AppliedCorrections(kept, spawned, log, rejects)

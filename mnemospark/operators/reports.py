@@ -162,9 +162,8 @@ def correction_lines(enriched: DataFrame) -> DataFrame:
 
 
 def summary_lines(docs: DataFrame) -> DataFrame:
-    """A document's title and the first 200 characters of its summary."""
-    short = F.substring(F.coalesce("summary", F.lit("")), 1, 200)
-    return docs.select("id", _line("  [", _text("id"), "] ", _text("title"), ": ", short).alias("line"))
+    """A document's title and its summary."""
+    return docs.select("id", _line("  [", _text("id"), "] ", _text("title"), ": ", F.coalesce("summary", F.lit(""))).alias("line"))
 
 
 def conflict_lines(conflicts: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from mnemospark.functions.quality import describable
 from mnemospark.functions.text import chat_path, derive_title, derive_topics, path_stem
 from mnemospark.operators.facts import prune_sources
 from mnemospark.operators.filters import latest_batches
-from mnemospark.operators.folds import number_rows, value_before
+from mnemospark.operators.folds import last_write, number_rows, value_before
 from mnemospark.schemas import DEFAULTS
 
 _RAW = ("full_body", "content_hash", "original_filename", "file_size_bytes", "blob_ref", "mime_type")
@@ -55,7 +55,8 @@ def upsert_uploads(docs: DataFrame, uploads: DataFrame, now: str | None = None,
     )
     top_id = F.coalesce(docs.agg(F.max("id")).scalar(), F.lit(0))
     fresh = changes.filter(F.col("_present").isNull())
-    fresh = number_rows(fresh, F.floor(F.col("first_seq") / chunk), ["first_seq", "vault_path"], "id", top_id)
+    ids = number_rows(fresh.select("first_seq", "vault_path"), ["first_seq", "vault_path"], "id", top_id)
+    fresh = fresh.join(ids.select("vault_path", "id"), "vault_path")  # bodies take no part in the numbering
     new = fresh.select(
         "id", "vault_path", F.coalesce("_title", path_stem(F.col("vault_path"))).alias("title"),
         *[F.col(f"w.{c}").alias(c) for c in raw],
@@ -66,9 +67,13 @@ def upsert_uploads(docs: DataFrame, uploads: DataFrame, now: str | None = None,
 
 
 def attach_summaries(docs: DataFrame, summaries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Set summary and title (and body when given) by path; also returns unknown paths."""
+    """Set summary and title (and body when given) by path; also returns unknown paths.
+
+    Of several summaries for one path the last by ``seq`` counts, if there is such a column.
+    """
     cols = [c for c in ("summary", "title", "full_body") if c in summaries.columns]
-    new = summaries.select("vault_path", *[F.col(c).alias(f"n_{c}") for c in cols])
+    own = last_write(summaries.select("vault_path", *cols, *(["seq"] if "seq" in summaries.columns else [])), "vault_path")
+    new = own.select("vault_path", *[F.col(c).alias(f"n_{c}") for c in cols])
     joined = docs.join(new, "vault_path", "left")
     out = joined.select(
         *[(F.coalesce(f"n_{c}", c) if c in cols else F.col(c)).alias(c) for c in docs.columns]
@@ -138,7 +143,7 @@ def blob_refcounts(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("blob_ref").isNotNull()).groupBy("blob_ref").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def replace_paths(docs: DataFrame, replacements: DataFrame, now: str | None = None, chunk: int = 1000) -> DataFrame:
+def replace_paths(docs: DataFrame, replacements: DataFrame, now: str | None = None) -> DataFrame:
     """Delete each ``old_path`` and insert its replacement as a new row, in one state.
 
     ``replacements(old_path, vault_path, title, tags, full_body, content_hash, seq)``;
@@ -146,7 +151,8 @@ def replace_paths(docs: DataFrame, replacements: DataFrame, now: str | None = No
     """
     left = docs.join(replacements.select(F.col("old_path").alias("vault_path")).distinct(), "vault_path", "left_anti")
     top_id = F.coalesce(docs.agg(F.max("id")).scalar(), F.lit(0))
-    numbered = number_rows(replacements, F.floor(F.col("seq") / chunk), ["seq", "vault_path"], "id", top_id)
+    keys = replacements.select("seq", "vault_path").distinct()
+    numbered = replacements.join(number_rows(keys, ["seq", "vault_path"], "id", top_id), ["seq", "vault_path"])
     stamp = _stamp(now)
     new = numbered.select(
         "id", "vault_path", derive_title(F.col("title"), F.lit(None).cast("string"), F.col("vault_path")).alias("title"),
@@ -212,7 +218,9 @@ def folder_batches(docs: DataFrame, status: str = "pending") -> DataFrame:
 
 
 def set_batch_status(batches: DataFrame, changes: DataFrame) -> DataFrame:
-    new = changes.select("batch_id", F.col("status").alias("_status"))
+    """Of several changes of one batch the last by ``seq`` counts, if there is such a column."""
+    own = last_write(changes.select("batch_id", "status", *(["seq"] if "seq" in changes.columns else [])), "batch_id")
+    new = own.select("batch_id", F.col("status").alias("_status"))
     joined = batches.join(new, "batch_id", "left")
     return joined.withColumn("status", F.coalesce("_status", "status")).drop("_status").select(*batches.columns)
 

@@ -236,10 +236,11 @@ def _(t):
 
 @query(
     "p11_choose_content",
-    "SELECT id, sha256(CASE WHEN full_body <> '' AND length(full_body) // 4 < 500 THEN full_body ELSE coalesce(summary, '') END) AS content FROM docs",
+    """SELECT id, sha256(CASE WHEN full_body <> '' THEN full_body ELSE coalesce(summary, '') END) AS content,
+      length(CASE WHEN full_body <> '' THEN full_body ELSE coalesce(summary, '') END) // 4 < 500 AS fits FROM docs""",
 )
 def _(t):
-    return filters.choose_content(t.documents, 500).select("id", F.sha2("content", 256).alias("content"))
+    return filters.choose_content(t.documents, 500).select("id", F.sha2("content", 256).alias("content"), "fits")
 
 
 _REQUESTS = "SELECT conv_id AS request_id, unnest(list(turn * 7 + conv_id ORDER BY turn)) AS id, unnest(range(count(*))) AS pos FROM conversations GROUP BY conv_id"
@@ -247,15 +248,15 @@ _REQUESTS = "SELECT conv_id AS request_id, unnest(list(turn * 7 + conv_id ORDER
 
 @query(
     "p12_resolve",
-    f"""SELECT request_id, pos, r.id, sha256(CASE WHEN pos < 2 THEN full_body ELSE coalesce(summary, '[Summary pending]') END) AS content,
-        pos >= 2 AS degraded FROM ({_REQUESTS}) r JOIN docs ON docs.id = r.id""",
+    f"""SELECT request_id, pos, r.id, sha256(coalesce(full_body, summary, '[Summary pending]')) AS content,
+        full_body IS NULL AS degraded FROM ({_REQUESTS}) r JOIN docs ON docs.id = r.id""",
 )
 def _(t):
     """Each conversation asks for the documents its turns name."""
     asked = t.conversations.groupBy(F.col("conv_id").alias("request_id")).agg(
         F.transform(F.sort_array(F.collect_list("turn")), lambda n: n * 7).alias("ids")
     ).withColumn("ids", F.transform("ids", lambda n: n + F.col("request_id")))
-    rows = filters.resolve(t.documents, asked, "text", max_text_refs=2)
+    rows = filters.resolve(t.documents, asked, "text")
     return rows.select("request_id", F.col("pos").cast("long").alias("pos"), "id", F.sha2("content", 256).alias("content"), "degraded")
 
 
@@ -522,7 +523,9 @@ def _(t):
 @query(
     "r14_chat_insights",
     """SELECT 'chat/' || strftime(make_timestamp((1704067200 + conv_id * 60 + turn) * 1000000), '%Y%m%d-%H%M%S') || '-' ||
-      left(trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '-', 'g'), '-'), 50) || '.md' AS vault_path,
+      left(trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '-', 'g'), '-'), 50)
+      || CASE WHEN length(trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '-', 'g'), '-')) > 50
+           THEN '-' || left(sha256(split_part(text, chr(10), 1)), 16) ELSE '' END || '.md' AS vault_path,
       sha256(text) AS content_hash FROM conversations WHERE role = 'assistant'""",
 )
 def _(t):

@@ -342,8 +342,7 @@ def _(t):
 @query(
     "w4_few_shot",
     """WITH pool AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) - 1 AS idx FROM (
-        SELECT c.*, e.dimension, e.entity FROM corrections c JOIN entries e ON e.id = c.entry_id WHERE reason_category = 'ai_error') x
-        QUALIFY idx < 200),
+        SELECT c.*, e.dimension, e.entity FROM corrections c JOIN entries e ON e.id = c.entry_id WHERE reason_category = 'ai_error') x),
       target AS (SELECT dimension AS target, list(entity) AS entities FROM (
         SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY cnt DESC, entity) AS r FROM (
           SELECT dimension, entity, count(*) AS cnt FROM entries WHERE (status IS NULL OR status <> 'retired') AND entity <> '' GROUP BY ALL) c) y
@@ -376,7 +375,7 @@ def _(t):
     "j14_extraction_requests",
     f"""WITH dims AS (SELECT unnest(['en', 'fr', 'it']) AS dimension),
       facts AS (SELECT dimension, string_agg(id::VARCHAR, ',' ORDER BY rank) AS ids FROM ({_TOP}) x WHERE rank <= 50 GROUP BY dimension),
-      todo AS (SELECT id, CASE WHEN full_body <> '' AND length(full_body) // 4 < 10000 THEN full_body ELSE coalesce(summary, '') END AS content FROM catalog
+      todo AS (SELECT id, CASE WHEN full_body <> '' THEN full_body ELSE coalesce(summary, '') END AS content FROM catalog
         WHERE (classify_content_hash IS NULL OR classify_content_hash <> content_hash) AND (status IS NULL OR status <> 'needs-review'))
     SELECT t.id AS doc_id, d.dimension, sha256(content) AS content, coalesce(f.ids, '-') AS fact_ids, 5::BIGINT AS n_shots
     FROM todo t CROSS JOIN dims d LEFT JOIN facts f ON f.dimension = d.dimension""",

@@ -234,9 +234,9 @@ def _(t):
     return facts.attach_twins(rows, t.entries).select("conv_id", "turn", F.coalesce("twin_id", F.lit(-1)).alias("twin_id"))
 
 
-@query("r8_retire", "SELECT e.id, CASE WHEN c.entry_id IS NOT NULL THEN 'retired' ELSE status END AS status, CASE WHEN c.entry_id IS NOT NULL THEN c.r ELSE '' END AS reasoning FROM entries e LEFT JOIN (SELECT entry_id, max(comment_text) AS r FROM comments GROUP BY entry_id) c ON c.entry_id = e.id")
+@query("r8_retire", "SELECT e.id, CASE WHEN c.entry_id IS NOT NULL THEN 'retired' ELSE status END AS status, CASE WHEN c.entry_id IS NOT NULL THEN c.r ELSE '' END AS reasoning FROM entries e LEFT JOIN (SELECT entry_id, last(comment_text ORDER BY created_at, id) AS r FROM comments GROUP BY entry_id) c ON c.entry_id = e.id")
 def _(t):
-    out = facts.retire(t.entries, t.comments.select(F.col("entry_id").alias("id"), F.col("comment_text").alias("reason")))
+    out = facts.retire(t.entries, t.comments.select(F.col("entry_id").alias("id"), F.col("comment_text").alias("reason"), F.struct("created_at", "id").alias("seq")))
     return out.select("id", "status", "reasoning")
 
 
@@ -599,7 +599,7 @@ def _(t):
     return reports.correction_lines(reports.corrections_enriched(rows, t.entries)).select("id", "line")
 
 
-@query("a8_summary_lines", "SELECT id, '  [' || id || '] ' || title || ': ' || left(coalesce(summary, ''), 200) AS line FROM docs")
+@query("a8_summary_lines", "SELECT id, '  [' || id || '] ' || title || ': ' || coalesce(summary, '') AS line FROM docs")
 def _(t):
     return reports.summary_lines(t.documents)
 
@@ -945,4 +945,4 @@ def _(t):
         F.when(F.col("quality") == 1, F.sha2("text", 256)).when(F.col("quality") == 0, "stale").alias("classify_content_hash"),
         F.timestamp_seconds(F.col("n_chars")).alias("updated_at"),
     )
-    return jobs.run_available(jobs.work_stream(docs, "1 day"), scratch_folder(t.spark)).select("id")
+    return jobs.run_available(jobs.work_stream(docs), scratch_folder(t.spark)).select("id")

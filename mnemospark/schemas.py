@@ -133,8 +133,6 @@ class Defaults:
     content_tokens: int = 10_000
     entries_per_dimension: int = 50
     classify_retries: int = 3
-    max_text_refs: int = 5
-    few_shot_pool: int = 200
     debounce: str = "1 second"
     move_window_seconds: float = 2.0
     sweep_confirmations: int = 2

@@ -14,7 +14,7 @@ from mnemospark.operators.filters import find_unclassified
 from mnemospark.operators.reconcile import coalesce_chains
 from mnemospark.operators.state import upsert_uploads
 from mnemospark.schemas import DEFAULTS
-from mnemospark.session import ROCKSDB
+from mnemospark.session import ROCKSDB, cut_lineage
 from mnemospark.sources.files import text_column
 from mnemospark.sources.tables import latest_version, read_snapshot, write_snapshot
 
@@ -187,24 +187,34 @@ def _step_once(spark: SparkSession, path: str, batch_id: int) -> bool:
     return done is None or done < batch_id + 1
 
 
-def ingest_stream(texts: DataFrame, catalog_path: str, checkpoint: str, delay: str = "1 hour") -> DataStreamWriter:
-    """Upsert ``texts(vault_path, full_body, content_hash, seq, ts, ...)`` into a catalog snapshot.
+def ingest_stream(texts: DataFrame, catalog_path: str, checkpoint: str) -> DataStreamWriter:
+    """Upsert ``texts(vault_path, full_body, content_hash, seq, ...)`` into a catalog snapshot.
 
-    A delivery repeated within ``delay`` (same path, hash and ``seq``) counts once; a
-    file that returns to earlier content is a change. Each micro-batch writes the
-    state version of its own number; a replayed batch finds it and does nothing.
-    Version 0 is the catalog before the stream.
+    No row is too late: the last ``seq`` stored of each path is kept beside the catalog
+    (``<catalog_path>-seen``), and only a repeated or older delivery of that path is left
+    out. A file that returns to earlier content with a new ``seq`` is a change. Each
+    micro-batch writes the state version of its own number; a replayed batch finds it and
+    does nothing. Version 0 is the catalog before the stream.
     """
-    key = ["vault_path", "content_hash", "seq"]
-    once = texts.withWatermark("ts", delay).dropDuplicatesWithinWatermark(key).drop("ts")
+    seen_path = f"{catalog_path.rstrip('/')}-seen"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if _step_once(spark, catalog_path, batch_id):
-            docs = read_snapshot(spark, catalog_path, batch_id)
-            write_snapshot(upsert_uploads(docs, batch).drop("action"), catalog_path, batch_id + 1)
+        if not _step_once(spark, catalog_path, batch_id):
+            return
+        docs = read_snapshot(spark, catalog_path, batch_id)
+        rows = batch.drop("ts").dropDuplicates(["vault_path", "content_hash", "seq"])
+        if batch_id > 0:
+            seen = read_snapshot(spark, seen_path, batch_id)
+        else:
+            seen = spark.createDataFrame([], "vault_path string, last_seq long")
+        fresh = cut_lineage(rows.join(seen, "vault_path", "left").filter("last_seq IS NULL OR seq > last_seq").drop("last_seq"))
+        newest = seen.unionByName(fresh.select("vault_path", F.col("seq").cast("long").alias("last_seq")))
+        if _step_once(spark, seen_path, batch_id):
+            write_snapshot(newest.groupBy("vault_path").agg(F.max("last_seq").alias("last_seq")), seen_path, batch_id + 1)
+        write_snapshot(upsert_uploads(docs, fresh).drop("action"), catalog_path, batch_id + 1)
 
-    return once.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
+    return texts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
 
 
 def file_stream(spark: SparkSession, root: str) -> DataFrame:
@@ -217,7 +227,10 @@ def file_stream(spark: SparkSession, root: str) -> DataFrame:
 
 
 def upload_stream(files: DataFrame, root: str, max_bytes: int = DEFAULTS.max_file_bytes) -> DataFrame:
-    """Extract a :func:`file_stream` to upload rows, ordered by modification time."""
+    """Extract a :func:`file_stream` to upload rows, ordered by modification time.
+
+    Larger files are the rows of :func:`oversize_stream`.
+    """
     base = len(root.rstrip("/")) + 1
     bare = F.regexp_replace("path", r"^[a-zA-Z0-9]+:(//[^/]*)?(?=/)", "")
     named = files.select(
@@ -230,10 +243,19 @@ def upload_stream(files: DataFrame, root: str, max_bytes: int = DEFAULTS.max_fil
     )
 
 
-def work_stream(documents: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Unclassified documents, each (id, content) once; run with ``availableNow`` to catch up."""
-    fresh = find_unclassified(documents).withWatermark("updated_at", delay)
-    return fresh.dropDuplicatesWithinWatermark(["id", "content_hash"]).select("id", "content_hash", "updated_at")
+def oversize_stream(files: DataFrame, max_bytes: int = DEFAULTS.max_file_bytes) -> DataFrame:
+    """The files of a :func:`file_stream` that are too large to extract, with the reason."""
+    large = files.filter(F.col("length") > max_bytes)
+    return large.select("path", F.col("length").alias("size"), F.format_string("larger than %d bytes", F.lit(max_bytes)).alias("reason"))
+
+
+def work_stream(documents: DataFrame) -> DataFrame:
+    """Unclassified documents, each (id, content) once; run with ``availableNow`` to catch up.
+
+    What was given out is kept for good, a row of two keys each, so that a document
+    with an old time is still found.
+    """
+    return find_unclassified(documents).dropDuplicates(["id", "content_hash"]).select("id", "content_hash", "updated_at")
 
 
 def chain_stream(

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from mnemospark.operators import facts
+from mnemospark.operators import facts, state
 from mnemospark.schemas import Bands
 
 ENTRY = (
@@ -202,3 +202,24 @@ def test_replies(make):
         9: "item[0] 'retire' missing 'reason'", 10: "item[0] confidence is not a number", 12: "item[0] confidence out of range [0.0, 1.0]",
         13: "item[0] 'new' missing 'fact'",
     }
+
+
+def test_empty_replies_have_an_outcome(make):
+    replies = make("reply_id int, doc_id long, dimension string, raw string", [
+        (1, 10, "d", "[]"), (2, 11, "d", "no json"), (3, 12, "d", '[{"action": "retire", "id": "77", "reason": "r"}]'),
+    ])
+    actions, rejects = facts.validate_replies(replies)
+    applied = facts.apply_actions(make(ENTRY, [entry(5, "A")]), actions, answered=facts.accepted_replies(replies, rejects))
+    got = {r["doc_id"]: (r["clean"], r["error"]) for r in facts.reply_outcomes(applied, rejects).collect()}
+    assert got[10] == (True, None) and got[11] == (False, "JSON parse error") and got[12][0] is False
+    docs = make("id long, content_hash string, classify_content_hash string, classify_attempts int, classify_last_error string, status string", [(d, "h", None, 0, None, None) for d in (10, 11, 12)])
+    stamped = {r["id"]: r["classify_content_hash"] for r in state.apply_outcomes(docs, facts.reply_outcomes(applied, rejects)).collect()}
+    assert stamped == {10: "h", 11: None, 12: None}
+
+
+def test_last_write_wins(make):
+    e = make(ENTRY, [entry(5, "A")])
+    rows = make("id long, fact string, confidence double, status string, retrieval_score double, seq long", [(5, "new", 0.9, None, 1.0, 2), (5, "old", 0.1, None, 1.0, 1)])
+    assert [(r["fact"], r["status"]) for r in facts.upsert_entries(e, rows).collect()] == [("new", "confident")]
+    out = facts.retire(e, make("id long, reason string, seq long", [(5, "b", 1), (5, "a", 2)])).collect()
+    assert [r["reasoning"] for r in out] == ["a"]

@@ -39,7 +39,7 @@ def test_listing(make):
 
 def test_choose_content(make):
     d = make("id int, full_body string, summary string", [(1, "x" * 8, "s"), (2, "x" * 7, "s"), (3, "", "s"), (4, None, None), (5, "x" * 40, None)])
-    assert [r["content"] for r in filters.choose_content(d, 2).orderBy("id").collect()] == ["s", "x" * 7, "s", "", ""]
+    assert [r["content"] for r in filters.choose_content(d, 2).orderBy("id").collect()] == ["x" * 8, "x" * 7, "s", "", "x" * 40]
 
 
 def test_resolve_counts_missing_ids(make):

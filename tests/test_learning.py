@@ -84,7 +84,7 @@ def test_hot_key_is_folded_in_pieces(make):
 
 def test_number_rows(make):
     df = make("seq long", [(i * 3,) for i in range(50)]).repartition(7)
-    got = folds.number_rows(df, F.floor(F.col("seq") / 10), ["seq"], "n", 100).orderBy("seq").collect()
+    got = folds.number_rows(df, ["seq"], "n", 100).orderBy("seq").collect()
     assert [r["n"] for r in got] == list(range(101, 151))
 
 
@@ -153,7 +153,7 @@ CORR = "id long, entry_id long, operation string, reason_category string, feedba
 def test_few_shot_scoring(make):
     entries = make("id long, dimension string, entity string", [(1, "people", "Alice"), (2, "tools", "Git"), (3, "tools", None)])
     rows = [(k, 1 + k % 3, "reject", "ai_error" if k % 4 else "other", f"fb{k}" if k % 2 else "", f"old{k}", f"new{k}" if k % 5 else None, T0 + dt.timedelta(minutes=k)) for k in range(40)]
-    got = context.few_shot(make(CORR, rows), entries, make("target string, entities array<string>", [("tools", ["ALICE"])]), cap=6, pool=20).orderBy("rank").collect()
+    got = context.few_shot(make(CORR, rows), entries, make("target string, entities array<string>", [("tools", ["ALICE"])]), cap=6).orderBy("rank").collect()
     keyed = {1: ("people", "Alice"), 2: ("tools", "Git"), 3: ("tools", None)}
     pool = sorted((r for r in rows if r[3] == "ai_error"), key=lambda r: r[7], reverse=True)[:20]
     scored = []
@@ -182,7 +182,7 @@ def test_reports(make):
     docs = make("id long, title string, summary string", [(1, "T", "s" * 300), (2, "U", None), (3, "V", "x")])
     assert [r["id"] for r in reports.uncovered_documents(docs, e).collect()] == [3]
     lines = {r["id"]: r["line"] for r in reports.summary_lines(docs).collect()}
-    assert lines[1] == "  [1] T: " + "s" * 200 and lines[2] == "  [2] U: "
+    assert lines[1] == "  [1] T: " + "s" * 300 and lines[2] == "  [2] U: "
     assert set(reports.build_report("conflicts", e, None, docs)) == {"members", "conflicts"}
     with pytest.raises(ValueError):
         reports.build_report("nope", e, None, docs)

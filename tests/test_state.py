@@ -68,6 +68,9 @@ def test_summaries_and_renames(make):
     out, unknown = state.attach_summaries(d, make("vault_path string, summary string, title string", [("a.md", "S", None), ("zz", "S", "T")]))
     assert {r["id"]: (r["summary"], r["title"]) for r in out.collect()}[1] == ("S", "T")
     assert unknown.count() == 1
+    twice = make("vault_path string, summary string, title string, seq long", [("a.md", "late", None, 2), ("a.md", "early", "E", 1)])
+    rows = state.attach_summaries(d, twice)[0].filter("id = 1").collect()
+    assert [(r["summary"], r["title"]) for r in rows] == [("late", "E")]
     out, refused = state.rename_paths(d, make("old_path string, new_path string", [("a.md", "x.md"), ("b.md", "c.md"), ("q", "r"), ("c.md", "x.md")]))
     assert {r["id"]: r["vault_path"] for r in out.collect()} == {1: "x.md", 2: "b.md", 3: "c.md"}
     assert refused.count() == 3

@@ -172,6 +172,33 @@ def test_ingest_keeps_a_return_to_earlier_content(feed, make, spark, tmp_path):
     assert [(r["id"], r["content_hash"]) for r in docs.collect()] == [(1, "h1")]
 
 
+def test_ingest_takes_late_files(feed, make, spark, tmp_path):
+    catalog = str(tmp_path / "catalog")
+    tables.write_snapshot(make(DOC, [(1, "a.md", "T", "s", "h1", "old", at(0), at(0))]), catalog, 0)
+    up = "vault_path string, full_body string, content_hash string, seq long, ts timestamp"
+    hours = [("b.md", "b", "h2", 200, at(3600 * 40)), ("c.md", "c", "h3", 300, at(3600 * 60))]
+    stream = feed(up, *[[row] for row in hours], [("late.md", "l", "h4", 5, at(0))], [("b.md", "stale", "h5", 100, at(10))])
+    jobs.ingest_stream(stream, catalog, str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    docs = tables.read_snapshot(spark, catalog, tables.latest_version(spark, catalog)).collect()
+    # a file older than all others is stored; an older version of a stored one is not
+    assert {(r["vault_path"], r["full_body"]) for r in docs} == {("a.md", "old"), ("b.md", "b"), ("c.md", "c"), ("late.md", "l")}
+
+
+def test_work_stream_takes_late_documents(feed, spark, tmp_path):
+    s = "id long, content_hash string, classify_content_hash string, status string, updated_at timestamp"
+    stream = jobs.work_stream(feed(s, [(1, "a", None, None, at(3600 * 90))], [(2, "b", None, None, at(0))], [(1, "a", None, None, at(0))]))
+    assert {(r["id"], r["content_hash"]) for r in run(stream, spark, tmp_path).collect()} == {(1, "a"), (2, "b")}
+
+
+def test_oversize_files_are_reported(spark, tmp_path):
+    root = tmp_path / "vault"
+    root.mkdir()
+    (root / "big.md").write_text("x" * 100)
+    (root / "small.md").write_text("x")
+    rows = run(jobs.oversize_stream(jobs.file_stream(spark, str(root)), 50), spark, tmp_path).collect()
+    assert [(r["path"].rsplit("/", 1)[-1], r["size"], r["reason"]) for r in rows] == [("big.md", 100, "larger than 50 bytes")]
+
+
 def test_upload_stream_reads_files(spark, tmp_path):
     root = tmp_path / "vault"
     root.mkdir()
