@@ -8,13 +8,13 @@ the largest log-probability plus Gumbel noise, in order, which is sampling witho
 replacement; the inclusion score of a path is the log-probability that its noise would
 have placed it above the (k+1)-th.
 
-Pieces never cross from one word to the next, so the lattice is a chain of small ones. A
-step is the rest of a word; its branches are weighed by sums over all continuations, which
-a worker works out once for each ending. A node of the search stands for all paths that
-leave an emitted path at one step: its log-probability is that of the prefix times what
-the step did not choose, and its noise is Gumbel truncated by its parent's, drawn for
-all steps of a path at once. Popping a node chooses among the step's other branches; the
-steps after it are drawn for all texts of a block together.
+Pieces never cross from one word to the next, so the lattice is a chain of small ones.
+The branches of a step are weighed by sums over all continuations, which a worker works
+out once for each word. A node of the search stands for all paths that leave an emitted
+path at one step: its log-probability is that of the prefix times what the step did not
+choose, and its noise is Gumbel truncated by its parent's, drawn for all steps of a path
+at once. Popping a node chooses among the step's other branches; the steps after it are
+drawn for all texts of a block together.
 
 Defined cases: a null text is an empty one; an empty text has one empty segmentation with
 the score 0; a text with fewer than ``k`` segmentations gives them all, with scores 0; rows
@@ -43,7 +43,7 @@ SPACE = "▁"
 _FINE = re.compile(rf"{SPACE}*[^\W\d_²³¹]+|{SPACE}*(?:[^\w{SPACE}\n]|[\d_²³¹])+|{SPACE}+|\n")
 _COARSE = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 #: Branches that a worker remembers; it starts anew beyond them.
-REMEMBERED = 2_000_000
+REMEMBERED = 4_000_000
 #: Where a path has become this unlikely, leaving it cannot matter: the chance is below e ** -60.
 _FAINT = -100.0
 
@@ -60,14 +60,26 @@ def _uniform(stream: np.ndarray, index: np.ndarray | int) -> np.ndarray:
     return ((_mixed(stream + steps) >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
 
 
+def _strings(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the strings end to end, and the length of each."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return points, np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+def _longer(hashes: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """The hashes of strings with one more character."""
+    return _mixed(hashes * np.uint64(0x9E3779B97F4A7C15) + points.astype(np.uint64) + np.uint64(1))
+
+
 class Lattices:
     """Steps of all words met so far, in flat arrays.
 
-    A step is the rest of a word that is still to be cut; words with one ending share the
-    steps of that ending. Step s has the branches ``first[s] : first[s] + size[s]``, one
-    for each piece that may come next: its ids (``n`` of them from ``at`` on), the running
-    sum ``cum`` of probabilities plus s, its log-probability ``logp`` and the step that
-    follows, -1 at the end of the word. Probabilities take all continuations into account.
+    A step is a position in a word, the rest of which is still to be cut. Step s has the
+    branches ``first[s] : first[s] + size[s]``, one for each piece that may come next, the
+    longest first: its ids (``n`` of them from ``at`` on), the running sum ``cum`` of
+    probabilities plus s, its log-probability ``logp`` and the step that follows, -1 at the
+    end of the word. Probabilities take all continuations into account. The lattices of all new
+    words of a block are worked out together, from the words' ends to their beginnings.
     """
 
     def __init__(self, model: str) -> None:
@@ -83,83 +95,110 @@ class Lattices:
         self.pieces = {names[i]: (i, -math.log(r + 2) - total) for r, i in enumerate(ranked)}
         self.cut = (_FINE if all(map(_FINE.fullmatch, self.pieces)) else _COARSE).findall
         self.longest = max(map(len, self.pieces), default=1)
-        self.begun = {p[:j] for p in self.pieces for j in range(1, len(p) + 1)}
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_logp = -math.log(len(ranked) + 2) - total
         self.fixed = [b"" if special[i] else bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else names[i].replace(SPACE, " ").encode() for i in range(n)]
+        # all beginnings of pieces by their hashes, with the piece that ends there or -1
+        begun = sorted({p[:j] for p in self.pieces for j in range(1, len(p) + 1)})
+        hashes = np.array([self._hash(p) for p in begun], np.uint64)
+        order = np.argsort(hashes)
+        self.begun = hashes[order]
+        if len(begun) > 1 and (self.begun[1:] == self.begun[:-1]).any():
+            raise ValueError("two beginnings of pieces share a hash")
+        self.ending = np.array([self.pieces.get(p, (-1,))[0] for p in begun], np.int64)[order]
+        self.piece_logp = np.zeros(n)
+        for i, logp in self.pieces.values():
+            self.piece_logp[i] = logp
         self.reset()
 
+    @staticmethod
+    def _hash(text: str) -> int:
+        found = np.zeros(1, np.uint64)
+        for c in text:
+            found = _longer(found, np.array([ord(c)], np.uint32))
+        return int(found[0])
+
     def reset(self) -> None:
         self.steps: dict[str, int] = {}
-        self.beta: list[float] = []
-        kinds = {"first": np.int64, "size": np.int64, "cum": np.float64, "logp": np.float64, "next": np.int64, "at": np.int64, "n": np.int64, "ids": np.int32}
+        kinds = {"first": np.int32, "size": np.int32, "cum": np.float64, "logp": np.float64, "next": np.int32, "at": np.int32, "n": np.int8, "ids": np.int32}
         self.used: dict[str, int] = dict.fromkeys(kinds, 0)
         self.kept = {name: np.zeros(1 << 12, kind) for name, kind in kinds.items()}
-        self.new: dict[str, list] = {name: [] for name in ("first", "size", "cum", "logp", "next", "ids")}
-
-    def _branches(self, rest: str) -> list[tuple[int, float, tuple[int, ...]]]:
-        """The pieces a string may begin with: (length, log-probability, ids)."""
-        get, begun, out = self.pieces.get, self.begun, []
-        for j in range(1, min(len(rest), self.longest) + 1):
-            part = rest[:j]
-            if part not in begun:
-                break
-            found = get(part)
-            if found:
-                out.append((j, found[1], (found[0],)))
-        if not out or out[0][0] != 1:  # no piece for the character itself
-            raw = rest[0].encode("utf-8", "surrogatepass")
-            out.insert(0, (1, len(raw) * self.byte_logp, tuple(self.byte_ids[b] for b in raw)))
-        return out
 
-    def add(self, word: str) -> int:
-        """The first step of a word, made with those of its endings that are new."""
-        steps, beta, branches, exp, used = self.steps, self.beta, self._branches, math.exp, self.used["cum"]
-        new_first, new_size, new_cum, new_logp, new_next, new_ids = self.new.values()
-        for i in range(len(word) - 1, -1, -1):
-            rest = word[i:]
-            if rest in steps:
-                continue
-            s = len(beta)
-            own = branches(rest)[::-1]  # the longest first, which is mostly the likeliest
-            follow = [steps[rest[j:]] if j < len(rest) else -1 for j, _, _ in own]
-            total = [x[1] + beta[f] if f >= 0 else x[1] for x, f in zip(own, follow)]
-            if len(own) == 1:
-                all_ = total[0]
-            else:
-                most = max(total)
-                all_ = most + math.log(sum([exp(t - most) for t in total]))
-            new_first.append(used + len(new_cum))
-            new_size.append(len(own))
-            at = float(s)
-            for t in total:
-                at += exp(t - all_)
-                new_cum.append(at)
-            new_cum[-1] = s + 1.0
-            new_logp += [t - all_ for t in total]
-            new_next += follow
-            new_ids += [x[2] for x in own]
-            beta.append(all_)
-            steps[rest] = s
-        return steps[word]
-
-    def _keep(self) -> None:
-        """Move what was added since into the arrays."""
-        if self.new["first"]:
-            counts = list(map(len, self.new["ids"]))
-            ends = np.cumsum(counts) + self.used["ids"]
-            rows = self.new | {"n": counts, "at": ends - counts, "ids": list(chain.from_iterable(self.new["ids"]))}
-            for name, values in rows.items():
-                at, to = self.used[name], self.used[name] + len(values)
-                while to > len(self.kept[name]):
-                    self.kept[name] = np.concatenate([self.kept[name], np.zeros_like(self.kept[name])])
-                self.kept[name][at:to] = values
-                self.used[name] = to
-            np.minimum(self.kept["logp"], 0.0, out=self.kept["logp"])
-            for values in self.new.values():
-                values.clear()
-        for name in self.kept:
-            setattr(self, name, self.kept[name][: self.used[name]])
+    def _edges(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, length, piece) of all pieces in the words; ``ends`` has the end of each position's word."""
+        alive, hashes = np.arange(len(points)), np.zeros(len(points), np.uint64)
+        source, length, piece = [], [], []
+        for n in range(1, self.longest + 1):
+            inside = alive + n <= ends[alive]
+            alive, hashes = alive[inside], hashes[inside]
+            if not len(alive):
+                break
+            hashes = _longer(hashes, points[alive + n - 1])
+            found = np.minimum(np.searchsorted(self.begun, hashes), len(self.begun) - 1)
+            known = self.begun[found] == hashes
+            alive, hashes, found = alive[known], hashes[known], self.ending[found[known]]
+            whole = found >= 0
+            source.append(alive[whole])
+            length.append(np.full(int(whole.sum()), n))
+            piece.append(found[whole])
+        single = np.zeros(len(points), bool)
+        if source:
+            single[source[0]] = True
+        missing = np.flatnonzero(~single)  # characters without a piece: their bytes
+        source, length, piece = (np.concatenate([*x, y]) for x, y in ((source, missing), (length, np.ones(len(missing), np.int64)), (piece, np.full(len(missing), -1))))
+        order = np.lexsort((-length, source))
+        return source[order], length[order], piece[order]
+
+    def learn(self, new: list[str]) -> None:
+        """Work out the lattices of words not met before."""
+        points, lengths = _strings(new)
+        total = len(points)
+        word_ends = np.cumsum(lengths)
+        ends = np.repeat(word_ends, lengths)
+        source, length, piece = self._edges(points, ends)
+        target = source + length
+        n = np.ones(len(source), np.int64)
+        logp = self.piece_logp[piece]
+        raw = {int(e): chr(int(points[source[e]])).encode("utf-8", "surrogatepass") for e in np.flatnonzero(piece < 0)}
+        for e, own in raw.items():
+            n[e], logp[e] = len(own), len(own) * self.byte_logp
+        size = np.bincount(source, minlength=total)
+        first = np.cumsum(size) - size
+        # sums over all ways to finish a word, from its end on
+        beta, value = np.zeros(total + 1), np.zeros(len(source))
+        left = ends - np.arange(total)
+        by = np.argsort(left, kind="stable")
+        cuts = np.searchsorted(left[by], np.arange(1, int(left.max()) + 2))
+        for d in range(len(cuts) - 1):
+            own = by[cuts[d] : cuts[d + 1]]
+            run, place = segments(size[own])
+            e = first[own][run] + place
+            done = target[e] == ends[own][run]
+            value[e] = logp[e] + np.where(done, 0.0, beta[target[e]])
+            heads = np.cumsum(size[own]) - size[own]
+            most = np.maximum.reduceat(value[e], heads)
+            beta[own] = most + np.log(np.add.reduceat(np.exp(value[e] - most[run]), heads))
+        logp = np.minimum(value - beta[source], 0.0)
+        base, used = self.used["first"], self.used["cum"]
+        sums = np.append(0.0, np.cumsum(np.exp(logp)))
+        cum = np.minimum(sums[1:] - sums[first[source]], 1.0) + (base + source)
+        cum[first + size - 1] = base + np.arange(total) + 1.0
+        ids_end = np.cumsum(n)
+        ids = np.zeros(int(ids_end[-1]), np.int32)
+        ids[ids_end - n] = piece
+        for e, own in raw.items():
+            ids[ids_end[e] - n[e] : ids_end[e]] = [self.byte_ids[b] for b in own]
+        rows = {
+            "first": first + used, "size": size, "cum": cum, "logp": logp, "next": np.where(target == ends[source], -1, target + base),
+            "at": ids_end - n + self.used["ids"], "n": n, "ids": ids,
+        }
+        for name, values in rows.items():
+            at, to = self.used[name], self.used[name] + len(values)
+            while to > len(self.kept[name]):
+                self.kept[name] = np.concatenate([self.kept[name], np.zeros_like(self.kept[name])])
+            self.kept[name][at:to] = values
+            self.used[name] = to
+        self.steps.update(zip(new, (base + word_ends - lengths).tolist()))
 
     def units(self, text: str) -> list[str]:
         """The text with spaces as the model writes them, cut where no piece crosses."""
@@ -167,9 +206,11 @@ class Lattices:
 
     def codes(self, units: list[str]) -> np.ndarray:
         """The first step of each word."""
-        for w in set(units).difference(self.steps):
-            self.add(w)
-        self._keep()
+        new = set(units).difference(self.steps)
+        if new:
+            self.learn(sorted(new))
+        for name in self.kept:
+            setattr(self, name, self.kept[name][: self.used[name]])
         return np.array(list(map(self.steps.__getitem__, units)), np.int64)
 
     def draw(self, first_steps: np.ndarray, streams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
