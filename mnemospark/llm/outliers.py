@@ -110,19 +110,15 @@ def chi_square_quantile(p: float, k: int) -> float:
 
 
 def _distance(scale: float) -> Column:
-    """The squared Mahalanobis distance by the Cholesky factor in columns ``l_i_j`` and means ``m_i``; covariances times ``scale``."""
-    solved: Column | None = None
-    for i, name in enumerate(FEATURES):
-        rest = F.col(name) - F.col(f"m_{i}")
-        for j in range(i):
-            rest = rest - F.col(f"l_{i}_{j}") * F.get(solved, j)
-        y = F.array(rest / F.col(f"l_{i}_{i}"))
-        solved = y if solved is None else F.concat(solved, y)
-    return F.aggregate(solved, F.lit(0.0), lambda a, y: a + y * y) / scale
+    """The squared Mahalanobis distance by means ``m_i`` and the inverse Cholesky factor ``w_i_j``; covariances times ``scale``."""
+    p = len(FEATURES)
+    off = [F.col(f) - F.col(f"m_{i}") for i, f in enumerate(FEATURES)]
+    solved = [sum((F.col(f"w_{i}_{j}") * off[j] for j in range(1, i + 1)), F.col(f"w_{i}_0") * off[0]) for i in range(p)]
+    return sum((y * y for y in solved[1:]), solved[0] * solved[0]) / scale
 
 
 def _estimate(rows: DataFrame) -> DataFrame:
-    """``grp``, means and the Cholesky factor of the covariance of each group's rows."""
+    """``grp``, means and the inverse Cholesky factor of the covariance of each group's rows."""
     p = len(FEATURES)
     sums = [F.avg(f).alias(f"m_{i}") for i, f in enumerate(FEATURES)]
     products = [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)]
@@ -136,11 +132,16 @@ def _estimate(rows: DataFrame) -> DataFrame:
                 inner = inner - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             value = F.sqrt(F.greatest(inner, F.lit(FLOORS[i] ** 2 / 4))) if i == j else inner / F.col(f"l_{j}_{j}")
             out = out.withColumn(f"l_{i}_{j}", value)
-    return out.drop(*[f"c_{i}_{j}" for i in range(p) for j in range(i + 1)])
+    for i in range(p):
+        out = out.withColumn(f"w_{i}_{i}", 1 / F.col(f"l_{i}_{i}"))
+        for j in range(i):
+            inner = sum((F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}") for k in range(j + 1, i)), F.col(f"l_{i}_{j}") * F.col(f"w_{j}_{j}"))
+            out = out.withColumn(f"w_{i}_{j}", -inner / F.col(f"l_{i}_{i}"))
+    return out.drop(*[f"{x}_{i}_{j}" for x in "cl" for i in range(p) for j in range(i + 1)])
 
 
 def fit_outliers(measured: DataFrame, share: float = 0.75, steps: int = 5, min_rows: int = 200) -> DataFrame:
-    """``lang, source`` with the robust mean and Cholesky factor that judge their rows.
+    """``lang, source`` with the robust mean and inverse Cholesky factor that judge their rows.
 
     ``measured`` is what ``measure`` gives; rows that the base rules fail take no part.
     """
@@ -160,7 +161,7 @@ def fit_outliers(measured: DataFrame, share: float = 0.75, steps: int = 5, min_r
     start = quartiles.join(large, "grp").select(
         "grp",
         *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(len(FEATURES))],
-        *[(F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(FLOORS[i])) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(len(FEATURES)) for j in range(i + 1)],
+        *[(1 / F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(FLOORS[i])) if i == j else F.lit(0.0)).alias(f"w_{i}_{j}") for i in range(len(FEATURES)) for j in range(i + 1)],
     )
     groups = stored(start)
     for _ in range(steps):
