@@ -129,7 +129,7 @@ def super_kmers(docs: DataFrame, counts: np.ndarray, buckets: int, window: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = ship.value << np.uint64(40)
-        for block in blocks(batches, "text", 3 * BLOCK):
+        for block in blocks(batches, "text", BLOCK):
             ids = block.column("doc_id").fill_null(_NO_ID).to_numpy()
             order = np.argsort(ids, kind="stable")
             texts = block.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
