@@ -118,7 +118,7 @@ def sampled_masks(bits: int, size: int, tables: int, seed: int = 42) -> list[np.
     return [np.sort(dealt[i * size : (i + 1) * size]) for i in range(tables)]
 
 
-def _forest(prints: list[str], distance: int) -> list[tuple[int, int]]:
+def _forest(prints: list[bytes], distance: int) -> list[tuple[int, int]]:
     """Links (i, root) joining the fingerprints that are connected by at most ``distance`` differing bits."""
     n = len(prints)
     root = list(range(n))
@@ -130,14 +130,14 @@ def _forest(prints: list[str], distance: int) -> list[tuple[int, int]]:
         return i
 
     if n <= 8:
-        own = [int(x, 16) for x in prints]
+        own = [int.from_bytes(x) for x in prints]
         for i in range(n):
             for j in range(i):
                 if (own[i] ^ own[j]).bit_count() <= distance:
                     a, b = find(i), find(j)
                     root[max(a, b)] = min(a, b)
     else:
-        words = np.frombuffer(bytes.fromhex("".join(prints)), ">u8").astype(np.uint64).reshape(n, -1)
+        words = np.frombuffer(b"".join(prints), np.uint64).reshape(n, -1)
         for i in range(1, n):
             near = np.flatnonzero(np.bitwise_count(words[:i] ^ words[i]).sum(1, dtype=np.int64) <= distance)
             for r in {find(j) for j in near.tolist()}:
@@ -155,47 +155,51 @@ def links(distinct: DataFrame, masks: list[np.ndarray], distance: int, width: in
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = np.frombuffer(bytes.fromhex("".join(batch.column("fingerprint").to_pylist())), ">u8").astype("<u8").reshape(-1, width)
+            packed_prints = batch.column("raw").to_pylist()
+            raw = np.frombuffer(b"".join(packed_prints), ">u8").astype("<u8").reshape(-1, width)
             bits = np.unpackbits(raw.view(np.uint8).reshape(len(raw), -1), axis=1, bitorder="little")
             for t, mask in enumerate(masks):
                 packed = np.zeros((len(raw), 8), np.uint8)
                 own = np.packbits(bits[:, mask], axis=1, bitorder="little")
                 packed[:, : own.shape[1]] = own
-                key = packed.view("<u8")[:, 0].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), t), pa.int32()), pa.array(key, pa.int64()), batch.column("fingerprint")], ["t", "key", "fingerprint"])
-
-    # one table for each mask; a key has at most 56 bits
-    entries = distinct.select("fingerprint").mapInArrow(keys, "t int, key long, fingerprint string")
-    sizes = entries.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = entries.join(sizes, ["t", "key"])
+                key = packed.view("<u8")[:, 0] | np.uint64(t << 48)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64), pa.int64()), batch.column("raw")], ["key", "raw"])
+
+    # the number of the table above the bits of the entry
+    if len(masks) > 1 << 15 or max(map(len, masks)) > 48:
+        raise ValueError("at most 32768 tables of 48 bits")
+    entries = distinct.select(F.unhex("fingerprint").alias("raw")).mapInArrow(keys, "key long, raw binary")
+    sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = entries.join(sizes, "key")
     pieces = F.ceil(F.col("n") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("fingerprint"), F.col("pieces")).cast("int")
+    own = F.pmod(F.xxhash64("raw"), F.col("pieces")).cast("int")
     split = shared.withColumn("pieces", pieces).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    tasks = split.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fingerprint")
-    dealt = tasks.repartition(max(2 * partitions(spark), 2), "t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi", "fingerprint")
+    task = ["key", "lo", "hi"]
+    tasks = split.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "raw")
+    dealt = tasks.repartition(max(2 * partitions(spark), 2), *task).sortWithinPartitions(*task, "raw")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[str] = []
-        task = None
+        held: list[bytes] = []
+        last = None
         for batch in batches:
             out: list[tuple[str, str]] = []
-            columns = [batch.column(c).to_numpy() for c in ("t", "key", "lo", "hi")]
+            columns = [batch.column(c).to_numpy() for c in task]
             change = np.ones(batch.num_rows, bool)
             if batch.num_rows:
                 change[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
             cuts = np.flatnonzero(change).tolist()
-            prints = batch.column("fingerprint").to_pylist()
+            prints = batch.column("raw").to_pylist()
             for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
                 name = tuple(int(c[a]) for c in columns)
-                if name != task:
+                if name != last:
                     out += close(held)
-                    task, held = name, []
+                    last, held = name, []
                 held += prints[a:b]
             yield table(out)
         yield table(close(held))
 
-    def close(prints: list[str]) -> list[tuple[str, str]]:
-        return [(prints[i], prints[j]) for i, j in _forest(prints, distance)] if len(prints) > 1 else []
+    def close(prints: list[bytes]) -> list[tuple[str, str]]:
+        return [(prints[i].hex(), prints[j].hex()) for i, j in _forest(prints, distance)] if len(prints) > 1 else []
 
     def table(found: list[tuple[str, str]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], ["a", "b"])
