@@ -526,10 +526,10 @@ def _(t):
       left(trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '-', 'g'), '-'), 50)
       || CASE WHEN length(trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '-', 'g'), '-')) > 50
            THEN '-' || left(sha256(split_part(text, chr(10), 1)), 16) ELSE '' END || '.md' AS vault_path,
-      sha256(text) AS content_hash FROM conversations WHERE role = 'assistant'""",
+      sha256(text) AS content_hash FROM conversations""",
 )
 def _(t):
-    turns = t.conversations.filter(F.col("role") == "assistant").select(
+    turns = t.conversations.select(
         "text", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title_hint"),
         F.timestamp_seconds(F.lit(1_704_067_200) + F.col("conv_id") * 60 + F.col("turn")).alias("ts"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
