@@ -25,12 +25,8 @@ from pyspark.sql import functions as F
 
 from mnemospark.llm.common import blocks, partitions, segments, tune, worker_cache
 
-#: Distinct strings that a worker remembers at each level; it starts anew beyond them.
-REMEMBERED = 600_000
-#: A space that must begin a word of its own: one between two other characters.
-_SEAM = re.compile(r"(?<=\S) (?=\S)")
-#: Spacing in which not every space is such a seam.
-_ODD_SPACING = re.compile(r"\s[ ]|[ ]\s|^ | $")
+#: Distinct words that a worker remembers; it starts anew beyond them.
+REMEMBERED = 1_200_000
 _JOINABLE = re.compile(r" ?\S+")
 
 
@@ -74,9 +70,7 @@ class TextEncoder:
     """Encodes with the tokenizers library and remembers what it gave for each word.
 
     A byte-level tokenizer cuts a text into words by a fixed pattern and encodes each by
-    itself, and a single space between two other characters always begins a word. So a
-    text is first cut at those spaces; pieces that are new are cut by the pattern; words
-    that are new go to the library, many at a time with line ends between them.
+    itself. Words that are new go to the library, many at a time with line ends between.
     """
 
     def __init__(self, path: str) -> None:
@@ -89,7 +83,7 @@ class TextEncoder:
         self.library.encode_special_tokens = True
         self.cut = regex.compile(PATTERN).findall
         self.line_end = self.library.encode("\n", add_special_tokens=False).ids
-        self.pieces, self.words = _Remembered(), _Remembered()
+        self.words = _Remembered()
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         given = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -116,7 +110,10 @@ class TextEncoder:
         run, place = segments(lengths)
         self.words.add(ids[starts[run] + place], lengths)
 
-    def _by_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and how many each has."""
+        if len(self.words) > REMEMBERED:
+            self.words = _Remembered()
         found = [self.cut(x) for x in texts]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         codes = list(map(self.words.__getitem__, chain.from_iterable(found)))
@@ -124,20 +121,6 @@ class TextEncoder:
             self._learn_words()
         return self.words.gather(np.array(codes, np.int64), counts)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts end to end, and how many each has."""
-        for level in ("pieces", "words"):
-            if len(getattr(self, level)) > REMEMBERED:
-                setattr(self, level, _Remembered())
-        found = [_SEAM.split(x) if _ODD_SPACING.search(x) else x.split(" ") for x in texts]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        for own in found:
-            own[0] = (own[0],)  # the first has no space before it
-        codes = np.array(list(map(self.pieces.__getitem__, chain.from_iterable(found))), np.int64)
-        if fresh := self.pieces.fresh:
-            self.pieces.add(*self._by_words([x[0] if isinstance(x, tuple) else f" {x}" for x in fresh]))
-        return self.pieces.gather(codes, counts)
-
 
 def encoder(path: str) -> TextEncoder:
     known = worker_cache("text_encoders")
@@ -167,7 +150,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int | None, text:
     return rows.mapInArrow(encode, "doc_id long, n_tokens long, place long, ids array<int>")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, text: str = "text", doc_id: str = "doc_id", parts: int | None = None, stripe_bytes: int = 16 << 20, compress: str = "zlib") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, text: str = "text", doc_id: str = "doc_id", parts: int | None = None, stripe_bytes: int = 16 << 20, compress: str = "zstd") -> None:
     """Write the documents' ids below ``path`` in ascending order of ``doc_id``.
 
     ``part`` numbers the ranges in that order; a file holds rows of one part.
