@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
@@ -71,6 +72,72 @@ def test_simhash_wide_fingerprints_start_with_the_narrow_one(corpus):
     assert all(wide[d].startswith(p) and len(wide[d]) == 64 for d, p in narrow.items())
 
 
+def shingles(text):
+    own = (text or "").encode().lower().split()
+    return {b" ".join(own[i : i + 5]) for i in range(max(1, len(own) - 4))} if own else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def lone_pairs(rng, n):
+    """Pairs of texts with some words replaced, their similarities spread over 0.7 to 0.9."""
+    out = []
+    while len(out) < n:
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 600))]
+        copy = list(own)
+        for i in rng.sample(range(len(own)), max(1, round(len(own) * rng.uniform(0.01, 0.035)))):
+            copy[i] = f"c{rng.randrange(10**6)}"
+        a, b = " ".join(own), " ".join(copy)
+        if 0.7 <= jaccard(shingles(a), shingles(b)) <= 0.9:
+            out.append((a, b))
+    return out
+
+
+def test_pipeline_near_duplicates_match_true_similarity(spark):
+    """Lone pairs, which no larger group links: those at 0.8 or more lose a document, others none."""
+    pairs = lone_pairs(random.Random(7), 400)
+    rows = [(2 * i + k, x, "en", "a", len(x)) for i, pair in enumerate(pairs) for k, x in enumerate(pair)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    close = {2 * i + 1 for i, (a, b) in enumerate(pairs) if jaccard(shingles(a), shingles(b)) >= 0.8}
+    assert 100 < len(close) < 300
+    gone = {r[0] for r in rows} - kept
+    assert gone <= close
+    assert len(gone) >= 0.99 * len(close)
+
+
+def test_similar_documents_match_brute_force(spark, corpus, edges):
+    """Chains of copies, small chunks, equal fingerprints of unlike sets, and the corpus."""
+    rng = random.Random(3)
+    rows = []
+    for d in range(12):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        for _ in range(8):
+            rows.append((len(rows), " ".join(own)))
+            own[rng.randrange(150)] = "x"
+            own[rng.randrange(150)] = "y"
+    rows += [(len(rows) + i, "a b c d e " * 200 + " ".join(f"{z}{k}" for k in range(90))) for i, z in enumerate("pqr")]
+    chains = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for table, chunk in ((chains, 3), (chains, 1024), (corpus.select("doc_id", "text"), 1024), (edges.where("doc_id is not null"), 1024)):
+        texts = [(r["doc_id"], shingles(r["text"])) for r in table.collect()]
+        root = {d: d for d, _ in texts}
+
+        def find(d):
+            while root[d] != d:
+                d = root[d]
+            return d
+
+        for i, (d, a) in enumerate(texts):
+            for e, b in texts[:i]:
+                if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and jaccard(a, b) >= 0.8:
+                    x, y = sorted((find(d), find(e)))
+                    root[y] = x
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table, chunk=chunk).collect()}
+        assert got == {d: find(d) for d in root}
+
+
 def test_simhash_edges(edges, nothing):
     rows = simhash.near_duplicates(edges).collect()
     by_id = {r["doc_id"]: r for r in rows}
