@@ -169,6 +169,33 @@ def test_outliers_find_planted_ones_and_keep_the_rest(spark):
     assert all(kept[d] == (d % 40 != 0) for d in kept)
 
 
+@pytest.mark.parametrize("kind", ["lines", "words", "length", "symbols", "short"])
+def test_each_statistic_rejects_by_itself(spark, kind):
+    """One in 40 texts is odd in one statistic only; all the others have nothing of it."""
+    rng = random.Random(kind)
+    word = lambda low, high: "".join(rng.choice("abcde") for _ in range(rng.randint(low, high)))
+
+    def text(odd):
+        own = [word(5, 9) for _ in range(rng.randint(100, 200))]
+        if odd and kind == "lines":  # copies too short for a window of 8 words
+            return "\n".join(x for i in range(0, 96, 8) for x in (" ".join(own[i : i + 8]), "more"))
+        if odd and kind == "words":
+            return " ".join(own[:100] + own[:13])
+        if odd and kind == "length":
+            own = [word(2, 3) for _ in own]
+        if odd and kind == "symbols":
+            own = [w + "#" * (i % 5 == 0) for i, w in enumerate(own)]
+        if odd and kind == "short":
+            own = own[:25]
+        return "\n".join(" ".join(own[i : i + 10]) for i in range(0, len(own), 10))
+
+    table = spark.createDataFrame([(d, text(d % 40 == 0), "en", "s") for d in range(800)], "doc_id long, text string, lang string, source string")
+    measured = outliers.measure(table, ["doc_id"])
+    rows = outliers.judge(measured, outliers.fit_outliers(measured), ["doc_id"]).collect()
+    assert not any(r["base_failed"] for r in rows)
+    assert all(r["kept"] == (r["doc_id"] % 40 != 0) for r in rows)
+
+
 def test_concentration_steps_lower_the_determinant(spark, data):
     docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet")
     measured = outliers.measure(docs, ["doc_id"]).persist()
