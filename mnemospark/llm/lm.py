@@ -5,8 +5,12 @@ positions have their own embeddings; their sum and a tanh give a hidden vector,
 predicts first the class of the word (words of neighbouring frequency) and then the word
 in its class. A document's score is the sum over its words of those log-probabilities.
 
-The vocabulary holds the ``words`` most frequent of the whole corpus; other words are
-known by ``rare`` hash buckets, and the score of such a word is that of its bucket.
+The vocabulary holds the ``words`` most frequent of the whole corpus, by default as many as
+the root of the number of distinct words, and 1,024 at least. The network knows other words
+by ``rare`` hash buckets; to the log-probability of its bucket such a word adds that of the
+word in the bucket, from the counts of all words. The counts stay a distributed table,
+which joins the distinct rare words of each document; one is added to each count, and a
+word that the corpus lacks costs more than any it has.
 Training reads every document once, in ``rounds``: in a round each partition starts from
 the same weights and takes gradient steps over its share of the documents; then the
 weights are averaged by the number of words trained on. What is shuffled grows with the
@@ -26,10 +30,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import blocks, partitions, tune, worker_cache
+from mnemospark.llm.common import blocks, partitions, stored, tune, worker_cache
 
 BATCH = 8192
 SLICES = 16
@@ -41,10 +46,12 @@ class WindowModel:
     rare: int
     reach: int
     weights: tuple[np.ndarray, ...]  # embeddings (positions, tokens + 1, d), bias (d), classes (d, c), class bias, words (c, d, m), word bias (c, m)
+    inside: DataFrame | None = None  # h, lp: hashes of the other words and their log-probabilities in their buckets
+    unseen: float = 0.0
 
 
-def vocabulary(docs: DataFrame, words: int, text: str = "text") -> tuple[bytes, ...]:
-    """The most frequent words, ties in the order of their bytes, from counts over all documents."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``word, n`` over all documents, stored."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -59,10 +66,24 @@ def vocabulary(docs: DataFrame, words: int, text: str = "text") -> tuple[bytes,
     def rows_of(total: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return stored(docs.select(F.col(text).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def vocabulary(counted: DataFrame, words: int) -> tuple[bytes, ...]:
+    """The most frequent words, ties in the order of their bytes."""
     return tuple(bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(words).collect())
 
 
+def inside_buckets(counted: DataFrame, known: tuple[bytes, ...], rare: int) -> tuple[DataFrame, float]:
+    """``h, lp``: the log-probability in its bucket of each word that is not ``known``, and that of any other word."""
+    names = counted.sparkSession.createDataFrame(pa.table({"word": pa.array(known, pa.binary())}))
+    others = counted.join(F.broadcast(names), "word", "left_anti").withColumn("bucket", F.crc32("word") % rare)
+    sizes = others.groupBy("bucket").agg((F.sum("n") + F.count("*") + 1).alias("all"))
+    total = sizes.agg(F.sum(F.col("all") - 1)).first()[0] or 0
+    table = others.join(F.broadcast(sizes), "bucket").select(F.xxhash64("word").alias("h"), F.log((F.col("n") + 1) / F.col("all")).alias("lp"))
+    return stored(table), -float(np.log(total + 1))
+
+
 def _start(tokens: int, reach: int, size: int, seed: int = 42) -> tuple[np.ndarray, ...]:
     rng = np.random.default_rng(seed)
     classes = int(np.ceil(np.sqrt(tokens)))
@@ -170,12 +191,16 @@ def _learn(weights, squares, tokens, at, reach, rate):
         w -= rate * g / (np.sqrt(s) + 1e-7)
 
 
-def fit_window_model(docs: DataFrame, words: int = 1024, rare: int = 128, reach: int = 2, size: int = 16, rounds: int = 3, rate: float = 0.1, text: str = "text", doc_id: str = "doc_id") -> WindowModel:
+def fit_window_model(docs: DataFrame, words: int | None = None, rare: int = 128, reach: int = 2, size: int = 16, rounds: int = 3, rate: float = 0.1, text: str = "text", doc_id: str = "doc_id") -> WindowModel:
     """Train on every document of ``docs``, each in one of the rounds."""
     spark = tune(docs.sparkSession)
-    if words + rare > 32_000:
+    if (words or 0) + rare > 32_000:
         raise ValueError("tokens are 16-bit numbers")
-    known_words = vocabulary(docs, words, text)
+    counted = word_counts(docs, text)
+    if words is None:
+        words = min(max(1024, int(counted.count() ** 0.5)), 32_000 - rare)
+    known_words = vocabulary(counted, words)
+    inside, unseen = inside_buckets(counted, known_words, rare)
     n_words = len(known_words)
     weights = _start(n_words + rare, reach, size)
     rows = docs.select(F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(rounds)).alias("turn"), F.col(text).alias("text"))
@@ -220,14 +245,14 @@ def fit_window_model(docs: DataFrame, words: int = 1024, rare: int = 128, reach:
         flat = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(mean, key=lambda r: r["part"])])
         ends = np.cumsum([w.size for w in weights])
         weights = tuple(flat[e - w.size : e].reshape(w.shape).copy() for w, e in zip(weights, ends))
-    return WindowModel(known_words, rare, reach, weights)
+    return WindowModel(known_words, rare, reach, weights, inside, unseen)
 
 
 def score_documents(docs: DataFrame, model: WindowModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns with ``n_tokens``, ``log_prob`` (summed over all words) and ``mean_log_prob``."""
     spark = tune(docs.sparkSession)
     rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", n_tokens long, log_prob double, mean_log_prob double"
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", n_tokens long, __net double, __h array<long>, __n array<int>"
     ship = spark.sparkContext.broadcast((model.vocabulary, model.rare, model.reach, model.weights))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,12 +261,27 @@ def score_documents(docs: DataFrame, model: WindowModel, text: str = "text", kee
         if not known:
             known.update({w: i for i, w in enumerate(words)})
         for block in blocks(batches, "__text", 2 << 20):
-            tokens, counts = _tokens(block.column("__text").cast(pa.binary()).fill_null(b"").to_pylist(), known, len(words), rare, reach)
+            texts = block.column("__text").cast(pa.binary()).fill_null(b"").to_pylist()
+            tokens, counts = _tokens(texts, known, len(words), rare, reach)
+            others = [Counter(w for w in x.lower().split() if known.get(w, len(words)) >= len(words)) for x in texts]
+            ends = pa.array(np.cumsum([0, *map(len, others)]), pa.int32())
+            hashes = np.array([xxhash.xxh64_intdigest(w, 42) for x in others for w in x], np.uint64).view(np.int64)
+            often = np.array([n for x in others for n in x.values()], np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (hashes, often)]
             at = _positions(counts, reach)
             found = np.concatenate([np.zeros(1)] + [_scores(weights, tokens, at[i : i + BATCH], reach).astype(np.float64) for i in range(0, len(at), BATCH)])
             sums = np.cumsum(found)
             ends = np.cumsum(counts)
             total = sums[ends] - sums[ends - counts]
-            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in keep), pa.array(counts), pa.array(total), pa.array(total / np.maximum(counts, 1))], [*keep, "n_tokens", "log_prob", "mean_log_prob"])
-
-    return rows.mapInArrow(score, schema)
+            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in keep), pa.array(counts), pa.array(total), *lists], [*keep, "n_tokens", "__net", "__h", "__n"])
+
+    # rows may be repeated and ids null: each row gets a number of its own, which is stored with it
+    scored = stored(rows.mapInArrow(score, schema).withColumn("__row", F.monotonically_increasing_id()))
+    terms = scored.select("__row", F.explode(F.arrays_zip("__h", "__n")).alias("x")).select("__row", F.col("x.__h").alias("h"), F.col("x.__n").alias("n"))
+    lp = F.lit(model.unseen)
+    if model.inside is not None:
+        terms, lp = terms.join(model.inside, "h", "left"), F.coalesce("lp", lp)
+    sums = terms.groupBy("__row").agg(F.sum(F.col("n") * lp).alias("__inside"))
+    total = (F.col("__net") + F.coalesce("__inside", F.lit(0.0))).alias("log_prob")
+    out = scored.drop("__h", "__n").join(sums, "__row", "left").select(*keep, "n_tokens", total)
+    return out.withColumn("mean_log_prob", F.col("log_prob") / F.greatest("n_tokens", F.lit(1)))

@@ -1,5 +1,6 @@
 """Toxicity, language id, language model and segmentation sampling."""
 
+import collections
 import math
 import random
 import zlib
@@ -8,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 
 from mnemospark.llm import langid, lm, pieces, toxicity
 
@@ -120,6 +122,29 @@ def test_word_probabilities_add_up_to_one(corpus):
     assert abs(total - 1) < 1e-4
 
 
+def test_words_in_their_buckets(spark):
+    """Rare words of the corpus score as their counts say, and higher than words it lacks."""
+    rng = random.Random(2)
+    names = [f"rare{i}" for i in range(300)]
+    texts = [" ".join(x for _ in range(20) for x in (rng.choice("abcdefgh"), rng.choice(names))) for _ in range(300)]
+    model = lm.fit_window_model(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=8, rare=4)
+    counts = collections.Counter(w for x in texts for w in x.split() if len(w) > 1)
+    bucket = lambda w: zlib.crc32(w.encode()) % 4
+    size = collections.Counter()
+    for w, n in counts.items():
+        size[bucket(w)] += n + 1
+    got = {r["h"]: r["lp"] for r in model.inside.collect()}
+    want = {xxhash.xxh64_intdigest(w.encode(), 42): math.log((n + 1) / (size[bucket(w)] + 1)) for w, n in counts.items()}
+    assert {h % 2**64: pytest.approx(v) for h, v in got.items()} == want and model.unseen < min(want.values())
+    prose = "a rare7 b rare8 rare7"
+    made_up = prose
+    for w in ("rare7", "rare8"):  # other words of the same buckets
+        made_up = made_up.replace(w, next(x for i in range(999) if bucket(x := f"zq{i}") == bucket(w)))
+    rows = {r["doc_id"]: r["log_prob"] for r in lm.score_documents(spark.createDataFrame([(0, prose), (1, made_up), (0, prose)], "doc_id long, text string"), model).collect()}
+    own = {w: want[xxhash.xxh64_intdigest(w.encode(), 42)] for w in ("rare7", "rare8")}
+    assert rows[0] - rows[1] == pytest.approx(2 * own["rare7"] + own["rare8"] - 3 * model.unseen, rel=1e-6)
+
+
 def test_language_model_edges(edges, nothing):
     model = lm.fit_window_model(edges, words=100, rare=10)
     rows = lm.score_documents(edges, model, keep=("doc_id", "key")).collect()
