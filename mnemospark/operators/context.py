@@ -179,7 +179,9 @@ def extraction_requests(
     ranked = attach_comments(top_entries(entries, cap), comments)
     fact = F.struct("rank", "id", "entity", "tag", "fact", "confidence", "reasoning")
     facts = ranked.groupBy("dimension").agg(F.sort_array(F.collect_list(fact)).alias("facts"))
-    targets = dims.select(F.col("dimension").alias("target"), F.array().cast("array<string>").alias("entities"))
+    shown = ranked.groupBy("dimension").agg(F.collect_set("entity").alias("entities"))
+    names_of = F.coalesce("entities", F.array().cast("array<string>")).alias("entities")
+    targets = dims.join(shown, "dimension", "left").select(F.col("dimension").alias("target"), names_of)
     shots = few_shot(corrections, entries, targets).groupBy(F.col("target").alias("dimension")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]).alias("few_shot")
     )

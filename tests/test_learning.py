@@ -165,6 +165,26 @@ def test_few_shot_scoring(make):
     assert got[0]["line"].startswith('- For [') and f'"{first[5]}".' in got[0]["line"]
 
 
+def test_extraction_requests_prefer_corrections_of_known_entities(make):
+    """An old correction about an entity of the dimension's facts comes before newer ones about others."""
+    shape = ENTRY + ", updated_at timestamp"
+    entries = make(shape, [
+        (*entry(1, entity="Alice"), T0), (*entry(2, entity=None), T0),
+        (3, "tools", "ALICE", *entry(3)[3:], T0), (4, "places", "Rome", *entry(4)[3:], T0),
+    ])
+    corrections = [(0, 3, "reject", "ai_error", "", "about alice", "right", T0)]
+    corrections += [(k, 4, "reject", "ai_error", "", f"old{k}", "right", T0 + dt.timedelta(days=k)) for k in range(1, 31)]
+    docs = make(
+        "id long, full_body string, summary string, classify_content_hash string, content_hash string, status string, classify_last_error string",
+        [(7, "body", None, None, "h", None, None)],
+    )
+    rulebook = {d: {"tags": ["other"], "guidance": "g"} for d in ("people", "empty")}
+    comments = make("id long, entry_id long, comment_text string, created_at timestamp", [])
+    got = {r["dimension"]: r["few_shot"] for r in context.extraction_requests(docs, entries, make(CORR, corrections), comments, rulebook).collect()}
+    assert '"about alice"' in got["people"][0] and [f'"old{30 - i}"' in x for i, x in enumerate(got["people"][1:])] == [True] * 4
+    assert len(got["empty"]) == 5 and not any("about alice" in x for x in got["empty"])
+
+
 def test_reports(make):
     e = make("id long, dimension string, entity string, tag string, fact string, status string, confidence double, trust_score double, sources array<string>", [
         (1, "people", "A", "role", "f1", "confident", 0.9, 0.6, ["1"]), (2, "people", "A", "role", "f2", "pending", 0.5, 0.5, ["2"]),
