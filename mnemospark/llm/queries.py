@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import langid, lm, mixing, outliers, pieces, simhash, sketch, substrings, token_files, toxicity
-from mnemospark.llm.common import documents, scratch_folder, stored
+from mnemospark.llm import langid, lm, minhash, mixing, negatives, outliers, pieces, resampling, simhash, sketch, substrings, token_files, toxicity
+from mnemospark.llm.common import documents, scratch_folder, stored, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -159,3 +159,63 @@ def op4_gumbel_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def op3_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return lm.score_documents(docs, lm.fit_window_model(docs))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.importance_resampling(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"), percent=5, min_words=20)
+
+
+@query
+def op12_minmax_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, folder), words=4, percent=80)
+
+
+SQL["op12_minmax_hash"] = f"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
+        FROM documents
+    ), s AS (
+        SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+               ELSE list_transform(generate_series(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS sh
+        FROM w
+    ), c AS (SELECT sh, min(doc_id) AS id, len(sh) AS n FROM (SELECT doc_id, list_sort(sh) AS sh FROM s) t WHERE len(sh) > 0 GROUP BY sh),
+    e AS (SELECT id, n, hash(x) AS x FROM (SELECT id, n, unnest(sh) AS x FROM c) t),
+    l AS (
+        SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.x = b.x AND a.id < b.id
+        GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+    ), t AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT id AS node, id AS reach FROM c UNION SELECT r.node, t.b FROM r JOIN t ON t.a = r.reach),
+    m AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node),
+    k AS (SELECT c.sh, m.component_id FROM c JOIN m ON m.node = c.id)
+    SELECT s.doc_id, len(s.sh) AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id,
+           s.doc_id = coalesce(k.component_id, s.doc_id) AS kept
+    FROM s LEFT JOIN k ON k.sh = list_sort(s.sh)
+"""
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = tune(spark).read.parquet(f"{folder}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors, anchors="id % 100 = 0", positives=5, negatives=10, low=30, high=90, factor=256.0, label=label)
+
+
+SQL["op13_hard_negatives"] = """
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+        SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+        FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id
+    ), p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM s WHERE same),
+    n AS (
+        SELECT p.a AS anchor_id, p.b AS positive_id, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score,
+               row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b)::INTEGER AS rank
+        FROM p JOIN s ON s.a = p.a AND NOT s.same AND p.r <= 5 AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+    )
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
