@@ -166,6 +166,28 @@ def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return resampling.importance_resampling(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"), percent=5, min_words=20)
 
 
+SQL["op11_importance_resampling"] = """
+    WITH poly AS (SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(0, 256) t(i)),
+    tab AS (SELECT list(c ORDER BY i) AS tb FROM poly),
+    d AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+    w AS (SELECT kind, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM d),
+    g AS (SELECT kind, id, len(ws) AS n_words, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]),
+          list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS gram FROM w),
+    c AS (SELECT kind, id, gram, count(*) AS n FROM g GROUP BY ALL),
+    u AS (SELECT gram, hex(encode(gram)) AS h FROM (SELECT DISTINCT gram FROM c) x),
+    b AS (SELECT gram, xor(list_reduce(list_transform(range(1, len(h), 2), lambda i: 16 * (instr('0123456789ABCDEF', h[i]) - 1) + instr('0123456789ABCDEF', h[i + 1]) - 1),
+          lambda a, x: xor(a >> 8, tb[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM u, tab),
+    n AS (SELECT bucket, coalesce(sum(n) FILTER (kind = 0), 0) AS s, coalesce(sum(n) FILTER (kind = 1), 0) AS t FROM c JOIN b USING (gram) GROUP BY bucket),
+    gain AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM n),
+    x AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM c JOIN b USING (gram) JOIN gain USING (bucket) WHERE kind = 0 GROUP BY id),
+    y AS (SELECT w.id AS doc_id, len(ws) >= 20 AS long_enough, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+          coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(w.id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+          FROM w LEFT JOIN x ON x.id = w.id WHERE kind = 0),
+    z AS (SELECT *, row_number() OVER (PARTITION BY long_enough ORDER BY score DESC, doc_id) AS r, count(*) FILTER (long_enough) OVER () AS n FROM y)
+    SELECT doc_id, n_features, weight, score, CASE WHEN long_enough AND r <= 5 * n // 100 THEN r END AS rank FROM z
+"""
+
+
 @query
 def op12_minmax_hash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, folder), words=4, percent=80)
