@@ -89,6 +89,11 @@ def compile_queries(queries: DataFrame, stemmer: Callable[[Column], Column] | No
     )
 
 
+def impact(tf: Column, doc_len: Column, avg_len: Column) -> Column:
+    """The weight of a term in a document before its rarity: rises with ``tf``, falls with ``doc_len``."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / avg_len))
+
+
 def bm25_search(
     postings: DataFrame,
     stats: DataFrame,
@@ -96,25 +101,28 @@ def bm25_search(
     k: int,
     candidates: DataFrame | None = None,
     field_postings: DataFrame | None = None,
+    doc_freq: DataFrame | None = None,
 ) -> DataFrame:
     """``(qid, id, score, rank)`` of the k best documents per query.
 
     ``candidates(id)`` restricts the ranking, not the term statistics. Phrases need
-    ``field_postings``; without it they match like plain terms.
+    ``field_postings``; without it they match like plain terms. ``doc_freq(term, doc_freq)``
+    is needed where ``postings`` are not all of a term.
     """
     terms = queries.terms
     hits = postings.join(terms.select("term"), "term", "left_semi")
-    # Reads the columns of the scoring branch, so that both share one exchange.
-    doc_freq = hits.groupBy("term").agg(
-        F.count_if((F.col("tf") > 0) & (F.col("doc_len") > 0) & F.col("id").isNotNull()).alias("doc_freq")
-    )
+    if doc_freq is None:
+        # Reads the columns of the scoring branch, so that both share one exchange.
+        doc_freq = hits.groupBy("term").agg(
+            F.count_if((F.col("tf") > 0) & (F.col("doc_len") > 0) & F.col("id").isNotNull()).alias("doc_freq")
+        )
     corpus = stats.select(F.struct(*stats.columns)).scalar()
     n_docs, avg_len = corpus.getField("n_docs"), corpus.getField("avg_len")
     idf = F.greatest(
         F.lit(IDF_FLOOR),
         F.log((n_docs - F.col("doc_freq") + 0.5) / (F.col("doc_freq") + 0.5)),
     )
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / avg_len))
+    weight = impact(F.col("tf"), F.col("doc_len"), avg_len)
     # One row per query term: at most as many rows as `terms`, whose size is checked.
     weighted = terms.join(doc_freq.select("term", idf.alias("idf")), "term")
     if candidates is not None:

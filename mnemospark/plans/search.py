@@ -102,9 +102,13 @@ def search_facts(
     asked = retrieval.compile_queries(queries) if compiled is None else compiled
     keyword, vector = _legs(corpus, asked, query_vectors, k)
     bound = max(asked.n, 1) * k
-    fused = pin(retrieval.rrf_weighted(keyword, vector, k, weight), bound)
-    facts = corpus.rows.select("id", "dimension", "entity", "tag", "fact", "status", "confidence", "trust_score")
-    found = retrieval.attach_by_id(fused, facts, bound)
+    return present_facts(retrieval.rrf_weighted(keyword, vector, k, weight), corpus.rows, bound)
+
+
+def present_facts(fused: DataFrame, rows: DataFrame, bound: int) -> DataFrame:
+    """The at most ``bound`` fused rows as facts, with the legs that found them."""
+    facts = rows.select("id", "dimension", "entity", "tag", "fact", "status", "confidence", "trust_score")
+    found = retrieval.attach_by_id(pin(fused, bound), facts, bound)
     legs = F.struct(F.col("kw_rank").isNotNull().alias("keyword"), F.col("vec_rank").isNotNull().alias("vector"))
     return found.withColumn("legs", legs)
 
