@@ -5,9 +5,11 @@ it lands and writes it in order. ORC stores the integers run-length encoded, kee
 and maxima for every stripe and row group, and a Bloom filter on the document ids:
 ``read_documents`` finds a few documents by those, without reading the other stripes.
 
-Defined cases: a null text is an empty one, so that it holds the end id alone; rows with
-a null id come first; rows with one id stay together in the order of their texts; an
-empty table gives an empty folder that reads as no rows.
+Defined cases: a null text is an empty one, so that it holds the end id alone; a text that spells
+a token added to the vocabulary has that token's id, as the library gives it; rows with
+a null id come first; rows with one id stay together in the order of their texts, repeated
+rows too; very long texts are encoded whole; an empty table gives an empty folder that reads
+as no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ from mnemospark.llm.common import blocks, partitions, segments, tune, worker_cac
 #: Distinct words that a worker remembers; it starts anew beyond them.
 REMEMBERED = 1_200_000
 _JOINABLE = re.compile(r" ?\S+")
+#: What the tokenizer's pattern takes for white space, and runs of text that none of its words crosses.
+_GAP = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CHUNK = re.compile(f" ?[^{_GAP}]+|[{_GAP}]+(?![^{_GAP}])|[{_GAP}]")
 
 
 class _Remembered(dict):
@@ -67,21 +72,21 @@ class _Remembered(dict):
 
 
 class TextEncoder:
-    """Encodes with the tokenizers library and remembers what it gave for each word.
+    """Encodes with the tokenizers library and remembers what it gave for each run of text.
 
     A byte-level tokenizer cuts a text into words by a fixed pattern and encodes each by
-    itself. Words that are new go to the library, many at a time with line ends between.
+    itself. None of its words holds white space but a space at its begin, so runs without
+    any can be encoded apart. New ones go to the library, many at a time with line ends
+    between. A text that spells a token added to the vocabulary goes to the library whole.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
-        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.cut = regex.compile(PATTERN).findall
+        added = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda _: None
         self.line_end = self.library.encode("\n", add_special_tokens=False).ids
         self.words = _Remembered()
 
@@ -114,12 +119,21 @@ class TextEncoder:
         """The ids of all texts end to end, and how many each has."""
         if len(self.words) > REMEMBERED:
             self.words = _Remembered()
-        found = [self.cut(x) for x in texts]
+        whole = [i for i, x in enumerate(texts) if self.added(x)]
+        found = [_CHUNK.findall(x) for x in texts]
+        for i in whole:
+            found[i] = []
         counts = np.fromiter(map(len, found), np.int64, len(found))
         codes = list(map(self.words.__getitem__, chain.from_iterable(found)))
         if self.words.fresh:
             self._learn_words()
-        return self.words.gather(np.array(codes, np.int64), counts)
+        ids, counts = self.words.gather(np.array(codes, np.int64), counts)
+        if whole:
+            own, lengths = self._encode([texts[i] for i in whole])
+            at = (np.cumsum(counts) - counts)[whole]
+            ids = np.insert(ids, np.repeat(at, lengths), own)
+            counts[whole] = lengths
+        return ids, counts
 
 
 def encoder(path: str) -> TextEncoder:
