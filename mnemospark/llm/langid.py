@@ -5,9 +5,10 @@ counts up in one grouped sum. The model is a matrix of ``2 ** bits`` rows and a
 each language: its size does not depend on the corpus, so it travels in the closure of
 the scoring function. Scoring adds the matrix rows of a text's n-grams.
 
-Defined cases: a text that is null or has no letter gets ``und`` and the score 0; a tie
-goes to the language that sorts first; with no labelled rows every text is ``und``; rows
-with a null label do not train; repeated rows count as often as they occur.
+Defined cases: a text that is null or has no letter (number signs are none) gets ``und`` and the
+score 0; a tie goes to the language that sorts first; with no labelled rows every text is
+``und``; rows with a null label do not train; repeated rows count as often as they occur; very
+long texts are read whole; an empty table gives no rows; columns not kept are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,11 @@ UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def _has_letter(text: str) -> bool:
+    """Whether any character is a letter; the pattern alone also takes number signs such as a half."""
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
@@ -134,7 +140,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text"
                 share = np.exp(tempered)
                 share /= share.sum(1, keepdims=True)
                 for i, x in enumerate(texts):
-                    if x and _LETTER.search(x):
+                    if x and _has_letter(x):
                         names[i], scores[i] = m.languages[best[i]], share[i, best[i]]
             yield pa.RecordBatch.from_arrays([*(block.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
