@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import blocks, tune
+from mnemospark.llm.common import blocks, stored, tune
 from mnemospark.operators.folds import number_rows
 
 #: Words of lower-cased UTF-8 bytes: ASCII letters and digits, and all that is not ASCII.
@@ -186,4 +186,5 @@ def resample(weighed: DataFrame, percent: int = 5, min_words: int = 20, seed: in
 def importance_resampling(docs: DataFrame, target: DataFrame, percent: int = 5, min_words: int = 20, orders: int = 3, buckets: int = 10_000, text: str = "text", target_text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Every row of ``docs`` with its weight, score and, if drawn, its rank."""
     gain = gains(bucket_counts(docs, text, orders, buckets), bucket_counts(target, target_text, orders, buckets))
-    return resample(weigh(docs, gain, orders, text, doc_id), percent, min_words)
+    # stored: dealing out ranges of the score reads the rows twice
+    return resample(stored(weigh(docs, gain, orders, text, doc_id)), percent, min_words)
