@@ -84,7 +84,7 @@ def op10_threshold_sketch(spark: SparkSession, folder: str) -> DataFrame:
     found = sketch.with_next(docs.withColumn("sketch", sketch.sketch(F.col("text"))), ["text", "sketch"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring("next_text", 1, half))
-    rows = found.select("doc_id", F.length("text").cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
+    rows = found.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", "sketch", "next_text", "next_sketch", edited.alias("edited"))
     both = rows.withColumn("edited_sketch", sketch.sketch(F.col("edited")))
     return both.select(
         "doc_id",
@@ -92,8 +92,8 @@ def op10_threshold_sketch(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         sketch.as_string(F.col("sketch")).alias("fingerprint"),
         sketch.as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
-        sketch.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        sketch.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        sketch.text_likeness(F.col("sketch"), F.col("edited_sketch"), F.col("text"), F.col("edited")).alias("near_edited"),
+        sketch.text_likeness(F.col("sketch"), F.col("next_sketch"), F.col("text"), F.col("next_text")).alias("near_next"),
     )
 
 
@@ -118,18 +118,25 @@ SQL["op10_threshold_sketch"] = f"""
                    lambda x: md5(x))) AS hs
         FROM w
     ), p AS (
-        SELECT doc_id, e, CASE WHEN len(list_filter(hs, lambda h: h < '2')) > 0 THEN list_filter(hs, lambda h: h < '2')
-                               WHEN len(hs) > 0 THEN [list_min(hs)] ELSE []::VARCHAR[] END AS hs
+        SELECT doc_id, e, hs AS every, len(hs) > 0 AND list_min(hs) >= '2' AS short,
+               CASE WHEN len(list_filter(hs, lambda h: h < '2')) > 0 THEN list_filter(hs, lambda h: h < '2')
+                    WHEN len(hs) > 0 THEN [list_min(hs)] ELSE []::VARCHAR[] END AS hs
         FROM s
-    ), k AS (SELECT doc_id, e, list_sort(list_distinct(list_transform(hs, lambda h: h[1:16]))) AS sk FROM p)
-    SELECT e.doc_id, length(e.text) AS n_chars, sha256(edited) AS edited_sha256,
-           array_to_string(a.sk, '') AS fingerprint, array_to_string(b.sk, '') AS edited_fingerprint,
-           CASE WHEN least(len(a.sk), len(b.sk)) = 0 THEN CASE WHEN len(a.sk) = len(b.sk) THEN 1.0 ELSE 0.0 END
-                ELSE len(list_intersect(a.sk, b.sk))::DOUBLE / least(len(a.sk), len(b.sk)) END AS near_edited,
-           CASE WHEN least(len(a.sk), len(c.sk)) = 0 THEN CASE WHEN len(a.sk) = len(c.sk) THEN 1.0 ELSE 0.0 END
-                ELSE len(list_intersect(a.sk, c.sk))::DOUBLE / least(len(a.sk), len(c.sk)) END AS near_next
-    FROM e JOIN k a ON a.doc_id = e.doc_id AND NOT a.e JOIN k b ON b.doc_id = e.doc_id AND b.e
-         JOIN k c ON c.doc_id = e.next_id AND NOT c.e
+    ), k AS (SELECT doc_id, e, every, short, list_sort(list_distinct(list_transform(hs, lambda h: h[1:16]))) AS sk FROM p),
+    j AS (
+        SELECT e.doc_id, length(e.text) AS n_chars, sha256(edited) AS edited_sha256,
+               array_to_string(a.sk, '') AS fingerprint, array_to_string(b.sk, '') AS edited_fingerprint,
+               CASE WHEN a.short OR b.short THEN a.every ELSE a.sk END AS a1, CASE WHEN a.short OR b.short THEN b.every ELSE b.sk END AS b1,
+               CASE WHEN a.short OR c.short THEN a.every ELSE a.sk END AS a2, CASE WHEN a.short OR c.short THEN c.every ELSE c.sk END AS c2
+        FROM e JOIN k a ON a.doc_id = e.doc_id AND NOT a.e JOIN k b ON b.doc_id = e.doc_id AND b.e
+             JOIN k c ON c.doc_id = e.next_id AND NOT c.e
+    )
+    SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+           CASE WHEN least(len(a1), len(b1)) = 0 THEN CASE WHEN len(a1) = len(b1) THEN 1.0 ELSE 0.0 END
+                ELSE len(list_intersect(a1, b1))::DOUBLE / least(len(a1), len(b1)) END AS near_edited,
+           CASE WHEN least(len(a2), len(c2)) = 0 THEN CASE WHEN len(a2) = len(c2) THEN 1.0 ELSE 0.0 END
+                ELSE len(list_intersect(a2, c2))::DOUBLE / least(len(a2), len(c2)) END AS near_next
+    FROM j
 """
 
 

@@ -11,7 +11,9 @@ space; a sketch is their sorted array, its string form their concatenation.
 
 Defined cases: a null text is an empty one; a text without words has the empty sketch; one
 with fewer words than a shingle has its whole word sequence as its shingle; the likeness
-of two empty sketches is 1, that of an empty and another 0.
+of two empty sketches is 1, that of an empty and another 0; texts too short for a hash below the
+bound are compared by all their hashes where the texts are at hand (``text_likeness``); very
+long texts are hashed whole; an empty table gives no rows; repeated rows have equal sketches.
 """
 
 from __future__ import annotations
@@ -68,6 +70,23 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(a) <= F.size(b), containment(a, b)).otherwise(containment(b, a))
 
 
+def text_likeness(a: Column, b: Column, text: Column, other: Column, size: int = 5, fraction: float = FRACTION) -> Column:
+    """The likeness of two sketches; where one has no hash below the bound, of all hashes of the two texts.
+
+    Such a text is short, and its smallest hash alone says nothing about a longer text that holds it.
+    """
+    bound = f"{min(int(fraction * 2**64), 2**64 - 1):016x}"
+
+    def short(sketch: Column) -> Column:
+        return (F.size(sketch) == 1) & (F.get(sketch, F.lit(0)) >= bound)
+
+    def whole(x: Column) -> Column:
+        return F.array_distinct(shingle_hashes(words(x), size))
+
+    exact = let(whole(text), lambda x: let(whole(other), lambda y: likeness(x, y)))
+    return F.when((short(a) | short(b)) & (F.size(a) > 0) & (F.size(b) > 0), exact).otherwise(likeness(a, b))
+
+
 def as_string(found: Column) -> Column:
     return F.array_join(found, "")
 
