@@ -71,6 +71,8 @@ def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, whichever task asks for it."""
+    """A dict that lives in the Python worker until another name is asked for: one stage's cache does not outlive it."""
     holder = sys.modules.setdefault("_mnemospark_worker_cache", types.ModuleType("_mnemospark_worker_cache"))
-    return holder.__dict__.setdefault(name, {})
+    if getattr(holder, "name", None) != name:
+        holder.name, holder.held = name, {}
+    return holder.held

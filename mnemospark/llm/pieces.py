@@ -42,8 +42,10 @@ SPACE = "▁"
 #: coarser form is for models with pieces that mix them.
 _FINE = re.compile(rf"{SPACE}*[^\W\d_²³¹]+|{SPACE}*(?:[^\w{SPACE}\n]|[\d_²³¹])+|{SPACE}+|\n")
 _COARSE = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
-#: Branches that a worker remembers; it starts anew beyond them.
-REMEMBERED = 4_000_000
+#: Bytes of words and branches that a worker remembers; it starts anew beyond them.
+REMEMBERED = 96 << 20
+#: What a remembered word takes beside its characters: its entry in a dict, and the string.
+_ENTRY = 170
 #: Where a path has become this unlikely, leaving it cannot matter: the chance is below e ** -60.
 _FAINT = -100.0
 
@@ -123,6 +125,10 @@ class Lattices:
         kinds = {"first": np.int32, "size": np.int32, "cum": np.float64, "logp": np.float64, "next": np.int32, "at": np.int32, "n": np.int8, "ids": np.int32}
         self.used: dict[str, int] = dict.fromkeys(kinds, 0)
         self.kept = {name: np.zeros(1 << 12, kind) for name, kind in kinds.items()}
+        self.word_bytes = 0
+
+    def nbytes(self) -> int:
+        return self.word_bytes + sum(x.nbytes for x in self.kept.values())
 
     def _edges(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, length, piece) of all pieces in the words; ``ends`` has the end of each position's word."""
@@ -194,11 +200,13 @@ class Lattices:
         }
         for name, values in rows.items():
             at, to = self.used[name], self.used[name] + len(values)
-            while to > len(self.kept[name]):
-                self.kept[name] = np.concatenate([self.kept[name], np.zeros_like(self.kept[name])])
+            if to > len(self.kept[name]):
+                more = np.zeros(max(to, len(self.kept[name]) * 3 // 2) - len(self.kept[name]), self.kept[name].dtype)
+                self.kept[name] = np.concatenate([self.kept[name], more])
             self.kept[name][at:to] = values
             self.used[name] = to
         self.steps.update(zip(new, (base + word_ends - lengths).tolist()))
+        self.word_bytes += _ENTRY * len(new) + 2 * total
 
     def units(self, text: str) -> list[str]:
         """The text with spaces as the model writes them, cut where no piece crosses."""
@@ -360,7 +368,7 @@ def lattices_of(model: str) -> Lattices:
     known = worker_cache("lattices")
     if model not in known:
         known[model] = Lattices(model)
-    if known[model].used["cum"] > REMEMBERED:
+    if known[model].nbytes() > REMEMBERED:
         known[model].reset()
     return known[model]
 
