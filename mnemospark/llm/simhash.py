@@ -6,8 +6,7 @@ bits are dealt into blocks, and a table is made for each choice of ``choose`` bl
 ``parts`` blocks are cut and at most ``distance`` bits differ, some choice of ``parts -
 distance`` blocks has none of the differing bits (pigeonhole), and the pair meets in that
 table. Wider fingerprints use ``sampled`` tables instead: each takes a fixed pseudo-random
-set of bits, which close pairs share with a known probability. ``similar_documents`` takes
-fingerprints for candidates only and checks pairs on their shingles.
+set of bits, which close pairs share with a known probability.
 
 Fingerprints of one table entry are compared in tasks of at most about two ``chunk``s:
 larger entries are split into chunks, and every two chunks meet in one task. A task gives
@@ -15,14 +14,16 @@ the links of a spanning forest of what it compared (each node to the smallest no
 part), which has the same components as all pairs, and no more rows than fingerprints.
 
 Defined cases: a text without words, null ones included, has the fingerprint zero; a text
-with fewer words than a shingle has its whole word sequence as its one shingle; repeated
-rows have equal fingerprints and so one component; a null id is a document like others.
+with fewer words than a shingle has its whole word sequence as its one shingle; a bit set in
+exactly half of the hashes is not set; repeated rows have equal fingerprints and so one
+component; a null id is a document like others; very long texts are hashed whole; an empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,11 +125,8 @@ def sampled_masks(bits: int, size: int, tables: int, seed: int = 42) -> list[np.
     return [np.sort(dealt[i * size : (i + 1) * size]) for i in range(tables)]
 
 
-def _forest(prints: list[bytes], distance: int, alike: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
-    """Links (i, root) joining the fingerprints that are connected by at most ``distance`` differing bits.
-
-    With ``alike``, pairs must also pass it; it is asked only about pairs that nothing joins yet.
-    """
+def _forest(prints: list[bytes], distance: int) -> list[tuple[int, int]]:
+    """Links (i, root) joining the fingerprints that are connected by at most ``distance`` differing bits."""
     n = len(prints)
     root = list(range(n))
 
@@ -144,22 +142,16 @@ def _forest(prints: list[bytes], distance: int, alike: Callable[[int, int], bool
             for j in range(i):
                 if (own[i] ^ own[j]).bit_count() <= distance:
                     a, b = find(i), find(j)
-                    if a != b and (alike is None or alike(i, j)):
+                    if a != b:
                         root[max(a, b)] = min(a, b)
     else:
         words = np.frombuffer(b"".join(prints), np.uint64).reshape(n, -1)
         for i in range(1, n):
             apart = np.bitwise_count(words[:i] ^ words[i]).sum(1, dtype=np.int64)
             near = np.flatnonzero(apart <= distance)
-            if alike is None:
-                for r in {find(j) for j in near.tolist()}:
-                    a = find(i)
-                    root[max(a, r)] = min(a, r)
-            else:
-                for j in near[np.argsort(apart[near], kind="stable")].tolist():
-                    a, r = find(i), find(j)
-                    if a != r and alike(i, j):
-                        root[max(a, r)] = min(a, r)
+            for r in {find(j) for j in near.tolist()}:
+                a = find(i)
+                root[max(a, r)] = min(a, r)
     return [(i, find(i)) for i in range(n) if find(i) != i]
 
 
@@ -247,128 +239,3 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, width: i
 def _shingles(text: bytes, words: int) -> np.ndarray:
     """The distinct shingle hashes of a text, sorted."""
     return np.unique(np.array(_hashes(text, words), np.uint64))
-
-
-def _bands(hashes: np.ndarray, counts: np.ndarray, tables: int, minima: int) -> np.ndarray:
-    """A key for each text (with shingles) and table, from ``minima`` smallest values of permuted shingle hashes."""
-    rng = np.random.default_rng(42)
-    low = (hashes >> np.uint64(32)).astype(np.uint32)
-    starts = (np.cumsum(counts) - counts)[counts > 0]
-    out = np.empty((len(starts), tables), np.uint64)
-    for t in range(tables):
-        key = np.full(len(starts), t + 1, np.uint64)
-        for _ in range(minima):
-            least = np.minimum.reduceat(low * np.uint32(2 * rng.integers(1 << 31) + 1), starts)
-            key = (key ^ least) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(32)
-        out[:, t] = key
-    return out
-
-
-def _profiles(docs: DataFrame, words: int, width: int, tables: int, minima: int) -> DataFrame:
-    """``doc_id, body, node, bytes, bands``: a node is the fingerprint of the distinct shingles and a 128-bit hash of them, in hex."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
-            texts = block.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
-            sets = [_shingles(x, words) for x in texts]
-            counts = np.fromiter(map(len, sets), np.int64, len(sets))
-            hashes = np.concatenate([np.zeros(0, np.uint64), *sets])
-            prints = zip(*(x.tolist() for x in _prints(hashes, counts, width)))
-            nodes = ["".join(f"{x:016x}" for x in row) + xxhash.xxh3_128_hexdigest(s.tobytes()) for row, s in zip(prints, sets)]
-            keys = pa.array(_bands(hashes, counts, tables, minima).ravel().view(np.int64) if counts.any() else [], pa.int64())
-            ends = np.cumsum(np.append(0, np.where(counts > 0, tables, 0)))
-            bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys)
-            sizes = pa.array([len(x) for x in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("body"), pa.array(nodes, pa.string()), sizes, bands], ["doc_id", "body", "node", "bytes", "bands"])
-
-    return docs.mapInArrow(make, f"doc_id {kind}, body long, node string, bytes long, bands array<long>")
-
-
-def _perhaps(rows: DataFrame, wanted: DataFrame, bits: int = 1 << 25) -> DataFrame:
-    """The ``rows`` whose ``body`` may be one of ``wanted``: all that are, and few others. The filter has a fixed size."""
-    at = F.pmod("body", F.lit(bits))
-    filled = wanted.groupBy(F.floor(at / 64).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(body, {bits}) % 64 as int)))").alias("b")).toArrow()
-    table = np.zeros(bits // 64, np.uint64)
-    table[filled.column("word").to_numpy()] = filled.column("b").to_numpy().view(np.uint64)
-    ship = rows.sparkSession.sparkContext.broadcast(table)
-
-    @F.arrow_udf("boolean")
-    def there(body: pa.Array) -> pa.Array:
-        own = body.to_numpy(zero_copy_only=False) % bits
-        return pa.array((ship.value[own // 64] >> (own % 64).astype(np.uint64)) & np.uint64(1) == 1)
-
-    return rows.where(there("body"))
-
-
-def _true_links(members: DataFrame, words: int, similarity: float, distance: int, width: int) -> DataFrame:
-    """``a, b``: links that join all pairs of one ``root`` and task whose sets of shingles are at least ``similarity`` alike."""
-    task = ["root", "lo", "hi"]
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
-        last = None
-        for batch in batches:
-            out: list[tuple[str, str]] = []
-            names = zip(*(batch.column(c).to_pylist() for c in task))
-            texts = batch.column("text").cast(pa.binary()).fill_null(b"")
-            for i, (name, node) in enumerate(zip(names, batch.column("node").to_pylist())):
-                if name != last:
-                    out += close(held)
-                    last, held = name, {}
-                if node not in held:
-                    held[node] = _shingles(texts[i].as_py(), words)
-            yield table(out)
-        yield table(close(held))
-
-    def close(held: dict[str, np.ndarray]) -> list[tuple[str, str]]:
-        nodes, sets = list(held), list(held.values())
-
-        def alike(i: int, j: int) -> bool:
-            a, b = sorted((sets[i], sets[j]), key=len)
-            if not len(a) or len(a) / len(b) < similarity:
-                return False
-            both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-            return both / (len(a) + len(b) - both) >= similarity
-
-        prints = [bytes.fromhex(x[: 16 * width]) for x in nodes]
-        return [(nodes[i], nodes[j]) for i, j in _forest(prints, distance, alike)] if len(nodes) > 1 else []
-
-    def table(found: list[tuple[str, str]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], ["a", "b"])
-
-    dealt = members.repartition(max(2 * partitions(members.sparkSession), 2), *task).sortWithinPartitions(*task)
-    return dealt.select(*task, "node", "text").mapInArrow(compare, "a string, b string").distinct()
-
-
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 72, width: int = 4, tables: int = 20, minima: int = 6, text: str = "text", doc_id: str = "doc_id", chunk: int = 1024, chunk_bytes: int = 32 << 20) -> DataFrame:
-    """``doc_id, component_id``: the smallest id among the documents that can be reached by links of true similarity.
-
-    A link joins two documents whose sets of ``words``-word shingles have at least ``similarity``
-    of their union in common. Candidates share a key of a table, made of ``minima`` smallest
-    permuted hashes, which a pair at similarity s does with a chance of 1 - (1 - s^minima)^tables,
-    and have fingerprints (of distinct shingles) with at most ``distance`` differing bits.
-    Texts with equal sets are one node. Candidates only say which nodes are compared: within
-    a component of candidates every pair is checked, in tasks of at most about two chunks,
-    on the shingles of the texts themselves.
-    """
-    tune(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("body"))
-    profiles = stored(_profiles(rows, words, width, tables, minima))
-    nodes = profiles.groupBy("node").agg(F.min(F.struct("doc_id", "body")).alias("first"), F.min("bytes").alias("bytes"), F.first("bands").alias("bands"))
-    nodes = stored(nodes)
-    entries = nodes.select(F.explode("bands").alias("key"), F.unhex("node").alias("raw"))
-    found = connected(_entry_links(entries, distance, width, chunk).select(F.lower("a").alias("a"), F.lower("b").alias("b")), "node")
-    members = stored(nodes.join(found, "node").select("node", "root", "bytes", F.col("first.doc_id").alias("doc_id"), F.col("first.body").alias("body")))
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("bytes") / chunk_bytes)).cast("int").alias("pieces"))
-    split = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
-    texts = _perhaps(rows, members.select("body")).withColumnsRenamed({"doc_id": "_id", "body": "_body"})
-    split = split.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body")))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    dealt = split.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "text")
-    roots = connected(_true_links(dealt, words, similarity, distance, width), "node")
-    named = nodes.select("node", F.col("first.doc_id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.select("node", "root").join(lowest, "root").select("node", "component_id")
-    return profiles.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")
