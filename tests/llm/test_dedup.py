@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from mnemospark.llm import simhash, sketch, substrings
+from mnemospark.llm import similar, simhash, sketch, substrings
 from mnemospark.llm.components import connected
 from pyspark.sql import functions as F
 
@@ -109,7 +109,7 @@ def test_pipeline_near_duplicates_match_true_similarity(spark):
 
 
 def test_similar_documents_match_brute_force(spark, corpus, edges):
-    """Chains of copies, small chunks, equal fingerprints of unlike sets, and the corpus."""
+    """Chains of copies, equal fingerprints of unlike sets, the corpus and odd texts."""
     rng = random.Random(3)
     rows = []
     for d in range(12):
@@ -120,7 +120,7 @@ def test_similar_documents_match_brute_force(spark, corpus, edges):
             own[rng.randrange(150)] = "y"
     rows += [(len(rows) + i, "a b c d e " * 200 + " ".join(f"{z}{k}" for k in range(90))) for i, z in enumerate("pqr")]
     chains = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for table, chunk in ((chains, 3), (chains, 1024), (corpus.select("doc_id", "text"), 1024), (edges.where("doc_id is not null"), 1024)):
+    for table in (chains, corpus.select("doc_id", "text"), edges.where("doc_id is not null")):
         texts = [(r["doc_id"], shingles(r["text"])) for r in table.collect()]
         root = {d: d for d, _ in texts}
 
@@ -134,10 +134,19 @@ def test_similar_documents_match_brute_force(spark, corpus, edges):
                 if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and jaccard(a, b) >= 0.8:
                     x, y = sorted((find(d), find(e)))
                     root[y] = x
-        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table, chunk=chunk).collect()}
+        got = {r["doc_id"]: r["first_id"] for r in similar.similar_documents(table.withColumn("body", F.xxhash64("text"))).collect()}
         assert got == {d: find(d) for d in root}
 
 
+def test_pipeline_near_duplicates_with_clashing_ids(spark):
+    """Rows that share an id are told apart by their texts: of near copies one stays, whatever their ids."""
+    a, b = (" ".join(f"{x}{i}" for i in range(100)) for x in "ab")
+    rows = [(1, a), (2, a + " tail"), (2, b), (3, b), (3, b), (None, a), (None, "c d")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert kept == sorted([(None, a), (2, b), (None, "c d")], key=str)
+
+
 def test_simhash_edges(edges, nothing):
     rows = simhash.near_duplicates(edges).collect()
     by_id = {r["doc_id"]: r for r in rows}
@@ -225,6 +234,21 @@ def test_sketch_estimates_containment(spark):
     assert got[0]["x"] == 1.0 and got[1]["x"] < 0.02
 
 
+def test_short_texts_inside_long_ones(spark):
+    """A passage without a hash below the bound is compared by all its shingles."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(40):
+        long = [f"w{rng.randint(0, 10**6)}" for _ in range(2000)]
+        at = rng.randrange(1900)
+        rows.append((" ".join(long), " ".join(long[at : at + 8]), " ".join(f"v{i}" for i in range(6)), ""))
+    table = spark.createDataFrame(rows, "a string, b string, c string, d string")
+    names = [F.col(c) for c in "abcd"]
+    s = [sketch.sketch(c) for c in names]
+    got = table.select(*[sketch.text_likeness(s[0], s[i], names[0], names[i]).alias(f"x{i}") for i in (1, 2, 3)]).collect()
+    assert all(r["x1"] == 1.0 and r["x2"] == 0.0 and r["x3"] == 0.0 for r in got)
+
+
 def test_next_rows(spark, edges, nothing):
     rng = random.Random(3)
     ids = rng.sample(range(10**6), 500)

@@ -60,6 +60,10 @@ def test_severity_edges(spark, edges, nothing):
 # -- language id
 
 
+def test_number_signs_are_no_letters():
+    assert not langid._has_letter("½ ² ⅷ 12 _") and langid._has_letter("½ é") and langid._has_letter("漢")
+
+
 def test_languages_of_held_out_documents(spark, data):
     docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet")
     model = langid.fit_languages(docs.where(~langid.held_out()))

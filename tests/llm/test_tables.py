@@ -102,7 +102,6 @@ def test_mix_edges(edges, nothing):
 
 def test_tokens_round_trip(spark, corpus, edges, nothing, tmp_path):
     library = Tokenizer.from_file(TOKENIZER)
-    library.encode_special_tokens = True
     for k, table in enumerate((corpus, edges, nothing)):
         path = f"{tmp_path}/{k}"
         token_files.write_tokens(table, path, TOKENIZER, parts=5)
@@ -121,12 +120,21 @@ def test_tokens_round_trip(spark, corpus, edges, nothing, tmp_path):
     assert "PushedFilters: [In(doc_id, [3,7])]" in few._jdf.queryExecution().executedPlan().toString()
 
 
+def test_encoder_on_added_tokens():
+    """A text that spells an added token has its id, between other texts and at both ends."""
+    library = Tokenizer.from_file(TOKENIZER)
+    own = token_files.TextEncoder(TOKENIZER)
+    texts = ["a <|endoftext|> b", "plain words", "<|endoftext|>", "", "x<|endoftext|><|endoftext|> y", "<|endoftext", "more words"]
+    ids, counts = own.encode(texts)
+    assert 50256 in ids
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_encoder_on_odd_spacing():
     library = Tokenizer.from_file(TOKENIZER)
-    library.encode_special_tokens = True
     rng = random.Random(6)
     own = token_files.TextEncoder(TOKENIZER)
-    texts = ["".join(rng.choice(["a", "Bc", " ", "  ", "\n", "\t", "9", "é", "!", "'s", " ", "\x1f", "漢"]) for _ in range(rng.randint(0, 30))) for _ in range(800)]
+    texts = ["".join(rng.choice(["a", "Bc", " ", "  ", "\n", "\t", "9", "é", "!", "'s", " ", "\x1f", "\x85", "\u2003", "\u200b", "漢"]) for _ in range(rng.randint(0, 30))) for _ in range(800)]
     ids, counts = own.encode(texts)
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
