@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import mixing, outliers, pieces, simhash, substrings
+from mnemospark.llm import mixing, outliers, pieces, similar, substrings
 from mnemospark.llm.common import scratch_folder, stored, tune
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -34,14 +34,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 or more of their five-word shingles one stays, that with the smallest id.
 
-    Every link is checked on the shingles themselves. A pair at 0.8 becomes a candidate with a
-    chance of 99.8 %: it must share a table of minimum hashes (20 of 6 each) and have
-    256-bit fingerprints that differ in at most 72 bits, of which it differs in 39, give or take 6.
+    Candidates share a SimHash block within three bits or one of 40 min-max bands, which a pair
+    at 0.8 misses five times in a million; every link is checked on the shingles themselves.
+    Rows that share an id are told apart by their contents.
     """
     rows = _named(docs)
-    found = simhash.similar_documents(rows, words=5, similarity=0.8, doc_id="_key")
-    stay = found.select(F.col("component_id").alias("_key")).distinct()
-    return rows.join(stay, "_key", "left_semi").dropDuplicates(["_key", "_hash"]).select(*COLUMNS)
+    found = similar.similar_documents(rows.select(F.col("_key").alias("doc_id"), "text", F.col("_hash").alias("body")), words=5, percent=80)
+    stay = found.select(F.col("first_id").alias("_key"), F.col("first_body").alias("_hash")).distinct()
+    return rows.join(stay, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
