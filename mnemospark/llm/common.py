@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.session import cut_lineage, ensure_checkpoint_dir, scratch_folder
 
-__all__ = ["WORD_GAPS", "blocks", "cut_lineage", "documents", "ensure_checkpoint_dir", "let", "partitions", "scratch_folder", "segments", "stored", "tune", "words", "worker_cache"]
+__all__ = ["WORD_GAPS", "blocks", "cut_lineage", "documents", "ensure_checkpoint_dir", "give_back", "let", "partitions", "scratch_folder", "segments", "stored", "tune", "words", "worker_cache"]
 
 #: What separates words: the ASCII white space.
 WORD_GAPS = r"[\x20\x09-\x0D]+"
@@ -70,6 +72,15 @@ def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return run, np.arange(len(run)) - starts[run]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers wait for later stages, and what they hold is missing there."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives in the Python worker until another name is asked for: one stage's cache does not outlive it."""
     holder = sys.modules.setdefault("_mnemospark_worker_cache", types.ModuleType("_mnemospark_worker_cache"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import blocks, segments, tune, worker_cache
+from mnemospark.llm.common import blocks, give_back, segments, tune, worker_cache
 
 SPACE = "▁"
 #: Parts of a text that no piece crosses: a run of letters or of others after its spaces. The
@@ -43,7 +43,7 @@ SPACE = "▁"
 _FINE = re.compile(rf"{SPACE}*[^\W\d_²³¹]+|{SPACE}*(?:[^\w{SPACE}\n]|[\d_²³¹])+|{SPACE}+|\n")
 _COARSE = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 #: Bytes of words and branches that a worker remembers; it starts anew beyond them.
-REMEMBERED = 96 << 20
+REMEMBERED = 48 << 20
 #: What a remembered word takes beside its characters: its entry in a dict, and the string.
 _ENTRY = 170
 #: Where a path has become this unlikely, leaving it cannot matter: the chance is below e ** -60.
@@ -410,5 +410,6 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 42
             at = np.append(0, np.cumsum([len(x) for x in lists]))
             values = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(lists), pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rank, pa.int32()), values, pa.array(logp, pa.float64()), pa.array(chance, pa.float64()), pa.array(same, pa.bool_())], columns)
+        give_back()
 
     return rows.mapInArrow(cut, "doc_id long, rank int, ids array<int>, log_prob double, inclusion double, decoded_ok boolean")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import blocks, stored, tune
+from mnemospark.llm.common import blocks, give_back, stored, tune
 from mnemospark.llm.components import connected
 from mnemospark.llm.minhash import BANDS, ROWS, band_keys, signatures
 from mnemospark.llm.simhash import _majority, _shingles, links, pigeonhole_masks
@@ -34,7 +34,7 @@ def _profiles(rows: DataFrame, words: int, bands: int, permutations: int) -> Dat
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", 1 << 20):
             sets = [_shingles(x, words) for x in block.column("text").cast(pa.binary()).fill_null(b"").to_pylist()]
             counts = np.fromiter(map(len, sets), np.int64, len(sets))
             hashes = np.concatenate([np.zeros(0, np.uint64), *sets])
@@ -45,6 +45,7 @@ def _profiles(rows: DataFrame, words: int, bands: int, permutations: int) -> Dat
             nodes = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             prints = pa.array([f"{x:016x}" for x in _majority(hashes, counts).tolist()], pa.string())
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("body"), nodes, pa.array(counts), prints, lists], ["doc_id", "body", "node", "n", "fingerprint", "bands"])
+        give_back()
 
     return rows.select("doc_id", "text", "body").mapInArrow(make, f"doc_id {kind}, body long, node binary, n long, fingerprint string, bands array<long>")
 
