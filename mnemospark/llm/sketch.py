@@ -80,11 +80,12 @@ def text_likeness(a: Column, b: Column, text: Column, other: Column, size: int =
     def short(sketch: Column) -> Column:
         return (F.size(sketch) == 1) & (F.get(sketch, F.lit(0)) >= bound)
 
-    def whole(x: Column) -> Column:
-        return F.array_distinct(shingle_hashes(words(x), size))
+    needed = (short(a) | short(b)) & (F.size(a) > 0) & (F.size(b) > 0)
 
-    exact = let(whole(text), lambda x: let(whole(other), lambda y: likeness(x, y)))
-    return F.when((short(a) | short(b)) & (F.size(a) > 0) & (F.size(b) > 0), exact).otherwise(likeness(a, b))
+    def pick(sketch: Column, of: Column) -> Column:
+        return F.when(needed, let(words(of), lambda own: F.array_distinct(shingle_hashes(own, size)))).otherwise(sketch)
+
+    return let(pick(a, text), lambda x: let(pick(b, other), lambda y: likeness(x, y)))
 
 
 def as_string(found: Column) -> Column:
