@@ -9,6 +9,7 @@ from mnemospark.functions.quality import check_rulebook
 from mnemospark.functions.text import fact_bullet, few_shot_line
 from mnemospark.operators.filters import choose_content, find_unclassified, top_per_group
 from mnemospark.schemas import DEFAULTS
+from mnemospark.session import cut_lineage
 
 
 def orientation_order() -> list[Column]:
@@ -126,7 +127,9 @@ def few_shot(
     keyed = entries.select(F.col("id").alias("entry_id"), "dimension", "entity")
     errors = corrections.filter(F.col("reason_category") == "ai_error").join(keyed, "entry_id")
     columns = ["created_at", "id", "dimension", "entity", "old_fact", "new_fact", "feedback"]
-    errors = errors.select(*columns, F.lower("entity").alias("_entity"))
+    # stored: the five branches below would each join the log again; texts join the few chosen rows at the end
+    slim = ["created_at", "id", "dimension", "entity"]
+    errors = cut_lineage(errors.select(*slim, F.lower("entity").alias("_entity")))
     newest_first = [F.col("created_at").desc(), F.col("id").desc()]
     newest = errors.orderBy(*newest_first).limit(max(10, cap))
     ages = newest.agg(F.reverse(F.sort_array(F.collect_list(F.struct("created_at", "id")))).alias("a")).select(
@@ -134,10 +137,10 @@ def few_shot(
     ).select("_age", F.col("c.id").alias("id"))
     wanted = targets.select("target", F.transform("entities", lambda e: F.lower(e)).alias("_names"))
     named = wanted.select("target", F.explode("_names").alias("_entity")).distinct()
-    of_dimension = top_per_group(errors, ["dimension"], newest_first, cap).select(*columns, "_entity")
+    of_dimension = top_per_group(errors, ["dimension"], newest_first, cap).select(*slim, "_entity")
     with_entity = errors.filter(F.col("_entity") != "")
-    of_entity = top_per_group(with_entity, ["_entity"], newest_first, cap).select(*columns, "_entity")
-    of_both = top_per_group(with_entity, ["dimension", "_entity"], newest_first, cap).select(*columns, "_entity")
+    of_entity = top_per_group(with_entity, ["_entity"], newest_first, cap).select(*slim, "_entity")
+    of_both = top_per_group(with_entity, ["dimension", "_entity"], newest_first, cap).select(*slim, "_entity")
     any_target = wanted.select("target", F.lit(1).alias("_all"))
     found = (
         of_dimension.withColumn("target", F.col("dimension")).join(wanted.select("target"), "target")
@@ -152,8 +155,9 @@ def few_shot(
         + F.when(F.array_contains("_names", F.coalesce("_entity", F.lit(""))) & (F.col("_entity") != ""), 2.0).otherwise(0.0)
         + F.greatest(F.lit(0.0), F.lit(1.0) - F.coalesce("_age", F.lit(10)) * 0.1)
     )
-    scored = rows.select("target", F.round(score, 9).alias("score"), *columns)
+    scored = rows.select("target", F.round(score, 9).alias("score"), *slim)
     best = top_per_group(scored, ["target"], [F.col("score").desc(), *newest_first], cap)
+    best = best.join(corrections.select("id", "old_fact", "new_fact", "feedback"), "id").select("target", "score", *columns, "rank")
     line = few_shot_line(F.col("entity"), F.col("dimension"), F.col("old_fact"), F.col("new_fact"), F.col("feedback"))
     return best.withColumn("line", line)
 

@@ -264,7 +264,7 @@ def apply_actions(
     ).select(rows)
     top_id = F.coalesce(entries.agg(F.max("id")).scalar(), F.lit(0))
     inserted = number_rows(started.unionByName(competing), ["first"], "id", top_id)
-    inserted = cut_lineage(inserted.withColumn("trust_score", F.lit(0.5)))
+    inserted = inserted.withColumn("trust_score", F.lit(0.5))  # its rows are stored by the numbering
 
     # 5. Source links, one per (row, document).
     touched = on_rows.filter(is_write).select(F.col("target").alias("entry_id"), "doc_id", order.alias("at"))

@@ -35,7 +35,7 @@ def filter_documents(
     if since is not None:
         docs = docs.filter(F.col("updated_at") >= bound(since, now))
     if until is not None:
-        docs = docs.filter(F.date_trunc("second", "updated_at") <= bound(until, now))
+        docs = docs.filter(F.col("updated_at") < bound(until, now) + F.expr("INTERVAL 1 SECOND"))
     if location is not None:
         docs = docs.filter(F.col("vault_path").startswith(location.rstrip("/") + "/"))
     return docs

@@ -227,9 +227,11 @@ def number_rows(df: DataFrame, order: list, name: str, start: Column | int = 0)
 def last_write(df: DataFrame, key: str, order: str = "seq") -> DataFrame:
     """One row for each key: of every column the value written last that is not null.
 
-    Rows are in the order of the column ``order``; without such a column the largest
-    value wins, so that the result does not depend on how the rows lie.
+    Rows are in the order of the column ``order``; without such a column the largest row
+    as a whole wins (compared column by column), so that the result is one that was
+    written and does not depend on how the rows lie.
     """
     columns = [c for c in df.columns if c not in (key, order)]
-    when = {c: F.col(order) if order in df.columns else F.col(c) for c in columns}
-    return df.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), when[c])).alias(c) for c in columns])
+    if order not in df.columns:
+        return df.groupBy(key).agg(F.max(F.struct(*columns)).alias("_w")).select(key, "_w.*")
+    return df.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])

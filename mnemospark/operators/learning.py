@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +30,14 @@ _NEEDS_VALUE = ("edit_fact", "change_tag", "change_entity", "revise")
 @dataclass
 class AppliedCorrections:
     entries: DataFrame
-    spawned: DataFrame
     log: DataFrame
     rejects: DataFrame
+    _spawn: Callable[[], DataFrame]
+
+    @cached_property
+    def spawned(self) -> DataFrame:
+        """The new entries. Numbering them runs a job, so it waits until they are asked for."""
+        return self._spawn()
 
 
 def apply_corrections(
@@ -121,6 +128,11 @@ def apply_corrections(
         F.lit("pending").alias("status"), F.lit(rules.revise_base).alias("trust_score"),
         F.coalesce(given, F.concat(F.lit("Revised from entry "), F.col("entry_id").cast("string"))).alias("reasoning"),
     )
-    top_id = F.coalesce(entries.agg(F.max("id")).scalar(), F.lit(0))
-    spawned = number_rows(spawned, ["created_at", "request_id"], "id", top_id)
-    return AppliedCorrections(kept, spawned, log, rejects)
+
+    def spawn() -> DataFrame:
+        top_id = F.coalesce(entries.agg(F.max("id")).scalar(), F.lit(0))
+        keys = ops.filter(is_revise).select("created_at", F.col("id").alias("request_id"))
+        numbers = number_rows(keys, ["created_at", "request_id"], "id", top_id)
+        return spawned.join(numbers.select("request_id", "id"), "request_id")
+
+    return AppliedCorrections(kept, log, rejects, spawn)

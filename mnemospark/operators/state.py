@@ -22,24 +22,26 @@ def _stamp(now: str | None) -> Column:
     return F.lit(now).cast("timestamp") if now else F.current_timestamp()
 
 
-def upsert_uploads(docs: DataFrame, uploads: DataFrame, now: str | None = None, chunk: int = 1000) -> DataFrame:
+def upsert_uploads(docs: DataFrame, uploads: DataFrame, now: str | None = None, chunk: int = 1000, top_id: int | None = None) -> DataFrame:
     """Store ``uploads(vault_path, full_body, content_hash, ..., title, seq)`` by path.
 
     An upload with the hash already stored is ignored, also when the same hash
     comes twice in a row inside the batch. A new hash overwrites the raw columns;
     title changes only when given, summary and classify stamp stay. The result has
-    an ``action`` column: inserted, updated or unchanged.
+    an ``action`` column: inserted, updated or unchanged. Of uploads with one ``seq`` the
+    larger hash comes last. New rows are numbered after ``top_id``, by default the
+    largest id of ``docs``, which may then be the rows of the uploaded paths alone.
     """
     stored = docs.select("vault_path", F.col("content_hash").alias("_stored"), F.lit(True).alias("_present"))
-    seen = value_before(uploads, "vault_path", ["seq"], ["content_hash"], F.floor(F.col("seq") / chunk))
+    seen = value_before(uploads, "vault_path", ["seq", "content_hash"], ["content_hash"], F.floor(F.col("seq") / chunk))
     seen = seen.join(stored, "vault_path", "left")
     last_hash = F.coalesce("prev_content_hash", "_stored")
     effective = seen.filter(~F.coalesce(F.col("content_hash") == last_hash, F.lit(False)))
     raw = [c for c in _RAW if c in uploads.columns]
     title = F.nullif("title", F.lit("")) if "title" in uploads.columns else F.lit(None).cast("string")
     changes = effective.groupBy("vault_path").agg(
-        F.max_by(F.struct(*raw), "seq").alias("w"),
-        F.max_by(title, F.when(title.isNotNull(), F.col("seq"))).alias("_title"),
+        F.max_by(F.struct(*raw), F.struct("seq", "content_hash")).alias("w"),
+        F.max_by(title, F.when(title.isNotNull(), F.struct("seq", "content_hash"))).alias("_title"),
         F.min("seq").alias("first_seq"),
         F.max("_present").alias("_present"),
     )
@@ -53,9 +55,9 @@ def upsert_uploads(docs: DataFrame, uploads: DataFrame, now: str | None = None,
         *[values.get(c, F.col(c)).alias(c) for c in docs.columns],
         F.when(hit, "updated").otherwise("unchanged").alias("action"),
     )
-    top_id = F.coalesce(docs.agg(F.max("id")).scalar(), F.lit(0))
+    base = F.coalesce(docs.agg(F.max("id")).scalar(), F.lit(0)) if top_id is None else top_id
     fresh = changes.filter(F.col("_present").isNull())
-    ids = number_rows(fresh.select("first_seq", "vault_path"), ["first_seq", "vault_path"], "id", top_id)
+    ids = number_rows(fresh.select("first_seq", "vault_path"), ["first_seq", "vault_path"], "id", base)
     fresh = fresh.join(ids.select("vault_path", "id"), "vault_path")  # bodies take no part in the numbering
     new = fresh.select(
         "id", "vault_path", F.coalesce("_title", path_stem(F.col("vault_path"))).alias("title"),

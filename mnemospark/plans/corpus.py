@@ -101,7 +101,7 @@ class Tables:
         lines = lines.withColumn("fact", fact).filter(F.col("fact") != "")
         conf = (n % 100) / F.lit(100.0)
         return lines.select(
-            (F.col("doc_id") * 100000 + F.col("line_no")).alias("id"),
+            (F.col("doc_id") * 4294967296 + F.col("line_no")).alias("id"),
             F.col("lang").alias("dimension"),
             F.regexp_extract(F.lower("fact"), TOKEN, 0).alias("entity"),
             F.col("source").alias("tag"),
@@ -132,7 +132,7 @@ class Tables:
         reason = F.when(F.col("event_type").isin("error", "purchase"), "ai_error").otherwise("stale_source")
         return self.raw("events").select(
             F.col("event_id").alias("id"),
-            (F.col("user_id") * 100000).alias("entry_id"),
+            (F.col("user_id") * 4294967296).alias("entry_id"),
             op.alias("operation"),
             reason.alias("reason_category"),
             F.concat(F.lit("value "), (F.col("value") * 100).cast("long").cast("string")).alias("feedback"),
@@ -146,7 +146,7 @@ class Tables:
         """Conversation turns as comments on the first line of document ``conv_id``."""
         return self.raw("conversations").select(
             (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
-            (F.col("conv_id") * 100000).alias("entry_id"),
+            (F.col("conv_id") * 4294967296).alias("entry_id"),
             F.col("text").alias("comment_text"),
             _at(F.col("turn") * 60).alias("created_at"),
         )
@@ -248,7 +248,7 @@ VIEWS: dict[str, str] = {
                unnest(range(len(string_split(text, chr(10))))) AS line_no
         FROM documents""",
     "entries": rf"""
-        SELECT doc_id * 100000 + line_no AS id, lang AS dimension,
+        SELECT doc_id * 4294967296 + line_no AS id, lang AS dimension,
           regexp_extract(lower(fact), '{TOKEN}') AS entity, source AS tag, fact,
           CASE WHEN n % 11 = 0 THEN 'retired' WHEN n % 13 = 0 THEN NULL
                WHEN (n % 100) / 100::DOUBLE >= 0.85::DOUBLE THEN 'confident' ELSE 'pending' END AS status,
@@ -257,7 +257,7 @@ VIEWS: dict[str, str] = {
           ((n * 7) % 101) / 100::DOUBLE AS trust_score, (line_no % 10)::DOUBLE AS retrieval_score
         FROM (SELECT *, trim(line) AS fact, length(trim(line)) AS n FROM lines) t WHERE fact <> ''""",
     "corrections": """
-        SELECT event_id AS id, user_id * 100000 AS entry_id,
+        SELECT event_id AS id, user_id * 4294967296 AS entry_id,
           CASE event_type WHEN 'view' THEN 'confirm' WHEN 'error' THEN 'reject' WHEN 'purchase' THEN 'revise'
                WHEN 'click' THEN 'edit_fact' ELSE 'promote' END AS operation,
           CASE WHEN event_type IN ('error', 'purchase') THEN 'ai_error' ELSE 'stale_source' END AS reason_category,
@@ -265,7 +265,7 @@ VIEWS: dict[str, str] = {
           CASE WHEN event_type = 'purchase' THEN 'new ' || event_id END AS new_fact, ts AS created_at
         FROM events""",
     "comments": f"""
-        SELECT conv_id * 1000 + turn AS id, conv_id * 100000 AS entry_id, text AS comment_text,
+        SELECT conv_id * 1000 + turn AS id, conv_id * 4294967296 AS entry_id, text AS comment_text,
           make_timestamp(({EPOCH} + turn * 60) * 1000000) AS created_at FROM conversations""",
     "audit": """
         SELECT event_id AS id, ts AS timestamp,

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemospark.operators import index, retrieval
+from mnemospark.operators import index, neighbours, retrieval
 from mnemospark.operators.retrieval import compile_queries
 from mnemospark.operators.stored_index import StoredIndex
 from mnemospark.plans import search
 from mnemospark.plans.queries_search import _FACT_FUSED, _WEIGHT, QUERY_TEXT, _asked, _vector_query
 from mnemospark.plans.registry import SQL, query
-from mnemospark.session import scratch_folder
+from mnemospark.session import cut_lineage, scratch_folder
 
 
 def _indexed(t, docs, fields=index.DOCUMENT_FIELDS) -> StoredIndex:
@@ -75,7 +75,7 @@ def _(t):
     """Weighted fusion of a stored index of facts with nearest neighbours."""
     q = compile_queries(_asked(t, QUERY_TEXT))
     stored = _indexed(t, t.entries, index.FACT_FIELDS)
-    vectors = t.vectors.select((F.col("id") * 100000).alias("id"), "embedding")
+    vectors = t.vectors.select((F.col("id") * 4294967296).alias("id"), "embedding")
     legs = stored.search(q, 20), retrieval.knn(vectors, _vector_query(t), 20)
     rows = search.present_facts(retrieval.rrf_weighted(*legs, 20), t.entries, 20)
     return rows.select("id", "rank", "score", F.col("legs.keyword").alias("by_keyword"), F.coalesce("status", F.lit("-")).alias("status"), "entity")
@@ -112,3 +112,16 @@ def _(t):
 def _(t):
     """Number and mean length of the facts from the manifest of a changed index."""
     return _changed(t, t.entries, index.FACT_FIELDS).stats().select("n_docs", F.round("avg_len", 6).alias("avg_len"))
+
+
+@query("i7_ivf_recall", "SELECT count(*) AS n_queries, (count(*) * least(20, (SELECT count(*) FROM embeddings)))::BIGINT AS n_rows, true AS recall_ok FROM embeddings WHERE vec_id % 100 = 0")
+def _(t):
+    """Every id divisible by 100 asked of the inverted lists: always 20 rows, nine tenths of them the true ones."""
+    model = neighbours.train(t.vectors)
+    codes = cut_lineage(neighbours.encode(t.vectors, model))
+    asked = t.vectors.where("id % 100 = 0").select(F.col("id").alias("qid"), "embedding")
+    found = neighbours.search(codes, model, t.vectors, asked, 20)
+    exact = retrieval.knn(t.vectors, asked, 20)
+    counted = neighbours.recall(found, exact)
+    rows = found.agg(F.count_distinct("qid").alias("n_queries"), F.count("*").alias("n_rows"))
+    return rows.select("n_queries", "n_rows", (counted.select("recall").scalar() >= 0.9).alias("recall_ok"))

@@ -159,12 +159,12 @@ _ODD = """SELECT id, CASE entity WHEN 'the' THEN 'Projects/' || entity || '.md'
       WHEN 2 THEN 'Domain/Briefings/' || entity || '.md' WHEN 3 THEN 'inbox/.summaries/' || entity || '.md'
       WHEN 4 THEN 'Projects/A/.git/' || entity WHEN 5 THEN 'Projects/A/~$' || entity || '.docx'
       WHEN 6 THEN 'Projects/A/.summaries/' || entity || '.md' ELSE 'inbox/d/' || entity || '.sync-conflict-1.md' END END AS path
-  FROM (SELECT *, id % 100000 AS line_no FROM entries) e"""
+  FROM (SELECT *, id % 4294967296 AS line_no FROM entries) e"""
 
 
 def _odd_paths(t):
     """Paths of every kind, built from the first word of every fact."""
-    e, n = F.col("entity"), F.col("id") % 100000 % 8
+    e, n = F.col("entity"), F.col("id") % 4294967296 % 8
     j = F.concat
     path = (
         F.when(e == "the", j(F.lit("Projects/"), e, F.lit(".md")))

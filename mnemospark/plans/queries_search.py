@@ -79,7 +79,7 @@ def _(t):
 def _(t):
     """Index of the old facts, brought up to date by re-indexing those of labelled documents."""
     labelled = t.raw("labels").select("doc_id")
-    doc_id = F.floor(F.col("id") / 100000).alias("doc_id")
+    doc_id = F.floor(F.col("id") / 4294967296).alias("doc_id")
     changed = t.entries.select("id", doc_id).join(labelled, "doc_id", "left_semi").select("id")
     stale = t.entries.join(changed.withColumn("old", F.lit(True)), "id", "left")
     stale = stale.withColumn("fact", F.when(F.col("old"), "outdated text").otherwise(F.col("fact")))
@@ -198,7 +198,7 @@ _FACT_FUSED = f"""
       FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM fact_postings WHERE term IN ('tion', 'ing')) p, fact_stats
       GROUP BY id HAVING count(*) = 2),
     fk AS (SELECT * FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM fb) a WHERE rank <= 20),
-    fv AS (SELECT id * 100000 AS id, rank FROM vec),
+    fv AS (SELECT id * 4294967296 AS id, rank FROM vec),
     ff AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (
       SELECT coalesce(k.id, v.id) AS id, round(0.5::DOUBLE / (60 + coalesce(k.rank, 21)) + 0.5::DOUBLE / (60 + coalesce(v.rank, 21)), 9) AS score,
         k.rank IS NOT NULL AS by_keyword FROM fk k FULL JOIN fv v ON k.id = v.id) s) t WHERE rank <= 20)"""
@@ -208,7 +208,7 @@ def _facts_found(t):
     """Facts by text and, for a document's first line, by its document's vector."""
     asked = _asked(t, QUERY_TEXT)
     q = compile_queries(asked)
-    vectors = t.vectors.select((F.col("id") * 100000).alias("id"), "embedding")
+    vectors = t.vectors.select((F.col("id") * 4294967296).alias("id"), "embedding")
     c = search.adhoc_corpus(t.entries, q, index.FACT_FIELDS, vectors)
     return search.search_facts(c, asked, _vector_query(t), compiled=q)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.operators import facts, folds, learning, reconcile, reports, state
+from mnemospark.plans.classify import classify_pass
 from mnemospark.plans.queries_rows import stamp, stamp_sql
 from mnemospark.plans.registry import query
 from mnemospark.session import scratch_folder
@@ -244,10 +245,10 @@ def _(t):
     "r13_upsert_entries",
     """SELECT e.id, CASE WHEN c.id IS NULL THEN e.status WHEN c.conf >= 0.85::DOUBLE THEN 'confident' ELSE 'pending' END AS status,
       coalesce(c.conf, e.confidence) AS confidence, e.retrieval_score FROM entries e LEFT JOIN (
-      SELECT user_id * 100000 AS id, max((value / 100)::DOUBLE) AS conf FROM events GROUP BY user_id) c ON c.id = e.id""",
+      SELECT user_id * 4294967296 AS id, max((value / 100)::DOUBLE) AS conf FROM events GROUP BY user_id) c ON c.id = e.id""",
 )
 def _(t):
-    rows = t.events.groupBy((F.col("user_id") * 100000).alias("id")).agg(F.max(F.col("value") / 100).alias("confidence"))
+    rows = t.events.groupBy((F.col("user_id") * 4294967296).alias("id")).agg(F.max(F.col("value") / 100).alias("confidence"))
     rows = rows.withColumn("status", F.lit(None).cast("string")).withColumn("retrieval_score", F.lit(99.0))
     return facts.upsert_entries(t.entries, rows).select("id", "status", "confidence", "retrieval_score")
 
@@ -255,7 +256,7 @@ def _(t):
 @query("u4_merge_sources", "SELECT e.id, e.doc_id || CASE WHEN l.doc_id % 2 = 1 THEN ',' || (l.doc_id - 1) ELSE '' END AS sources FROM entries e JOIN labels l ON l.doc_id = e.doc_id")
 def _(t):
     lab = t.raw("labels")
-    rows = t.entries.withColumn("doc_id", F.floor(F.col("id") / 100000)).join(lab, "doc_id")
+    rows = t.entries.withColumn("doc_id", F.floor(F.col("id") / 4294967296)).join(lab, "doc_id")
     other = F.when(F.col("doc_id") % 2 == 1, F.col("doc_id") - 1).otherwise(F.col("doc_id"))
     return rows.select("id", F.array_join(facts.merge_source(F.col("sources"), other), ",").alias("sources"))
 
@@ -323,7 +324,7 @@ def _actions(t):
     return t.conversations.select(
         F.col("conv_id").alias("doc_id"), F.lit("en").alias("dimension"), F.col("turn").cast("int").alias("item_no"),
         F.when(role == "user", "new").when(role == "assistant", "update").otherwise("retire").alias("action"),
-        F.when(role != "user", F.col("conv_id") * 100000).alias("id"),
+        F.when(role != "user", F.col("conv_id") * 4294967296).alias("id"),
         first_word.alias("entity"), F.concat(F.lit("src"), F.col("turn").cast("string")).alias("tag"), F.col("text").alias("fact"),
         ((F.length("text") % 100) / F.lit(100.0)).alias("confidence"),
         F.when(role == "system", "closed").alias("reason"),
@@ -331,7 +332,7 @@ def _actions(t):
 
 
 _ACTIONS = """acts AS (SELECT conv_id AS doc_id, turn AS item_no, CASE role WHEN 'user' THEN 'new' WHEN 'assistant' THEN 'update' ELSE 'retire' END AS action,
-      CASE WHEN role <> 'user' THEN conv_id * 100000 END AS id, regexp_extract(lower(text), '[\\p{L}\\p{N}]+') AS entity, 'src' || turn AS tag, text AS fact,
+      CASE WHEN role <> 'user' THEN conv_id * 4294967296 END AS id, regexp_extract(lower(text), '[\\p{L}\\p{N}]+') AS entity, 'src' || turn AS tag, text AS fact,
       (length(text) % 100) / 100::DOUBLE AS confidence FROM conversations),
     known AS (SELECT id, trust_score > 0.5::DOUBLE AS guarded FROM entries),
     twin AS (SELECT dimension, entity, tag, min(id) AS twin_id FROM entries WHERE status IS DISTINCT FROM 'retired' GROUP BY ALL),
@@ -377,19 +378,71 @@ def _(t):
 
 @query(
     "r7_reply_outcomes",
-    "SELECT conv_id AS doc_id, bool_and(e.id IS NOT NULL OR role = 'user') AS clean, count(*) FILTER (e.id IS NULL AND role <> 'user') AS n_skipped FROM conversations c LEFT JOIN entries e ON e.id = c.conv_id * 100000 GROUP BY conv_id",
+    "SELECT conv_id AS doc_id, bool_and(e.id IS NOT NULL OR role = 'user') AS clean, count(*) FILTER (e.id IS NULL AND role <> 'user') AS n_skipped FROM conversations c LEFT JOIN entries e ON e.id = c.conv_id * 4294967296 GROUP BY conv_id",
 )
 def _(t):
     return facts.apply_actions(t.entries, _actions(t), now=NOW).replies.select("doc_id", "clean", "n_skipped")
 
 
+# --- the classify pass ------------------------------------------------------------
+
+_PASS = f"""told AS (SELECT conv_id, n % 7 = 3 OR (reason IS NULL AND (role <> 'assistant' OR conv_id IN (SELECT id FROM entries))) AS ok FROM ({_REPLIES}) x),
+    outcome AS (SELECT conv_id AS id, bool_and(ok) AS clean FROM told GROUP BY conv_id)"""
+
+
+def _classified(t):
+    """A pass over the replies of :func:`_replies`, of which a seventh are empty lists; any failure parks a document."""
+    empty = F.length("text") % 7 == 3
+    ids = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("reply_id"), empty.alias("empty"))
+    replies = _replies(t).join(ids, "reply_id").withColumn("raw", F.when(F.col("empty"), "[]").otherwise(F.col("raw"))).drop("empty")
+    docs = t.catalog.withColumn("classify_last_error", F.lit(None).cast("string"))
+    return classify_pass(docs, t.entries, replies, F.lit("run-1"), NOW, retries=1)
+
+
+@query(
+    "r7_classify_pass",
+    f"""WITH {_PASS} SELECT c.id, CASE WHEN clean THEN content_hash ELSE classify_content_hash END AS stamp,
+      CASE WHEN clean THEN 0 WHEN NOT clean THEN classify_attempts + 1 ELSE classify_attempts END AS classify_attempts,
+      CASE WHEN NOT clean THEN 'needs-review' ELSE status END AS status FROM catalog c LEFT JOIN outcome o ON o.id = c.id""",
+)
+def _(t):
+    """Work state of the documents after accepted, empty, rejected and unknown replies."""
+    return _classified(t).documents.select("id", F.col("classify_content_hash").alias("stamp"), "classify_attempts", "status")
+
+
+@query(
+    "r16_classify_audit",
+    f"""WITH {_PASS} SELECT id::VARCHAR AS source_id, 'en' AS decision, CASE WHEN clean THEN 'classify' ELSE 'needs-retry' END AS outcome FROM outcome""",
+)
+def _(t):
+    rows = _classified(t).audit.filter("stage = 'extract'")
+    return rows.select(F.col("source_ids")[0].alias("source_id"), "decision", "outcome")
+
+
+@query(
+    "r16_parked_audit",
+    f"""WITH {_PASS} SELECT c.id::VARCHAR AS source_id, 'parked' AS outcome FROM catalog c JOIN outcome o ON o.id = c.id WHERE NOT clean AND status IS DISTINCT FROM 'needs-review'""",
+)
+def _(t):
+    rows = _classified(t).audit.filter("stage = 'park'")
+    return rows.select(F.col("source_ids")[0].alias("source_id"), "outcome")
+
+
+@query("r16_failure_audit", "SELECT vault_path AS source_id, 'FAILED' AS outcome, 'larger than 10000 bytes' AS reasoning FROM docs WHERE file_size_bytes > 10000")
+def _(t):
+    """Files that were too large to take in."""
+    large = t.documents.filter("file_size_bytes > 10000").select("vault_path", F.lit("larger than 10000 bytes").alias("reason"))
+    rows = state.failure_audit(large, F.lit("run-1"), NOW)
+    return rows.select(F.col("source_ids")[0].alias("source_id"), "outcome", "reasoning")
+
+
 # --- learning --------------------------------------------------------------------
 
 
 @query(
     "w8_decayed_scores",
     """WITH sweeps AS (SELECT DISTINCT date_trunc('day', ts)::TIMESTAMP AS ts FROM events),
-      bumps AS (SELECT user_id * 100000 AS entry_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS later,
+      bumps AS (SELECT user_id * 4294967296 AS entry_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS later,
         (SELECT count(*) FROM sweeps s WHERE s.ts > e.ts) AS swept FROM events e WHERE event_type = 'click'),
       g AS (SELECT entry_id, count(*) AS n, sum(pow(0.95::DOUBLE, later + swept)) AS gain FROM bumps GROUP BY entry_id)
     SELECT e.id, round(e.retrieval_score * pow(0.95::DOUBLE, coalesce(g.n, 0) + (SELECT count(*) FROM sweeps)) + coalesce(g.gain, 0), 6) AS retrieval_score
@@ -397,7 +450,7 @@ def _(t):
 )
 def _(t):
     """Clicks surface a fact, every day of the log ends a decay sweep."""
-    bumps = t.events.filter(F.col("event_type") == "click").select((F.col("user_id") * 100000).alias("entry_id"), "ts", "event_id")
+    bumps = t.events.filter(F.col("event_type") == "click").select((F.col("user_id") * 4294967296).alias("entry_id"), "ts", "event_id")
     sweeps = t.events.select(F.date_trunc("day", "ts").alias("ts")).distinct()
     return folds.decayed_scores(t.entries, bumps, sweeps).select("id", F.round("retrieval_score", 6).alias("retrieval_score"))
 
@@ -424,13 +477,13 @@ def _requests(t):
     op = F.when(kind == "view", "confirm").when(kind == "error", "reject").when(kind == "purchase", "revise").when(kind == "click", "edit_fact").otherwise("un_retire")
     value = F.when(kind.isin("purchase", "click"), F.concat(F.lit("fact "), F.col("event_id").cast("string")))
     return t.events.select(
-        F.col("event_id").alias("id"), (F.col("user_id") * 100000).alias("entry_id"), op.alias("operation"), value.alias("value"),
+        F.col("event_id").alias("id"), (F.col("user_id") * 4294967296).alias("entry_id"), op.alias("operation"), value.alias("value"),
         F.lit(None).cast("string").alias("reason"), F.lit("ai_error").alias("reason_category"), F.lit("").alias("feedback"), F.col("ts").alias("created_at"),
     )
 
 
 _REQUESTS = """req AS (SELECT r.*, e.fact AS fact0, e.trust_score AS t0, e.dimension, e.entity, e.tag, e.confidence FROM (
-      SELECT event_id AS id, user_id * 100000 AS entry_id, event_type AS k, ts AS created_at,
+      SELECT event_id AS id, user_id * 4294967296 AS entry_id, event_type AS k, ts AS created_at,
         CASE WHEN event_type IN ('purchase', 'click') THEN 'fact ' || event_id END AS value,
         CASE event_type WHEN 'view' THEN 1 WHEN 'error' THEN 2 ELSE 0 END::DOUBLE AS code FROM events) r JOIN entries e ON e.id = r.entry_id),
     seen AS (SELECT *, last_value(CASE WHEN k = 'click' THEN value END IGNORE NULLS) OVER w AS prev_fact, list(code) OVER w AS codes FROM req
@@ -911,25 +964,59 @@ def _(t):
 @query("x12_first_shown_stream", "SELECT DISTINCT event_type AS session_id, user_id AS id FROM events")
 def _(t):
     shown = t.stream("events").select(F.col("event_type").alias("session_id"), F.col("user_id").alias("id"), "ts")
-    return jobs.run_available(ev.first_shown(shown, delay="400 days"), scratch_folder(t.spark)).select("session_id", "id")
+    return jobs.run_available(ev.first_shown(shown), scratch_folder(t.spark)).select("session_id", "id")
 
 
 @query(
     "x10_ingest_stream",
-    """WITH u AS (SELECT 'chat/c' || conv_id || '.md' AS vault_path, arg_max(sha256(text), turn) AS h FROM conversations GROUP BY conv_id)
+    """WITH u AS (SELECT 'chat/c' || conv_id || '.md' AS vault_path, arg_max(sha256(text), [turn % 3, turn]) AS h FROM conversations GROUP BY conv_id)
       SELECT vault_path, content_hash FROM docs UNION ALL SELECT vault_path, h FROM u""",
 )
 def _(t):
-    """Conversation turns ingested as a stream into a catalog snapshot."""
+    """Conversation turns ingested in three batches, so that later ones bring older turns and new paths."""
     folder = scratch_folder(t.spark)
-    tables.write_snapshot(t.documents, f"{folder}/catalog", 0)
-    turns = t.stream("conversations").select(
-        F.concat(F.lit("chat/c"), F.col("conv_id").cast("string"), F.lit(".md")).alias("vault_path"), F.col("text").alias("full_body"),
-        F.sha2("text", 256).alias("content_hash"), F.col("turn").alias("seq"), F.timestamp_seconds(F.col("turn")).alias("ts"),
-    )
-    jobs.ingest_stream(turns, f"{folder}/catalog", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
-    done = tables.latest_version(t.spark, f"{folder}/catalog")
-    return tables.read_snapshot(t.spark, f"{folder}/catalog", done).select("vault_path", "content_hash")
+    jobs.create_catalog(t.documents, f"{folder}/catalog")
+    for part in range(3):
+        t.conversations.where(F.col("turn") % 3 == part).write.parquet(f"{folder}/turns/part={part}")
+        rows = t.spark.readStream.schema(t.conversations.schema).option("recursiveFileLookup", True).parquet(f"{folder}/turns")
+        turns = rows.select(
+            F.concat(F.lit("chat/c"), F.col("conv_id").cast("string"), F.lit(".md")).alias("vault_path"), F.col("text").alias("full_body"),
+            F.sha2("text", 256).alias("content_hash"), F.col("turn").cast("long").alias("seq"),
+        )
+        jobs.ingest_stream(turns, f"{folder}/catalog", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return jobs.open_catalog(t.spark, f"{folder}/catalog").read().select("vault_path", "content_hash")
+
+
+@query(
+    "x8_confirm_deletes_stream",
+    """WITH s AS (SELECT doc_id, k, (doc_id >> k) & 1 = 1 AS missing FROM documents, (SELECT unnest(range(4)) AS k) x),
+      r AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM s WHERE missing)
+    SELECT doc_id::VARCHAR AS path, k AS sweep FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY k) AS p FROM r) y WHERE p % 2 = 0""",
+)
+def _(t):
+    """Four sweeps, a batch each: the bits of a document's id say which of them miss it."""
+    folder = scratch_folder(t.spark)
+    ids = t.raw("documents").select("doc_id")
+    n = ids.count()
+    for k in range(4):
+        seen = F.expr(f"shiftright(doc_id, {k}) & 1 = 0")
+        ids.select(F.col("doc_id").cast("string").alias("path"), F.lit(k).cast("long").alias("sweep"), seen.alias("present")).write.parquet(f"{folder}/sweeps/k={k}")
+        rows = t.spark.readStream.schema("path string, sweep long, present boolean").option("recursiveFileLookup", True).parquet(f"{folder}/sweeps")
+        with jobs.state_partitions(t.spark, n):
+            found = jobs.run_available(jobs.confirm_delete_stream(rows, confirmations=2), folder)
+    return found
+
+
+@query(
+    "x1_debounce_stream",
+    f"""WITH {_FILE_EVENTS}, g AS (SELECT *, sum(brk) OVER (PARTITION BY kind, path ORDER BY ts, event_id) AS s FROM (
+        SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY kind, path ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS brk FROM fe WHERE kind IN ('create', 'modify')) x)
+      SELECT kind, path, max(event_id) AS event_id, count(*) AS n_events FROM g GROUP BY kind, path, s HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM fe WHERE kind IN ('create', 'modify'))""",
+)
+def _(t):
+    """Busy periods that the watermark says are over; the open ones wait in the state."""
+    rows = ev.debounce(_file_events(t, t.stream("events")), "6 hours", delay="1 hour")
+    return jobs.run_available(rows, scratch_folder(t.spark)).select("kind", "path", "event_id", "n_events")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions.paths import matches_ignore
@@ -15,16 +15,17 @@ _DEBOUNCED = ("create", "modify")
 def debounce(events: DataFrame, gap: str = DEFAULTS.debounce, delay: str | None = None) -> DataFrame:
     """The last create or modify event of each (kind, path) once ``gap`` passed quietly.
 
-    ``delay`` is the watermark a stream needs; a static table takes none. Deletes
+    Of events with one time the one with the largest ``event_id`` is the last, without such a
+    column the one with the largest hash. ``delay`` is the watermark a stream needs; a static table takes none. Deletes
     and moves are not debounced: see :func:`immediate`.
     """
-    if delay is not None:
-        events = events.withWatermark("ts", delay)
     rows = events.filter(F.col("kind").isin(*_DEBOUNCED))
+    if delay is not None:
+        rows = rows.withWatermark("ts", delay)
     others = [c for c in events.columns if c not in ("kind", "path")]
     return (
         rows.groupBy(F.session_window("ts", gap).alias("quiet"), "kind", "path")
-        .agg(F.max_by(F.struct(*others), "ts").alias("e"), F.count(F.lit(1)).alias("n_events"))
+        .agg(F.max_by(F.struct(*others), F.struct("ts", F.col("event_id") if "event_id" in others else F.xxhash64(*others))).alias("e"), F.count(F.lit(1)).alias("n_events"))
         .select("kind", "path", "e.*", "n_events", F.col("quiet.end").alias("fired_at"))
     )
 
@@ -118,7 +119,7 @@ def suppress_registered(events: DataFrame, registrations: DataFrame, ttl_seconds
     """Events minus those our own jobs caused (static tables).
 
     A registration ``(path, ts)`` suppresses the first event on its path within the
-    time to live, and only that one.
+    time to live, and only that one: of equal events the others stay.
     """
     log = events.select("path", "ts", F.lit("event").alias("side")).unionByName(
         registrations.select("path", "ts", F.lit("claim").alias("side"))
@@ -128,7 +129,10 @@ def suppress_registered(events: DataFrame, registrations: DataFrame, ttl_seconds
     seen = value_before(log, "path", ["ts", "side"], ["last"], slot)
     gap = F.col("ts").cast("double") - F.col("prev_last.ts").cast("double")
     own = seen.filter((F.col("side") == "event") & (F.col("prev_last.side") == "claim") & (gap < ttl_seconds))
-    return events.join(own.select("path", "ts"), ["path", "ts"], "left_anti")
+    # events of one path and time are told apart by their number, in the order of their contents
+    copy = F.row_number().over(Window.partitionBy("path", "ts").orderBy(*[F.col("event_id")] if "event_id" in events.columns else [F.xxhash64(*events.columns)]))
+    numbered = events.withColumn("_copy", copy)
+    return numbered.join(own.select("path", "ts", F.lit(1).alias("_copy")), ["path", "ts", "_copy"], "left_anti").select(*events.columns)
 
 
 def confirm_deletes(sweep: DataFrame, counters: DataFrame, confirmations: int = DEFAULTS.sweep_confirmations) -> tuple[DataFrame, DataFrame]:
@@ -143,8 +147,9 @@ def confirm_deletes(sweep: DataFrame, counters: DataFrame, confirmations: int =
     return counted.filter(F.col("n") >= confirmations).select("path"), counted.filter(F.col("n") < confirmations)
 
 
-def first_shown(shown: DataFrame, delay: str | None = None) -> DataFrame:
-    """One surfacing per (session, id)."""
-    if delay is not None:
-        return shown.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["session_id", "id"])
+def first_shown(shown: DataFrame) -> DataFrame:
+    """One surfacing per (session, id), on a stream too: however late, none is lost.
+
+    A stream keeps the pairs it has shown, two keys each, in its state store.
+    """
     return shown.dropDuplicates(["session_id", "id"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from mnemospark.operators.state import upsert_uploads
 from mnemospark.schemas import DEFAULTS
 from mnemospark.session import ROCKSDB, cut_lineage
 from mnemospark.sources.files import text_column
+from mnemospark.sources.segments import SegmentLog
 from mnemospark.sources.tables import latest_version, read_snapshot, write_snapshot
 
 FILE_EVENT = T.StructType(
@@ -33,6 +35,21 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, rows: int, each: int = 100_000) -> Iterator[None]:
+    """Streams started inside get a state partition for every ``each`` of ``rows`` keys, eight at least and no more than shuffles have.
+
+    A stream keeps the number it was first started with.
+    """
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), max(8, -(-rows // each)))))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def _rows(batches: Iterator[pd.DataFrame]) -> list[tuple]:
     frames = [b for b in batches if not b.empty]
     if not frames:
@@ -187,34 +204,87 @@ def _step_once(spark: SparkSession, path: str, batch_id: int) -> bool:
     return done is None or done < batch_id + 1
 
 
+def create_catalog(docs: DataFrame, path: str) -> SegmentLog:
+    """A document catalog as a log of segments, with ``docs`` as its first one."""
+    log = SegmentLog(docs.sparkSession, path, "vault_path")
+    top = docs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    log.append(docs, 0, {"top_id": float(top)}, rows=docs)
+    return log
+
+
+def open_catalog(spark: SparkSession, path: str) -> SegmentLog:
+    return SegmentLog(spark, path, "vault_path")
+
+
 def ingest_stream(texts: DataFrame, catalog_path: str, checkpoint: str) -> DataStreamWriter:
-    """Upsert ``texts(vault_path, full_body, content_hash, seq, ...)`` into a catalog snapshot.
+    """Upsert ``texts(vault_path, full_body, content_hash, seq, ...)`` into a catalog (:func:`create_catalog`).
 
-    No row is too late: the last ``seq`` stored of each path is kept beside the catalog
-    (``<catalog_path>-seen``), and only a repeated or older delivery of that path is left
-    out. A file that returns to earlier content with a new ``seq`` is a change. Each
-    micro-batch writes the state version of its own number; a replayed batch finds it and
-    does nothing. Version 0 is the catalog before the stream.
+    What arrives later replaces what is stored if its hash differs, however old its ``seq``:
+    a file may be replaced by an older copy of it. Within a batch ``seq`` is the order.
+    The state store keeps the (path, hash, seq) of all rows, so that one that is delivered again is
+    left out. A micro-batch appends the rows it changed; a replayed batch finds its
+    segment in the manifest and does nothing.
     """
-    seen_path = f"{catalog_path.rstrip('/')}-seen"
+    use_rocksdb(texts.sparkSession)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if not _step_once(spark, catalog_path, batch_id):
+        log = open_catalog(batch.sparkSession, catalog_path)
+        if any(s.tag > batch_id for s in log.segments()):
             return
-        docs = read_snapshot(spark, catalog_path, batch_id)
-        rows = batch.drop("ts").dropDuplicates(["vault_path", "content_hash", "seq"])
-        if batch_id > 0:
-            seen = read_snapshot(spark, seen_path, batch_id)
-        else:
-            seen = spark.createDataFrame([], "vault_path string, last_seq long")
-        fresh = cut_lineage(rows.join(seen, "vault_path", "left").filter("last_seq IS NULL OR seq > last_seq").drop("last_seq"))
-        newest = seen.unionByName(fresh.select("vault_path", F.col("seq").cast("long").alias("last_seq")))
-        if _step_once(spark, seen_path, batch_id):
-            write_snapshot(newest.groupBy("vault_path").agg(F.max("last_seq").alias("last_seq")), seen_path, batch_id + 1)
-        write_snapshot(upsert_uploads(docs, fresh).drop("action"), catalog_path, batch_id + 1)
-
-    return texts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
+        fresh = cut_lineage(batch)
+        top = int(log.measures().get("top_id", 0))
+        own = log.read().join(fresh.select("vault_path").distinct(), "vault_path", "left_semi")
+        changed = cut_lineage(upsert_uploads(own, fresh, top_id=top).filter("action <> 'unchanged'").drop("action"))
+        new_top = changed.agg(F.greatest(F.coalesce(F.max("id"), F.lit(0)), F.lit(top))).first()[0]
+        log.append(changed, batch_id + 1, {"top_id": float(new_top - top)}, rows=changed)
+        log.compact()
+
+    once = texts.dropDuplicates(["vault_path", "content_hash", "seq"]).drop("ts")
+    return once.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
+
+
+class MissCounter(StatefulProcessor):
+    """Per path: the sweeps in a row that missed it."""
+
+    def __init__(self, confirmations: int, ttl_ms: int | None) -> None:
+        self.confirmations, self.ttl_ms = confirmations, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.missed = handle.getValueState("missed", T.StructType([T.StructField("n", T.LongType())]), self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frames = [b for b in rows if not b.empty]
+        out = []
+        n = self.missed.get()[0] if self.missed.exists() else 0
+        for sweep, present in pd.concat(frames).sort_values("sweep")[["sweep", "present"]].itertuples(index=False) if frames else ():
+            n = 0 if present else n + 1
+            if n >= self.confirmations:
+                out.append((key[0], sweep))
+                n = 0
+        if n:
+            self.missed.update((n,))
+        elif self.missed.exists():
+            self.missed.clear()
+        yield pd.DataFrame({"path": pd.Series([x[0] for x in out], dtype=object), "sweep": pd.Series([x[1] for x in out], dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def confirm_delete_stream(sweeps: DataFrame, confirmations: int = DEFAULTS.sweep_confirmations, ttl_ms: int | None = None) -> DataFrame:
+    """``path, sweep``: paths of ``sweeps(path, sweep, present)`` once ``confirmations`` sweeps in a row missed them.
+
+    Streaming form of :func:`~mnemospark.streaming.events.confirm_deletes`: the state of a path is one
+    number, kept only while it is missing; a path that is back, or is confirmed, starts anew.
+    With ``ttl_ms`` a counter that no sweep touched for so long is forgotten; such a stream looks
+    at the clock, so it runs until stopped and does not suit ``availableNow``.
+    """
+    use_rocksdb(sweeps.sparkSession)
+    out = T.StructType([T.StructField("path", T.StringType()), T.StructField("sweep", T.LongType())])
+    rows = sweeps.select("path", F.col("sweep").cast("long").alias("sweep"), "present")
+    return rows.groupBy("path").transformWithStateInPandas(
+        statefulProcessor=MissCounter(confirmations, ttl_ms), outputStructType=out, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None"
+    )
 
 
 def file_stream(spark: SparkSession, root: str) -> DataFrame:

@@ -135,6 +135,8 @@ def test_self_moves(feed, make, spark, tmp_path):
     want = {("a", at(2)), ("b", at(9)), ("c", at(1))}
     s = "path string, ts timestamp"
     assert {tuple(r) for r in ev.suppress_registered(make(s, events), make(s, claims)).collect()} == want
+    twice = [("p", at(2)), ("p", at(2))]
+    assert ev.suppress_registered(make(s, twice), make(s, [("p", at(1))])).count() == 1
     stream = jobs.suppress_stream(feed(s, events, name="e"), feed(s, claims, name="c"))
     assert {tuple(r) for r in run(stream, spark, tmp_path).collect()} == want
 
@@ -152,36 +154,45 @@ DOC = "id long, vault_path string, title string, summary string, content_hash st
 
 def test_ingest_stream(feed, make, spark, tmp_path):
     catalog = str(tmp_path / "catalog")
-    tables.write_snapshot(make(DOC, [(1, "a.md", "T", "s", "h1", "old", at(0), at(0))]), catalog, 0)
+    jobs.create_catalog(make(DOC, [(1, "a.md", "T", "s", "h1", "old", at(0), at(0))]), catalog)
     up = "vault_path string, full_body string, content_hash string, seq long, ts timestamp"
     stream = feed(up, [("a.md", "new", "h2", 1, at(1)), ("b.md", "b", "h3", 2, at(2))], [("b.md", "b", "h3", 3, at(3)), ("a.md", "newer", "h4", 4, at(4))])
     jobs.ingest_stream(stream, catalog, str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
-    docs = tables.read_snapshot(spark, catalog, tables.latest_version(spark, catalog))
+    docs = jobs.open_catalog(spark, catalog).read()
     assert {("a.md", "newer"), ("b.md", "b")} == {(r["vault_path"], r["full_body"]) for r in docs.collect()}
     assert {(r["id"], r["vault_path"], r["full_body"]) for r in docs.collect()} == {(1, "a.md", "newer"), (2, "b.md", "b")}
 
 
 def test_ingest_keeps_a_return_to_earlier_content(feed, make, spark, tmp_path):
     catalog = str(tmp_path / "catalog")
-    tables.write_snapshot(make(DOC, [(1, "a.md", "T", "s", "h1", "old", at(0), at(0))]), catalog, 0)
+    jobs.create_catalog(make(DOC, [(1, "a.md", "T", "s", "h1", "old", at(0), at(0))]), catalog)
     up = "vault_path string, full_body string, content_hash string, seq long, ts timestamp"
     change, back = ("a.md", "new", "h2", 1, at(1)), ("a.md", "old", "h1", 2, at(2))
     stream = feed(up, [change], [back, change], [back])
     jobs.ingest_stream(stream, catalog, str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
-    docs = tables.read_snapshot(spark, catalog, tables.latest_version(spark, catalog))
+    docs = jobs.open_catalog(spark, catalog).read()
     assert [(r["id"], r["content_hash"]) for r in docs.collect()] == [(1, "h1")]
 
 
 def test_ingest_takes_late_files(feed, make, spark, tmp_path):
     catalog = str(tmp_path / "catalog")
-    tables.write_snapshot(make(DOC, [(1, "a.md", "T", "s", "h1", "old", at(0), at(0))]), catalog, 0)
+    jobs.create_catalog(make(DOC, [(1, "a.md", "T", "s", "h1", "old", at(0), at(0))]), catalog)
     up = "vault_path string, full_body string, content_hash string, seq long, ts timestamp"
     hours = [("b.md", "b", "h2", 200, at(3600 * 40)), ("c.md", "c", "h3", 300, at(3600 * 60))]
     stream = feed(up, *[[row] for row in hours], [("late.md", "l", "h4", 5, at(0))], [("b.md", "stale", "h5", 100, at(10))])
     jobs.ingest_stream(stream, catalog, str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
-    docs = tables.read_snapshot(spark, catalog, tables.latest_version(spark, catalog)).collect()
-    # a file older than all others is stored; an older version of a stored one is not
-    assert {(r["vault_path"], r["full_body"]) for r in docs} == {("a.md", "old"), ("b.md", "b"), ("c.md", "c"), ("late.md", "l")}
+    docs = jobs.open_catalog(spark, catalog).read().collect()
+    # a file older than all others is stored, and so is an older copy that replaces a stored one
+    assert {(r["vault_path"], r["full_body"]) for r in docs} == {("a.md", "old"), ("b.md", "stale"), ("c.md", "c"), ("late.md", "l")}
+    assert sorted(r["id"] for r in docs) == [1, 2, 3, 4]
+
+
+def test_confirm_delete_stream(feed, spark, tmp_path):
+    """Counters survive between batches; a path that is back, or is confirmed, starts anew."""
+    s = "path string, sweep long, present boolean"
+    sweeps = [[("a", k, k % 3 == 0), ("b", k, False), ("c", k, k > 0), ("d", k, True)] for k in range(5)]
+    found = run(jobs.confirm_delete_stream(feed(s, *sweeps), confirmations=2), spark, tmp_path).collect()
+    assert sorted((r["path"], r["sweep"]) for r in found) == [("a", 2), ("b", 1), ("b", 3)]
 
 
 def test_work_stream_takes_late_documents(feed, spark, tmp_path):
@@ -219,8 +230,8 @@ def test_first_shown_stream(feed, make, spark, tmp_path):
     s = "session_id string, id long, ts timestamp"
     rows = [("s", 1, at(0)), ("s", 1, at(1)), ("t", 1, at(2))]
     assert ev.first_shown(make(s, rows)).count() == 2
-    stream = ev.first_shown(feed(s, rows, [("s", 1, at(5)), ("s", 2, at(5))]), delay="1 hour")
-    assert {(r["session_id"], r["id"]) for r in run(stream, spark, tmp_path).collect()} == {("s", 1), ("t", 1), ("s", 2)}
+    stream = ev.first_shown(feed(s, rows, [("s", 1, at(5)), ("s", 2, at(5))], [("s", 3, at(90 * 3600))], [("s", 4, at(0)), ("s", 1, at(0))]))
+    assert {(r["session_id"], r["id"]) for r in run(stream, spark, tmp_path).collect()} == {("s", 1), ("t", 1), ("s", 2), ("s", 3), ("s", 4)}
 
 
 def test_sweeps(spark):
