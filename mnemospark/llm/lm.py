@@ -18,7 +18,10 @@ number of partitions, what reaches the driver is one set of weights.
 
 Defined cases: a null text, or one without words, has no words and the score 0; a corpus
 without words leaves the network as it began; words are split at ASCII white space, and
-A-Z are lower-cased.
+A-Z are lower-cased; repeated rows count as often as they occur and each have a row; words
+of equal frequency enter the vocabulary in their own order; very long texts are scored whole;
+an empty table gives no rows. The weights depend on how the rows lie in partitions, as these
+are trained apart and averaged.
 """
 
 from __future__ import annotations

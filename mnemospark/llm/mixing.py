@@ -16,7 +16,8 @@ in 16 million, are summed up in order. So no task orders the rows of a source.
 
 Defined cases: a null source is a source; a null text has no tokens; rows without tokens
 cost nothing and come with the pass they lie in; a source without any tokens has weight 0
-and keeps each row once; an empty table gives no rows.
+and keeps each row once; repeated rows are rows of their own; rows whose permuted keys are equal may
+change places; very long texts are rows like others; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ a pool that is still smaller are kept. Repeated rows count as often as they occu
 
 Defined cases: a null text has no words, so the base rules fail it; null languages and
 sources are groups of their own; statistics without spread get a floor on their variance,
-so that no covariance is singular.
+so that no covariance is singular; repeated rows count as often as they occur; distances equal
+to the limit pass; very long texts are measured whole; an empty table gives no rows; columns
+not kept are not read.
 """
 
 from __future__ import annotations

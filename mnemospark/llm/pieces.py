@@ -19,7 +19,8 @@ drawn for all texts of a block together.
 Defined cases: a null text is an empty one; an empty text has one empty segmentation with
 the score 0; a text with fewer than ``k`` segmentations gives them all, with scores 0; rows
 with equal keys and texts get equal samples; "\\u2581" in a text is read as a space, as
-the model does.
+the model does; rows with a null id are sampled by their text; very long texts are one
+lattice, searched whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ for one bucket are compressed together.
 
 Defined cases: a null text has no words; a text shorter than a window keeps all; a null id
 sorts before the others; rows that share an id are one document as to order: none of two
-windows with the same id and start is the earlier one.
+windows with the same id and start is the earlier one; repeated rows stay for the same
+reason; very long texts are cut into pieces that overlap by a window, so that none is lost;
+an empty table gives no rows; columns not kept are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ that it does not depend on the order), scaled-down gradient steps in numpy on th
 The feature matrix of those rows is sparse; the corpus is only scored.
 
 Defined cases: a text without letters scores as if it had no feature; rows with a null
-grade, and those without a document, do not train; without labels every score is 0.
+grade, and those without a document, do not train; without labels every score is 0;
+equal texts score alike, and repeated rows each have a row; of a probability that equals the
+limit the text is flagged; very long texts are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
