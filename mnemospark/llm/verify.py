@@ -2,8 +2,9 @@
 
 Candidates are buckets: rows ``key, id`` that say which nodes (distinct sets of shingles) may be
 alike. Comparing all pairs of a bucket is quadratic, so it is done in two steps. First every
-member is compared with one hub of its bucket, which is linear and joins the bulk of a group
-of near copies. What is left are buckets with members in two or more components: only there
+member is compared with the hub of its bucket, which is linear and joins the bulk of a group
+of near copies (a node with several hubs with one of them first, with the others only where they
+are still apart). What is left are buckets with members in two or more components: only there
 all pairs of different components are compared, in tasks of at most two chunks, by one
 overlap count of all sets of a task. Every pair that shares a bucket has then been
 compared or is in one component already.
@@ -200,7 +201,12 @@ def true_components(nodes: DataFrame, entries: DataFrame, rows: DataFrame, words
     pairs = pairs.join(size, "hub").where(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select("id", "hub")
     wanted = shared.select("id").distinct().join(nodes, "id").select("body")
     texts = stored(_perhaps(rows, wanted).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "text"))
-    near = stored(_star_links(pairs, nodes, texts, words, percent, chunk))
+    # a node meets many hubs in its buckets: one of them first, then those that are not in its component yet
+    once = stored(_star_links(pairs.groupBy("id").agg(F.min("hub").alias("hub")), nodes, texts, words, percent, chunk))
+    so_far = connected(once, "id")
+    left = pairs.join(so_far, "id", "left").join(so_far.select(F.col("id").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
+    left = left.where(F.coalesce("root", "id") != F.coalesce("hub_root", "hub")).select("id", "hub")
+    near = stored(once.union(_star_links(left, nodes, texts, words, percent, chunk)))
     first = connected(near, "id")
     rest = stored(_rest_links(shared, first, nodes, texts, words, percent, chunk, chunk_shingles))
     return first if rest.isEmpty() else connected(near.union(rest), "id")
