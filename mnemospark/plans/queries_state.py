@@ -997,14 +997,13 @@ def _(t):
     """Four sweeps, a batch each: the bits of a document's id say which of them miss it."""
     folder = scratch_folder(t.spark)
     ids = t.raw("documents").select("doc_id")
-    n = ids.count()
     for k in range(4):
         seen = F.expr(f"shiftright(doc_id, {k}) & 1 = 0")
         ids.select(F.col("doc_id").cast("string").alias("path"), F.lit(k).cast("long").alias("sweep"), seen.alias("present")).write.parquet(f"{folder}/sweeps/k={k}")
         rows = t.spark.readStream.schema("path string, sweep long, present boolean").option("recursiveFileLookup", True).parquet(f"{folder}/sweeps")
-        with jobs.state_partitions(t.spark, n):
-            found = jobs.run_available(jobs.confirm_delete_stream(rows, confirmations=2), folder)
-    return found
+        job = jobs.confirm_delete_job(rows, f"{folder}/state", f"{folder}/log", confirmations=2)
+        job.trigger(availableNow=True).start().awaitTermination()
+    return jobs.confirmed_deletes(t.spark, f"{folder}/state")
 
 
 @query(

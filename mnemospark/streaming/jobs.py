@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
@@ -35,21 +34,6 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-@contextmanager
-def state_partitions(spark: SparkSession, rows: int, each: int = 100_000) -> Iterator[None]:
-    """Streams started inside get a state partition for every ``each`` of ``rows`` keys, eight at least and no more than shuffles have.
-
-    A stream keeps the number it was first started with.
-    """
-    setting = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(min(int(before), max(8, -(-rows // each)))))
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
-
-
 def _rows(batches: Iterator[pd.DataFrame]) -> list[tuple]:
     frames = [b for b in batches if not b.empty]
     if not frames:
@@ -244,7 +228,7 @@ def ingest_stream(texts: DataFrame, catalog_path: str, checkpoint: str) -> DataS
 
 
 class MissCounter(StatefulProcessor):
-    """Per path: the sweeps in a row that missed it."""
+    """Per path: the sweeps in a row that missed it. Plain rows, as a path has few of them in a batch."""
 
     def __init__(self, confirmations: int, ttl_ms: int | None) -> None:
         self.confirmations, self.ttl_ms = confirmations, ttl_ms
@@ -252,20 +236,18 @@ class MissCounter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.missed = handle.getValueState("missed", T.StructType([T.StructField("n", T.LongType())]), self.ttl_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = [b for b in rows if not b.empty]
-        out = []
-        n = self.missed.get()[0] if self.missed.exists() else 0
-        for sweep, present in pd.concat(frames).sort_values("sweep")[["sweep", "present"]].itertuples(index=False) if frames else ():
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.missed.get()
+        n = held[0] if held else 0
+        for sweep, present in sorted((r["sweep"], r["present"]) for r in rows):
             n = 0 if present else n + 1
             if n >= self.confirmations:
-                out.append((key[0], sweep))
+                yield Row(path=key[0], sweep=sweep)
                 n = 0
         if n:
             self.missed.update((n,))
-        elif self.missed.exists():
+        elif held:
             self.missed.clear()
-        yield pd.DataFrame({"path": pd.Series([x[0] for x in out], dtype=object), "sweep": pd.Series([x[1] for x in out], dtype="int64")})
 
     def close(self) -> None:
         pass
@@ -282,11 +264,51 @@ def confirm_delete_stream(sweeps: DataFrame, confirmations: int = DEFAULTS.sweep
     use_rocksdb(sweeps.sparkSession)
     out = T.StructType([T.StructField("path", T.StringType()), T.StructField("sweep", T.LongType())])
     rows = sweeps.select("path", F.col("sweep").cast("long").alias("sweep"), "present")
-    return rows.groupBy("path").transformWithStateInPandas(
+    return rows.groupBy("path").transformWithState(
         statefulProcessor=MissCounter(confirmations, ttl_ms), outputStructType=out, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None"
     )
 
 
+def confirm_delete_job(sweeps: DataFrame, state_path: str, checkpoint: str, confirmations: int = DEFAULTS.sweep_confirmations) -> DataStreamWriter:
+    """:func:`confirm_delete_stream` without a call per path, for sweeps that report every path: see :func:`confirmed_deletes`.
+
+    Each micro-batch writes one version: ``path, n, confirmed``, the counter of every path that is
+    missing and the sweeps that confirmed a deletion. A replayed batch finds its version and does nothing.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if not _step_once(spark, state_path, batch_id):
+            return
+        none = F.lit(None)
+        rows = batch.select("path", F.struct(F.col("sweep").cast("long").alias("sweep"), F.coalesce("present", F.lit(False)).alias("present")).alias("x"), none.cast("long").alias("n"))
+        if batch_id > 0:
+            held = read_snapshot(spark, state_path, batch_id).where("n > 0")
+            rows = rows.unionByName(held.select("path", none.cast("struct<sweep:bigint,present:boolean>").alias("x"), "n"))
+        paths = rows.groupBy("path").agg(F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("n"), F.sort_array(F.collect_list("x")).alias("xs"))
+
+        def step(acc: Column, x: Column) -> Column:
+            n = F.when(x["present"], F.lit(0).cast("long")).otherwise(acc["n"] + 1)
+            hit = n >= confirmations
+            out = F.when(hit, F.concat(acc["confirmed"], F.array(x["sweep"]))).otherwise(acc["confirmed"])
+            return F.struct(F.when(hit, F.lit(0).cast("long")).otherwise(n).alias("n"), out.alias("confirmed"))
+
+        start = F.struct(F.col("n"), F.array().cast("array<bigint>").alias("confirmed"))
+        folded = paths.select("path", F.aggregate("xs", start, step).alias("s")).select("path", "s.n", "s.confirmed")
+        write_snapshot(folded.where("n > 0 OR size(confirmed) > 0"), state_path, batch_id + 1)
+
+    return sweeps.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
+
+
+def confirmed_deletes(spark: SparkSession, state_path: str) -> DataFrame:
+    """``path, sweep`` of all deletions a :func:`confirm_delete_job` has confirmed so far."""
+    last = latest_version(spark, state_path) or 0
+    if not last:
+        return spark.createDataFrame([], "path string, sweep long")
+    rows = spark.read.parquet(*[f"{state_path}/version={v}" for v in range(1, last + 1)])
+    return rows.select("path", F.explode("confirmed").alias("sweep"))
+
+
 def file_stream(spark: SparkSession, root: str) -> DataFrame:
     """New files of a folder as a stream of ``path, modificationTime, length, content``.
 

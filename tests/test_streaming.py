@@ -195,6 +195,17 @@ def test_confirm_delete_stream(feed, spark, tmp_path):
     assert sorted((r["path"], r["sweep"]) for r in found) == [("a", 2), ("b", 1), ("b", 3)]
 
 
+def test_confirm_delete_job_equals_stream(feed, spark, tmp_path):
+    """The same counts by batches, several sweeps and paths that are not reported included, without a call per path."""
+    s = "path string, sweep long, present boolean"
+    sweeps = [[("a", k, k % 3 == 0), ("b", k, False), ("c", k, k > 0), ("d", k, True)] for k in range(5)]
+    sweeps += [[("a", 6, False), ("a", 5, True), ("a", 8, False), ("a", 7, False)], [("b", 9, False), (None, 9, False)], [(None, 10, False)]]
+    state, log = str(tmp_path / "state"), str(tmp_path / "log")
+    jobs.confirm_delete_job(feed(s, *sweeps), state, log, confirmations=2).trigger(availableNow=True).start().awaitTermination()
+    found = sorted((r["path"] or "-", r["sweep"]) for r in jobs.confirmed_deletes(spark, state).collect())
+    assert found == [("-", 10), ("a", 2), ("a", 7), ("b", 1), ("b", 3), ("b", 9)]
+
+
 def test_work_stream_takes_late_documents(feed, spark, tmp_path):
     s = "id long, content_hash string, classify_content_hash string, status string, updated_at timestamp"
     stream = jobs.work_stream(feed(s, [(1, "a", None, None, at(3600 * 90))], [(2, "b", None, None, at(0))], [(1, "a", None, None, at(0))]))
