@@ -37,10 +37,12 @@ class Tables:
         return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
     def stream(self, name: str) -> DataFrame:
-        """A table's file as a stream."""
+        """A table's files as a stream, be it one file or a folder of them.
+
+        The source wants a folder or a pattern; as a pattern the name stands for both.
+        """
         schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
-        source = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-        rows = source.parquet(self.folder)
+        rows = self.spark.readStream.schema(schema).parquet(f"{self.folder}/[{name[0]}]{name[1:]}.parquet")
         for column, kind in rows.dtypes:
             if kind == "timestamp_ntz":
                 rows = rows.withColumn(column, F.col(column).cast("timestamp"))
