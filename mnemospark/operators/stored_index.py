@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemospark.operators.index import DOCUMENT_FIELDS, tokenized
+from mnemospark.operators.index import DOCUMENT_FIELDS, count_terms, tokenized
 from mnemospark.operators.retrieval import B, IDF_FLOOR, K1, QuerySet, bm25_search, impact
 from mnemospark.session import BROADCAST_ROWS
 from mnemospark.sources.segments import RowSet, Segment, SegmentLog
@@ -134,6 +134,8 @@ class StoredIndex:
         Writes in proportion to the batch. A replayed ``tag`` does nothing.
         """
         live = self.log.segments()
+        if live and max(s.tag for s in live) >= tag:
+            return False
         words = tokenized(docs, self.fields)
         every = F.concat(*self.fields)
         docs_at = f"{self.path}/_batch/tag={tag}"
@@ -143,8 +145,8 @@ class StoredIndex:
         touched = rows.select("id")
         if deleted is not None:
             touched = touched.unionByName(deleted.select("id")).distinct()
-        postings = rows.select("id", "doc_len", F.explode("words").alias("term")).groupBy("id", "term", "doc_len").agg(F.count("*").alias("tf"))
-        new_terms = postings.groupBy("term").agg(F.count("*").alias("df"))
+        postings = count_terms(rows)
+        new_terms = rows.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         count, length = rows.agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
         if live:
             old = self.log.read("docs").join(F.broadcast(touched) if touched.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else touched, "id", "left_semi")

@@ -162,3 +162,11 @@ def test_no_vectors(make):
     vectors = make("id long, embedding array<float>", [])
     model = neighbours.train(vectors)
     assert neighbours.search(neighbours.encode(vectors, model), model, vectors, vectors.withColumnRenamed("id", "qid"), 3).count() == 0
+
+
+def test_a_replayed_batch_is_not_read(make_docs, spark, tmp_path):
+    stored = StoredIndex(spark, str(tmp_path / "ix"), FIELDS, block=8, buckets=4)
+    docs = make_docs([(1, "a", "b b"), (2, "a", "")])
+    assert stored.apply(docs)
+    assert not stored.apply(docs.withColumn("body", F.raise_error(F.lit("read")).cast("string")))
+    assert rows_of(stored.postings(), "id", "term", "tf", "doc_len") == [(1, "a", 1, 3), (1, "b", 2, 3), (2, "a", 1, 1)]
