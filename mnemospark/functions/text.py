@@ -5,7 +5,10 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,9 +153,9 @@ def porter(word: str) -> str:
 STEM_CACHE = 500_000
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Stem whole token arrays; a cache per task makes repeated words a look-up."""
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stem_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Stem whole token arrays; only the distinct words of a batch become Python strings, and a cache per task keeps stems."""
     known: dict[str, str] = {}
 
     def stem(word: str) -> str:
@@ -164,7 +167,10 @@ def stem_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         return found
 
     for arrays in batches:
-        yield arrays.map(lambda words: [stem(w) for w in words], na_action="ignore")
+        words = arrays.flatten().dictionary_encode()
+        stems = pa.array([stem(w) for w in words.dictionary.to_pylist()], pa.string()).take(words.indices)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False), dtype=np.int32)
+        yield pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), ends), pa.int32()), stems, mask=arrays.is_null())
 
 
 # --- links ------------------------------------------------------------------

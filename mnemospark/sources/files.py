@@ -15,10 +15,12 @@ from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from mnemospark.functions.paths import is_excluded, is_managed_attachment, matches_ignore
 from mnemospark.functions.text import extension, note_hash
@@ -272,6 +274,7 @@ def changed_since(spark: SparkSession, root: str, cache: DataFrame, ignore: list
 # --- text extraction ----------------------------------------------------------
 
 # Element subtrees that carry no article text.
+PIECE = 64  # rows that are Python objects at once
 _DROPPED = ("script", "style", "head", "nav", "footer")
 
 
@@ -305,10 +308,18 @@ def _html_text(html: str) -> str | None:
     return "\n".join(parser.found) or None
 
 
-@F.pandas_udf(T.StringType())
-def html_to_text(html: pd.Series) -> pd.Series:
+def _by_pieces(one: Callable, *columns: pa.Array) -> pa.Array:
+    """``one`` of each row as strings, of ``PIECE`` rows at a time, so that few are Python objects at once."""
+    parts = [pa.array([], pa.string())]
+    for at in range(0, len(columns[0]), PIECE):
+        parts.append(pa.array([one(*row) for row in zip(*(c.slice(at, PIECE).to_pylist() for c in columns))], pa.string()))
+    return pa.concat_arrays(parts)
+
+
+@F.arrow_udf(T.StringType())
+def html_to_text(html: pa.Array) -> pa.Array:
     """Visible text of pages, one text node per line; NULL when nothing is left."""
-    return html.map(_html_text, na_action="ignore")
+    return _by_pieces(lambda page: None if page is None else _html_text(page), html)
 
 
 def _markdown_text(raw: bytes) -> str:
@@ -357,10 +368,12 @@ def extract_text(files: DataFrame, max_bytes: int = DEFAULTS.max_file_bytes, ext
     """
     routes = extractors or EXTRACTORS
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    schema = to_arrow_schema(_EXTRACTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in (batch.slice(at, PIECE) for batch in batches for at in range(0, batch.num_rows, PIECE)):
             rows = []
-            for path, ext, digest, size, content in pdf.itertuples(index=False):
+            for path, ext, digest, size, content in zip(*(c.to_pylist() for c in piece.columns)):
                 text = None
                 extractor = routes.get(ext)
                 if extractor is not None:
@@ -371,7 +384,7 @@ def extract_text(files: DataFrame, max_bytes: int = DEFAULTS.max_file_bytes, ext
                 kind = "binary" if text is None else "text"
                 mime = mimetypes.guess_type(path)[0] or "application/octet-stream"
                 rows.append((path, kind, text, digest, size, mime))
-            yield pd.DataFrame(rows, columns=[f.name for f in _EXTRACTED.fields])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     small = files.filter(F.col("size") <= max_bytes).select(
         "vault_path", extension(F.col("vault_path")).alias("ext"), F.sha2("content", 256).alias("hash"), "size",
@@ -379,21 +392,21 @@ def extract_text(files: DataFrame, max_bytes: int = DEFAULTS.max_file_bytes, ext
         F.when(extension(F.col("vault_path")).isin(*routes), F.col("content")).alias("content"),
     )
     rejects = files.filter(F.col("size") > max_bytes).select("vault_path", "size", F.lit("file too big").alias("reason"))
-    return small.mapInPandas(run, _EXTRACTED), rejects
+    return small.mapInArrow(run, _EXTRACTED), rejects
 
 
 def text_column(path: Column, content: Column) -> Column:
     """Extracted text of a content column, NULL where there is none; also for streams."""
 
-    @F.pandas_udf(T.StringType())
-    def extract(ext: pd.Series, raw: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.StringType())
+    def extract(ext: pa.Array, raw: pa.Array) -> pa.Array:
         def one(e: str, data: bytes | None) -> str | None:
             try:
                 return EXTRACTORS[e](bytes(data))
             except Exception:  # a broken file must not fail the job
                 return None
 
-        return pd.Series([one(e, d) for e, d in zip(ext, raw)], dtype=object)
+        return _by_pieces(one, ext, raw)
 
     known = F.when(extension(path).isin(*EXTRACTORS), content)
     return extract(extension(path), known)

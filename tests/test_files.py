@@ -105,3 +105,16 @@ def test_html_corners(spark):
     assert run("<nav>a<nav>b</nav>c</nav>d &amp; e<!-- no -->f") == "d & e\nf"
     assert run("<p>  </p>") is None
     assert run("<header>kept</header></nav>tail") == "kept\ntail"
+
+
+def test_texts_become_python_objects_a_few_at_a_time(spark):
+    """Pages and files of one batch are cut into pieces; nulls, empty pages and order stay."""
+    rows = [(i, None if i % 7 == 3 else f"<p>a{i}</p>" if i % 5 else "") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, html string").coalesce(1)
+    got = {r["id"]: r["t"] for r in df.select("id", files.html_to_text("html").alias("t")).collect()}
+    assert got == {i: f"a{i}" if h else None for i, h in rows}
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    raw = df.select(F.concat(F.col("id"), F.lit(".md")).alias("vault_path"), F.lit(1).cast("long").alias("size"), F.encode("html", "utf-8").alias("content"))
+    found, _ = files.extract_text(raw)
+    assert "MapInArrow" in plan(found) and "Pandas" not in plan(found)
+    assert {r["vault_path"]: r["text"] for r in found.collect()} == {f"{i}.md": h for i, h in rows}
