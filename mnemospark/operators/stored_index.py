@@ -2,7 +2,8 @@
 
 The index is a log of segments (:mod:`mnemospark.sources.segments`) with three row sets:
 
-* ``docs``: ``id, doc_len, terms`` of each document, by which a change finds what it retracts;
+* ``docs``: ``id, doc_len, words`` of each document, its tokens joined by spaces, by which a change
+  finds what it retracts, and from which a merge makes the postings;
 * ``terms``: the dictionary, ``term, df``; a segment holds the difference it makes, so that
   sums over the live segments are the document frequencies of the live documents;
 * ``blocks``: the postings of a term, best impact first, in blocks of at most ``block`` entries
@@ -23,16 +24,21 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemospark.operators.index import DOCUMENT_FIELDS, count_terms, tokenized
 from mnemospark.operators.retrieval import B, IDF_FLOOR, K1, QuerySet, bm25_search, impact
-from mnemospark.session import BROADCAST_ROWS
+from mnemospark.session import BROADCAST_ROWS, cut_lineage
 from mnemospark.sources.segments import RowSet, Segment, SegmentLog
 
 BUCKETS = 64
 BLOCK = 1024
+#: Bytes of text whose postings a task counts at a time, and the postings of a term that are put in order at a time.
+CHUNK = 16 << 20
+RUN = 1 << 18
+_PIECES = "term string, gaps array<long>, tfs array<int>, lens array<int>"
 _BLOCKS = "bucket int, term string, block int, n int, max_tf long, min_len long, ids array<long>, tfs array<long>, lens array<long>"
 
 
@@ -46,41 +52,116 @@ def bucket_numbers(spark: SparkSession, words: list[str], buckets: int = BUCKETS
     return sorted({r["b"] for r in rows.select(bucket_of("w", buckets).alias("b")).collect()})
 
 
-def _order(rows: DataFrame, buckets: int) -> DataFrame:
-    """Postings by bucket, term and falling impact; a frequent term is dealt over many ranges."""
-    rough = impact(F.col("tf"), F.col("doc_len"), F.lit(1000.0))
-    keys = ["bucket", "term", rough.desc(), "id"]
-    return rows.withColumn("bucket", bucket_of("term", buckets)).repartitionByRange(*keys).sortWithinPartitions(*keys)
+def _counted(ids: np.ndarray, lens: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+    """One row per term of some documents: their ids in order, each as the gap to the one before, counts (none if all are one) and lengths."""
+    lists = pc.split_pattern(words, " ")
+    flat = lists.flatten().dictionary_encode()
+    order = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    pairs = flat.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(place, pc.list_value_length(lists).to_numpy())
+    pairs.sort()
+    starts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+    term, doc = np.divmod(pairs[starts], len(ids))
+    tfs = np.diff(np.append(starts, len(pairs))).astype(np.int32)
+    first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+    size = np.diff(np.append(first, len(term)))
+    doc = order[doc]
+    gaps = np.diff(ids[doc], prepend=0)
+    gaps[first] = ids[doc[first]]
+    several = np.maximum.reduceat(tfs, first) > 1
+    lists = [
+        pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(x))
+        for n, x in ((size, gaps), (np.where(several, size, 0), tfs[np.repeat(several, size)]), (size, lens[doc].astype(np.int32)))
+    ]
+    return pa.RecordBatch.from_arrays([flat.dictionary.take(pa.array(term[first])), *lists], ["term", "gaps", "tfs", "lens"])
+
+
+def _pieces(docs: DataFrame) -> DataFrame:
+    """``term, gaps, tfs, lens``: the postings of ``docs(id, doc_len, words)``, a row for each term of some megabytes of texts.
+
+    So an exchange carries a term once for many documents.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            found = _counted(table.column("id").to_numpy(), table.column("doc_len").to_numpy(), table.column("words").combine_chunks())
+            for at in range(0, found.num_rows, 10_000):
+                yield found.slice(at, 10_000)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.column("words").nbytes
+            if size >= CHUNK:
+                yield from close()
+                held, size = [], 0
+        if held:
+            yield from close()
+
+    return docs.where("doc_len > 0").select(F.col("id").cast("long").alias("id"), "doc_len", "words").mapInArrow(count, _PIECES)
 
 
-def _packed(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Runs of at most ``block`` postings of one term as one row. Blocks are numbered within a range of the order."""
+def _packed(pieces: DataFrame, buckets: int, block: int = BLOCK, salts: int = 16) -> DataFrame:
+    """Runs of at most ``block`` postings of one term as one row, by falling impact within ``RUN`` postings at least.
+
+    The pieces of a frequent term, those that would fill a block, are dealt over ``salts`` tasks. Blocks are numbered within a task.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        term, number = None, 0
+        own, number, held, size = None, 0, [], 0
+        out, n_out = [], 0
+
+        def close() -> None:
+            nonlocal number, n_out
+            ids, tfs, lens = (np.concatenate(x) for x in zip(*held))
+            rough = tfs / (tfs + K1 * (1 - B + B * lens / 1000.0))
+            order = np.lexsort((ids, -rough))
+            cuts = np.arange(0, len(ids), block)
+            out.append((own, number, cuts, ids[order], tfs[order].astype(np.int64), lens[order].astype(np.int64)))
+            number, n_out = number + len(cuts), n_out + len(ids)
+
+        def emit() -> pa.RecordBatch:
+            ids, tfs, lens = (np.concatenate([x[i] for x in out]) for i in (3, 4, 5))
+            n = [len(x[2]) for x in out]
+            ends = np.cumsum([len(x[3]) for x in out])
+            cuts = np.concatenate([x[2] + e - len(x[3]) for x, e in zip(out, ends.tolist())])
+            at = pa.array(np.append(cuts, len(ids)), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (ids, tfs, lens)]
+            columns = [pa.array(np.repeat([x[0][0] for x in out], n), pa.int32()), pa.array([x[0][1] for x in out], pa.string()).take(pa.array(np.repeat(np.arange(len(out)), n)))]
+            columns += [pa.array(np.concatenate([x[1] + np.arange(len(x[2])) for x in out]), pa.int32()), pa.array(np.diff(np.append(cuts, len(ids))), pa.int32())]
+            columns += [pa.array(np.maximum.reduceat(tfs, cuts)), pa.array(np.minimum.reduceat(lens, cuts)), *lists]
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "term", "block", "n", "max_tf", "min_len", "ids", "tfs", "lens"])
+
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            terms = batch.column("term").dictionary_encode()
-            code = terms.indices.to_numpy()
-            change = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-            edges = np.append(change, n)
-            cuts = np.unique(np.concatenate([np.arange(a, b, block) for a, b in zip(edges[:-1], edges[1:])]))
-            sizes = np.diff(np.append(cuts, n))
-            names = terms.dictionary.take(pa.array(code[cuts])).to_pylist()
-            numbers = []
-            for x in names:
-                term, number = x, number + 1 if x == term else 0
-                numbers.append(number)
-            at = pa.array(np.append(cuts, n), pa.int32())
-            tf, lens = batch.column("tf").to_numpy(), batch.column("doc_len").to_numpy()
-            lists = [pa.ListArray.from_arrays(at, batch.column(c)) for c in ("id", "tf", "doc_len")]
-            columns = [batch.column("bucket").take(pa.array(cuts)), pa.array(names, pa.string()), pa.array(numbers, pa.int32()), pa.array(sizes, pa.int32())]
-            columns += [pa.array(np.maximum.reduceat(tf, cuts)), pa.array(np.minimum.reduceat(lens, cuts)), *lists]
-            yield pa.RecordBatch.from_arrays(columns, ["bucket", "term", "block", "n", "max_tf", "min_len", "ids", "tfs", "lens"])
-
-    return rows.select("bucket", "term", F.col("id").cast("long").alias("id"), F.col("tf").cast("long").alias("tf"), F.col("doc_len").cast("long").alias("doc_len")).mapInArrow(pack, _BLOCKS)
+            (gaps, at), (tfs, at_tfs), (lens, at_lens) = ((x.values.to_numpy(), x.offsets.to_numpy()) for x in map(batch.column, ("gaps", "tfs", "lens")))
+            for i, key in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("term").to_pylist())):
+                if key != own:
+                    if held:
+                        close()
+                    own, number, held, size = key, 0, [], 0
+                n = at[i + 1] - at[i]
+                counts = tfs[at_tfs[i] : at_tfs[i + 1]]
+                held.append((np.cumsum(gaps[at[i] : at[i + 1]]), counts if len(counts) else np.ones(n, np.int32), lens[at_lens[i] : at_lens[i + 1]]))
+                size += n
+                if size >= RUN:
+                    close()
+                    held, size = [], 0
+                if n_out >= RUN:
+                    yield emit()
+                    out, n_out = [], 0
+        if held:
+            close()
+        if out:
+            yield emit()
+
+    spread = max(1, -(-4 * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets))
+    salt = F.when(F.size("gaps") >= block, F.pmod(F.xxhash64(F.get(F.col("gaps"), 0)), F.lit(salts))).otherwise(0)
+    dealt = pieces.repartition(bucket_of("term", buckets), F.pmod(F.xxhash64("term", salt), F.lit(spread))).withColumn("bucket", bucket_of("term", buckets))
+    return dealt.sortWithinPartitions("bucket", "term").select("bucket", "term", "gaps", "tfs", "lens").mapInArrow(pack, _BLOCKS)
 
 
 def _least_tf(weight: float) -> int:
@@ -97,10 +178,6 @@ def entries(blocks: DataFrame) -> DataFrame:
     return rows.select("seq", "term", "id", "tf", "doc_len")
 
 
-def _merge_blocks(log: SegmentLog, blocks: DataFrame, merged: list[Segment]) -> DataFrame:
-    return log.alive(entries(blocks), merged).drop("seq")
-
-
 def _merge_terms(log: SegmentLog, terms: DataFrame, merged: list[Segment]) -> DataFrame:
     return terms.groupBy("bucket", "term").agg(F.sum("df").alias("df")).where("df <> 0")
 
@@ -116,13 +193,19 @@ class StoredIndex:
     buckets: int = BUCKETS
 
     def __post_init__(self) -> None:
+        # batches of texts and of postings differ in length by orders
+        self.spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(CHUNK))
+
+        def postings(log: SegmentLog, docs: DataFrame, merged: list[Segment]) -> DataFrame:
+            return _pieces(docs)
+
         def arrange(rows: DataFrame) -> DataFrame:
-            return _packed(_order(rows, self.buckets), self.block)
+            return _packed(rows, self.buckets, self.block)
 
         sets = {
             "docs": RowSet(),
+            "blocks": RowSet(bucket="bucket", keyed=False, merge=postings, arrange=arrange, source="docs"),
             "terms": RowSet(bucket="bucket", sort=("term",), keyed=False, merge=_merge_terms),
-            "blocks": RowSet(bucket="bucket", keyed=False, merge=_merge_blocks, arrange=arrange),
         }
         self.log = SegmentLog(self.spark, self.path, "id", sets)
 
@@ -137,28 +220,35 @@ class StoredIndex:
         if live and max(s.tag for s in live) >= tag:
             return False
         words = tokenized(docs, self.fields)
-        every = F.concat(*self.fields)
-        docs_at = f"{self.path}/_batch/tag={tag}"
-        rows = words.select("id", "doc_len", every.alias("words"))
-        rows.write.mode("overwrite").parquet(docs_at)  # tokens of the batch, read by all row sets
-        rows = self.spark.read.parquet(docs_at)
-        touched = rows.select("id")
-        if deleted is not None:
-            touched = touched.unionByName(deleted.select("id")).distinct()
-        postings = count_terms(rows)
-        new_terms = rows.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        count, length = rows.agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
-        if live:
-            old = self.log.read("docs").join(F.broadcast(touched) if touched.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else touched, "id", "left_semi")
-            gone = old.select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
-            new_terms = new_terms.unionByName(gone).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
-            old_count, old_length = old.agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
-            count, length = count - old_count, length - old_length
+        replaced: list[DataFrame] = []  # ``id, doc_len, seq`` of the documents that the batch replaces
+
+        def touched(written) -> DataFrame:
+            ids = written("docs").select("id")
+            return ids if deleted is None else ids.unionByName(deleted.select("id")).distinct()
+
+        def terms(written) -> DataFrame:
+            found = written("blocks").groupBy("bucket", "term").agg(F.sum("n").alias("df"))
+            if live:
+                now = self.log.alive(self.log.stored("docs").select("id", "doc_len", "seq"), live)
+                replaced.append(cut_lineage(now.join(touched(written), "id", "left_semi")))
+                n = replaced[0].count()
+                if n:
+                    own = replaced[0].select("id", "seq")
+                    old = self.log.stored("docs", live).join(F.broadcast(own) if n <= BROADCAST_ROWS else own, ["id", "seq"], "left_semi")
+                    lost = old.select(F.explode(F.array_distinct(F.split("words", " "))).alias("term")).where("term <> ''").groupBy("term").agg((-F.count("*")).alias("df"))
+                    found = found.unionByName(lost.withColumn("bucket", bucket_of("term", self.buckets))).groupBy("bucket", "term").agg(F.sum("df").alias("df")).where("df <> 0")
+            return found
+
+        def measures(written) -> dict[str, float]:
+            rows = [written("docs"), *replaced]
+            (n, length), *old = [x.agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first() for x in rows]
+            return {"n_docs": float(n - sum(x[0] for x in old)), "total_len": float(length - sum(x[1] for x in old))}
+
         done = self.log.append(
-            touched, tag, {"n_docs": float(count), "total_len": float(length)},
-            docs=rows.select("id", "doc_len", F.array_distinct("words").alias("terms")),
-            terms=new_terms.withColumn("bucket", bucket_of("term", self.buckets)),
-            blocks=postings,
+            touched, tag, measures,
+            docs=words.select("id", "doc_len", F.array_join(F.concat(*self.fields), " ").alias("words")),
+            blocks=lambda written: _pieces(written("docs")),
+            terms=terms,
         )
         if done and compact:
             self.log.compact()
@@ -173,8 +263,9 @@ class StoredIndex:
         return self.spark.createDataFrame([(n, total / n if n else None)], "n_docs long, avg_len double")
 
     def postings(self) -> DataFrame:
-        """``id, term, tf, doc_len`` of all live documents."""
-        return self.log.alive(entries(self.log.stored("blocks"))).select("id", "term", "tf", "doc_len")
+        """``id, term, tf, doc_len`` of all live documents, found and counted a document at a time."""
+        docs = self.log.read("docs").where("doc_len > 0")
+        return count_terms(docs.select("id", "doc_len", F.split("words", " ").alias("words")))
 
     def _pruned(self, name: str, words: list[str]) -> DataFrame:
         numbers = bucket_numbers(self.spark, words, self.buckets)

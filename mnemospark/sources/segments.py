@@ -34,19 +34,25 @@ class Segment:
     measures: dict[str, float] = field(default_factory=dict)
 
 
+#: Makes something of a segment from its sets that are written already.
+Made = Callable[[Callable[[str], DataFrame]], object]
+
+
 @dataclass(frozen=True)
 class RowSet:
     """How one row set is stored: ``bucket`` names a partition column, ``sort`` the order in a file.
 
     ``merge`` makes the rows of a merged segment from those of several (with their ``seq``);
-    without it the live ones are kept as they are.
+    without it the live ones are kept as they are. With a ``source`` it makes them from the rows of
+    that set in the merged segment, which comes earlier in the list of sets.
     """
 
     bucket: str | None = None
     sort: tuple[str, ...] = ()
     keyed: bool = True
-    merge: Callable[[DataFrame], DataFrame] | None = None
+    merge: Callable[[SegmentLog, DataFrame, list[Segment]], DataFrame] | None = None
     arrange: Callable[[DataFrame], DataFrame] | None = None
+    source: str | None = None
 
 
 class SegmentLog:
@@ -90,27 +96,36 @@ class SegmentLog:
             rows = kind.arrange(rows)
         elif kind.bucket:
             rows = rows.repartition(kind.bucket).sortWithinPartitions(kind.bucket, *kind.sort)
-        writer = rows.write.mode("overwrite")
+        writer = rows.write.mode("overwrite").option("compression", "zstd")
         if kind.bucket:
             writer = writer.partitionBy(kind.bucket)
         writer.parquet(f"{self.path}/{name}/seq={seq}")
 
-    def append(self, touched: DataFrame, tag: int, measures: dict[str, float] | None = None, **rows: DataFrame) -> bool:
+    def part(self, name: str, seq: int) -> DataFrame:
+        """The rows of a set in one segment."""
+        return self.spark.read.parquet(f"{self.path}/{name}/seq={seq}")
+
+    def append(self, touched: DataFrame | Made, tag: int, measures: dict[str, float] | Made | None = None, **rows: DataFrame | Made) -> bool:
         """Add a segment with the ``rows`` of each set and the ``touched`` keys. A ``tag`` seen before is skipped.
 
-        Returns whether anything was written. Row sets left out have no rows.
+        Returns whether anything was written. Row sets left out have no rows. Each argument may be a
+        function instead, which gets a reader of the sets written before it, by name.
         """
         version = self.version()
         live = self.segments(version)
         if live and max(s.tag for s in live) >= tag:
             return False
         seq = version + 1
-        keys = touched.select(self.key).distinct()
+
+        def made(x):
+            return x(lambda name: self.part(name, seq)) if callable(x) else x
+
+        for name, df in rows.items():
+            self._write(name, made(df), seq)
+        keys = made(touched).select(self.key).distinct()
         keys.write.mode("overwrite").parquet(f"{self.path}/_keys/seq={seq}")
         n = self.spark.read.parquet(f"{self.path}/_keys/seq={seq}").count()
-        for name, df in rows.items():
-            self._write(name, df, seq)
-        self._commit([*live, Segment(seq, n, n, tag, measures or {})], seq)
+        self._commit([*live, Segment(seq, n, n, tag, made(measures) or {})], seq)
         return True
 
     # --- reading ------------------------------------------------------------
@@ -160,7 +175,7 @@ class SegmentLog:
             return False
         merged, seq = live[first:], version + 1
         for name, kind in self.sets.items():
-            rows = self.stored(name, merged)
+            rows = self.part(kind.source, seq) if kind.source else self.stored(name, merged)
             if kind.merge is not None:
                 rows = kind.merge(self, rows, merged)
             elif kind.keyed:

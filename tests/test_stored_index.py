@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.operators import index, neighbours, retrieval
+from mnemospark.operators import stored_index
 from mnemospark.operators.stored_index import StoredIndex, entries
 from mnemospark.sources.segments import SegmentLog
 
@@ -170,3 +171,18 @@ def test_a_replayed_batch_is_not_read(make_docs, spark, tmp_path):
     assert stored.apply(docs)
     assert not stored.apply(docs.withColumn("body", F.raise_error(F.lit("read")).cast("string")))
     assert rows_of(stored.postings(), "id", "term", "tf", "doc_len") == [(1, "a", 1, 3), (1, "b", 2, 3), (2, "a", 1, 1)]
+
+
+def test_postings_travel_a_row_a_term(make, make_docs, spark, tmp_path):
+    """What is exchanged has a row for each term of a task's texts, not for each posting; a merge gives the blocks of the texts that live."""
+    docs = make_docs(corpus_rows(random.Random(3), 300)).coalesce(1)
+    words = index.tokenized(docs, FIELDS)
+    pieces = stored_index._pieces(words.select("id", "doc_len", F.array_join(F.concat(*FIELDS), " ").alias("words")))
+    want = rows_of(index.build_postings(docs, FIELDS), "id", "term", "tf", "doc_len")
+    assert pieces.count() == len({x[1] for x in want}) < len(want) / 20
+    stored = StoredIndex(spark, str(tmp_path / "ix"), FIELDS, block=8, buckets=4)
+    stored.apply(docs.withColumn("body", F.when(F.col("id") % 2 == 0, "old w1 w1").otherwise(F.col("body"))))
+    stored.apply(docs.where("id % 2 = 0"), make("id long", [(999,)]), tag=1, compact=False)
+    for _ in range(2):
+        assert rows_of(stored._live(stored.log.stored("blocks")), "id", "term", "tf", "doc_len") == want
+        stored.log.compact(full=True)
