@@ -93,6 +93,18 @@ def encode(vectors: DataFrame, model: NeighbourModel) -> DataFrame:
     return rows.mapInArrow(assign, "list int, id long, code binary")
 
 
+def by_list(codes: DataFrame) -> DataFrame:
+    """The codes with the rows of a list side by side, a long list in several ranges.
+
+    :func:`search` makes the tables of a list and its queries once for each batch that holds rows of it;
+    in this order these are few, in any other every batch meets every list.
+    """
+    spark = codes.sparkSession
+    # a number that is given is kept: codes are small, but to rank them is work
+    ranges = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return codes.repartitionByRange(ranges, "list", "id").sortWithinPartitions("list", "id")
+
+
 def write_lists(codes: DataFrame, path: str, salts: int = 8) -> None:
     """Store the lists as partitions; a long list is spread over ``salts`` files."""
     dealt = codes.repartition("list", F.pmod(F.xxhash64("id"), F.lit(salts)))

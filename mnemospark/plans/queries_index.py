@@ -118,7 +118,7 @@ def _(t):
 def _(t):
     """Every id divisible by 100 asked of the inverted lists: always 20 rows, nine tenths of them the true ones."""
     model = neighbours.train(t.vectors)
-    codes = cut_lineage(neighbours.encode(t.vectors, model))
+    codes = cut_lineage(neighbours.by_list(neighbours.encode(t.vectors, model)))
     asked = t.vectors.where("id % 100 = 0").select(F.col("id").alias("qid"), "embedding")
     found = neighbours.search(codes, model, t.vectors, asked, 20)
     exact = retrieval.knn(t.vectors, asked, 20)

@@ -159,6 +159,20 @@ def test_lists_find_clustered_neighbours(make, spark):
     assert neighbours.search(codes, model, vectors, asked.limit(1), 2000).count() == 1500
 
 
+def test_a_list_lies_together(make, spark):
+    """Rows dealt at random meet every list in every batch; laid by list, a list is in one batch or at an edge of two."""
+    rng = np.random.default_rng(4)
+    vectors = make("id long, embedding array<float>", [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(600, 8)))]).repartition(6)
+    model = neighbours.train(vectors, lists=24)
+    codes = neighbours.encode(vectors, model)
+    laid = neighbours.by_list(codes)
+    assert rows_of(laid, "list", "id", "code") == rows_of(codes, "list", "id", "code")
+    met = laid.select("list", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(met) <= 24 + max(r["p"] for r in met)
+    asked = vectors.where("id % 50 = 0").select(F.col("id").alias("qid"), "embedding")
+    assert rows_of(neighbours.search(laid, model, vectors, asked, 5), "qid", "id", "rank") == rows_of(neighbours.search(codes, model, vectors, asked, 5), "qid", "id", "rank")
+
+
 def test_no_vectors(make):
     vectors = make("id long, embedding array<float>", [])
     model = neighbours.train(vectors)
