@@ -11,17 +11,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.session import cut_lineage, ensure_checkpoint_dir, scratch_folder
 
-__all__ = ["WORD_GAPS", "blocks", "cut_lineage", "documents", "ensure_checkpoint_dir", "give_back", "let", "partitions", "scratch_folder", "segments", "stored", "tune", "words", "worker_cache"]
+__all__ = ["WORD_GAPS", "blocks", "counted", "cut_lineage", "documents", "ensure_checkpoint_dir", "give_back", "let", "partitions", "scratch_folder", "segments", "stored", "tune", "words", "worker_cache"]
 
 #: What separates words: the ASCII white space.
 WORD_GAPS = r"[\x20\x09-\x0D]+"
 #: Bytes of text that numpy code works on at a time.
 BLOCK = 4 << 20
+#: Slim rows that a partition holds at least where ``counted`` reads them back.
+FULL = 20_000
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -43,6 +45,14 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` stored, and its number of rows; a slim table is read back in as many partitions as it fills."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    n = seen.get["n"]
+    return out.coalesce(max(1, -(-n // FULL))), n
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once a row, however often ``use`` mentions it."""
     return F.transform(F.array(value), use)[0]

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import partitions, stored, tune
-from mnemospark.llm.components import connected
+from mnemospark.llm.common import counted, partitions, stored, tune
+from mnemospark.llm.components import connected, joined
 from mnemospark.llm.simhash import _shingles
 
 #: Shingles that occur in at most so many sets of a task are counted pair by pair, others by a matrix product.
@@ -198,15 +198,14 @@ def true_components(nodes: DataFrame, entries: DataFrame, rows: DataFrame, words
     shared = stored(entries.join(buckets, "key").join(nodes.select("id", "n"), "id"))
     pairs = shared.where("id <> hub").select("id", "hub", "n").distinct()
     size = nodes.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"))
-    pairs = pairs.join(size, "hub").where(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select("id", "hub")
+    pairs, _ = counted(pairs.join(size, "hub").where(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select("id", "hub"))
     wanted = shared.select("id").distinct().join(nodes, "id").select("body")
     texts = stored(_perhaps(rows, wanted).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "text"))
     # a node meets many hubs in its buckets: one of them first, then those that are not in its component yet
-    once = stored(_star_links(pairs.groupBy("id").agg(F.min("hub").alias("hub")), nodes, texts, words, percent, chunk))
-    so_far = connected(once, "id")
-    left = pairs.join(so_far, "id", "left").join(so_far.select(F.col("id").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
-    left = left.where(F.coalesce("root", "id") != F.coalesce("hub_root", "hub")).select("id", "hub")
-    near = stored(once.union(_star_links(left, nodes, texts, words, percent, chunk)))
-    first = connected(near, "id")
-    rest = stored(_rest_links(shared, first, nodes, texts, words, percent, chunk, chunk_shingles))
-    return first if rest.isEmpty() else connected(near.union(rest), "id")
+    once, _ = counted(pairs.groupBy("id").agg(F.min("hub").alias("hub")))
+    roots = connected(counted(_star_links(once, nodes, texts, words, percent, chunk))[0], "id")
+    left = pairs.join(roots, "id", "left").join(roots.select(F.col("id").alias("hub"), F.col("root").alias("hub_root")), "hub", "left")
+    left, n = counted(left.where(F.coalesce("root", "id") != F.coalesce("hub_root", "hub")).select("id", "hub"))
+    if n:
+        roots = joined(roots, _star_links(left, nodes, texts, words, percent, chunk), "id")
+    return joined(roots, _rest_links(shared, roots, nodes, texts, words, percent, chunk, chunk_shingles), "id")

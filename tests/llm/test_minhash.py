@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from mnemospark.llm import minhash, verify
-from mnemospark.llm.components import connected
+from mnemospark.llm.components import connected, joined
 from pyspark.sql import functions as F
 
 
@@ -127,3 +127,32 @@ def test_every_pair_of_a_bucket_is_settled(spark):
     roots = {r["id"]: r["root"] for r in verify.true_components(nodes, entries, docs, 4, 80, chunk=7).collect()}
     want = {d: c for d, _, c, _ in brute(rows)}
     assert {d: roots.get(d, d) for d in want} == want
+
+
+def test_more_links_join_components(spark):
+    rng = random.Random(8)
+    old = {(rng.randrange(400), rng.randrange(400)) for _ in range(120)}
+    new = {(rng.randrange(500), rng.randrange(500)) for _ in range(90)}
+    table = lambda links: spark.createDataFrame(sorted(links), "a long, b long")
+    roots = connected(table(old), "id")
+    whole = sorted(tuple(r) for r in connected(table(old | new), "id").collect())
+    assert sorted(tuple(r) for r in joined(roots, table(new), "id").collect()) == whole
+    assert sorted(tuple(r) for r in joined(roots, table(new).limit(0), "id").collect()) == sorted(tuple(r) for r in roots.collect())
+
+
+def test_a_small_graph_is_not_dealt_over_all_partitions(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(held, ("64", "false")):
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup("small-graph", "small graph")
+    try:
+        found = connected(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long"), "id").collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("small-graph") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(x.numCompletedTasks for x in map(tracker.getStageInfo, stages) if x)
+    assert sorted(tuple(r) for r in found) == [(i, 0) for i in range(61)]
+    assert tasks < 400  # thousands before
