@@ -29,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import BLOCK, blocks, partitions, stored, tune
+from mnemospark.llm.common import BLOCK, blocks, give_back, partitions, stored, tune
 
 PAIR_BITS = 14
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _NO_ID = -(1 << 63)
+#: Bytes of words that are hashed at a time; a longer word is hashed whole.
+SLICE = 1 << 18
+_HELD: dict[int, np.ndarray] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -43,6 +46,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """The powers 0 to n - 1 of ``base``; those of a slice are worked out once."""
+    if n <= SLICE and int(base) in _HELD:
+        return _HELD[int(base)][:n]
+    out = np.full(max(n, SLICE), base, np.uint64)
+    out[0] = 1
+    np.multiply.accumulate(out, out=out)
+    if n <= SLICE:
+        _HELD[int(base)] = out
+    return out[:n]
+
+
 class _Words:
     """Texts as words with one space between, laid end to end, with a hash of each word.
 
@@ -58,14 +73,19 @@ class _Words:
         gaps = np.flatnonzero(data == 32)
         self.first = np.append(0, gaps + 1)[: int(self.counts.sum())]
         self.last = np.append(gaps, len(data))[: int(self.counts.sum())]
-        powers = np.full(len(data) + 1, _ODD, np.uint64)
-        powers[0] = 1
-        np.multiply.accumulate(powers, out=powers)
-        back = np.full(len(data) + 1, _INVERSE, np.uint64)
-        back[0] = 1
-        np.multiply.accumulate(back, out=back)
-        sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1]))
-        self.hashes = _mix((sums[self.last] - sums[self.first]) * back[self.first])
+        self.hashes = np.empty(len(self.first), np.uint64)
+        at = 0
+        while at < len(self.first):  # a slice of the line at a time: the sums take eight bytes for each of its bytes, several times
+            to = max(at + 1, int(np.searchsorted(self.last, self.first[at] + SLICE, "right")))
+            begin, end = int(self.first[at]), int(self.last[to - 1])
+            powers, back = _powers(_ODD, end - begin), _powers(_INVERSE, end - begin)
+            sums = np.zeros(end - begin + 1, np.uint64)
+            np.add(data[begin:end], np.uint64(1), out=sums[1:])
+            sums[1:] *= powers
+            np.cumsum(sums, out=sums)
+            first = self.first[at:to] - begin
+            self.hashes[at:to] = _mix((sums[self.last[at:to] - begin] - sums[first]) * back[first])
+            at = to
 
     def pairs(self) -> np.ndarray:
         """The hash of each word with the next; those over the end of a text are there too."""
@@ -97,6 +117,7 @@ def pair_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
         for block in blocks(batches, "text"):
             found = _Words(block.column("text").cast(pa.binary()).fill_null(b"").to_pylist())
             total += np.bincount((found.pairs() >> np.uint64(64 - PAIR_BITS)).astype(np.int64), minlength=len(total))
+        give_back()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["pair", "n"])
 
@@ -172,6 +193,7 @@ def super_kmers(docs: DataFrame, counts: np.ndarray, buckets: int, window: int =
                 out_bucket.append(bucket[own[0]])
                 packed.append(_pack(owner[own], place[own], size[own], [strings[i] for i in own.tolist()]))
             yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "packed"])
+        give_back()
 
     return rows.mapInArrow(cut, "bucket int, packed binary")
 

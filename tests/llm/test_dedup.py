@@ -263,3 +263,20 @@ def test_next_rows(spark, edges, nothing):
     assert sketch.with_next(one, ["text"]).first()["next_text"] == "only"
 
 
+
+
+def test_hashing_words_takes_memory_by_slices():
+    import tracemalloc
+
+    import numpy as np
+
+    texts = [b" ".join(b"%d" % (i * 7919 + j) for j in range(4000)) for i in range(130)]
+    whole = substrings._Words([b"x" * 700_000 + b" seven words stand after this one here", *texts])
+    assert np.array_equal(whole.hashes[1:8], substrings._Words([b"seven words stand after this one here"]).hashes)
+    tracemalloc.start()
+    found = substrings._Words(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size = len(found.line)
+    assert np.array_equal(found.hashes, np.concatenate([substrings._Words([x]).hashes for x in texts]))
+    assert peak < 30 * size  # about 45 before
