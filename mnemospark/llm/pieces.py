@@ -44,7 +44,7 @@ SPACE = "▁"
 _FINE = re.compile(rf"{SPACE}*[^\W\d_²³¹]+|{SPACE}*(?:[^\w{SPACE}\n]|[\d_²³¹])+|{SPACE}+|\n")
 _COARSE = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 #: Bytes of words and branches that a worker remembers; it starts anew beyond them.
-REMEMBERED = 48 << 20
+REMEMBERED = 128 << 20
 #: What a remembered word takes beside its characters: its entry in a dict, and the string.
 _ENTRY = 170
 #: Where a path has become this unlikely, leaving it cannot matter: the chance is below e ** -60.
@@ -101,6 +101,8 @@ class Lattices:
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_logp = -math.log(len(ranked) + 2) - total
         self.fixed = [b"" if special[i] else bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else names[i].replace(SPACE, " ").encode() for i in range(n)]
+        self.lengths = np.array(list(map(len, self.fixed)), np.int32)
+        self.spelling, self.begins = np.frombuffer(b"".join(self.fixed), np.uint8), np.cumsum(self.lengths, dtype=np.int32) - self.lengths
         # all beginnings of pieces by their hashes, with the piece that ends there or -1
         begun = sorted({p[:j] for p in self.pieces for j in range(1, len(p) + 1)})
         hashes = np.array([self._hash(p) for p in begun], np.uint64)
@@ -220,7 +222,18 @@ class Lattices:
             self.learn(sorted(new))
         for name in self.kept:
             setattr(self, name, self.kept[name][: self.used[name]])
-        return np.array(list(map(self.steps.__getitem__, units)), np.int64)
+        return np.fromiter(map(self.steps.__getitem__, units), np.int64, len(units))
+
+    def spell(self, ids: np.ndarray) -> bytes:
+        """The bytes of the pieces end to end."""
+        out = []
+        for a in range(0, len(ids), 1 << 17):
+            own = ids[a : a + (1 << 17)]
+            n = self.lengths[own]
+            at = np.repeat(self.begins[own] - np.cumsum(n, dtype=np.int32) + n, n)
+            at += np.arange(len(at), dtype=np.int32)
+            out.append(self.spelling[at].tobytes())
+        return b"".join(out)
 
     def draw(self, first_steps: np.ndarray, streams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A path from each of the given steps: the branches of all end to end, and how many each has."""
@@ -376,10 +389,28 @@ def lattices_of(model: str) -> Lattices:
 
 def decode(lattices: Lattices, ids: np.ndarray) -> str:
     """The text of a segmentation, without the space the model puts before it."""
-    raw = b"".join(map(lattices.fixed.__getitem__, ids.tolist()))
+    raw = lattices.spell(ids)
     return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "surrogatepass")
 
 
+def faithful(lattices: Lattices, texts: list[str], paths: list[list[np.ndarray]]) -> list[bool]:
+    """For each path of each text, one after another: whether it decodes to the text. All are spelled together."""
+    every = [ids for own in paths for ids in own]
+    if not every:
+        return []
+    ids = np.concatenate(every)
+    raw = lattices.spell(ids)
+    ends = np.append(0, np.cumsum(lattices.lengths[ids], dtype=np.int64))[np.cumsum([0, *map(len, every)])].tolist()
+    out, at = [], 0
+    for x, own in zip(texts, paths):
+        want = x.replace(SPACE, " ").encode("utf-8", "surrogatepass")
+        for _ in own:
+            a, b = ends[at], ends[at + 1]
+            out.append(raw[a + (raw[a : min(a + 1, b)] == b" ") : b] == want)
+            at += 1
+    return out
+
+
 def sample_segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 42, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, rank, ids, log_prob, inclusion, decoded_ok``: up to ``k`` rows for each row of ``docs``.
 
@@ -399,15 +430,15 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, seed: int = 42
             ends = np.cumsum([len(x) for x in split])
             keys = [(x ^ (seed * 0x9E3779B97F4A7C15)) & (2**64 - 1) for x in block.column("key").to_pylist()]
             found = sample(lattices, np.split(codes, ends[:-1]), keys, k)
-            ids, rank, lists, logp, chance, same = [], [], [], [], [], []
-            for x, doc, own in zip(texts, block.column("doc_id").to_pylist(), found):
+            ids, rank, lists, logp, chance = [], [], [], [], []
+            for doc, own in zip(block.column("doc_id").to_pylist(), found):
                 for r, (pieces, lp, inc) in enumerate(own):
                     ids.append(doc)
                     rank.append(r)
                     lists.append(pieces)
                     logp.append(lp)
                     chance.append(inc)
-                    same.append(decode(lattices, pieces) == x.replace(SPACE, " "))
+            same = faithful(lattices, texts, [[x[0] for x in own] for own in found])
             at = np.append(0, np.cumsum([len(x) for x in lists]))
             values = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(lists), pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rank, pa.int32()), values, pa.array(logp, pa.float64()), pa.array(chance, pa.float64()), pa.array(same, pa.bool_())], columns)

@@ -229,3 +229,16 @@ def test_samples_depend_on_the_row_alone(edges):
         return {(r["doc_id"], r["rank"]): (tuple(r["ids"]), round(r["inclusion"], 9)) for r in pieces.sample_segmentations(df.where("doc_id is not null"), MODEL).collect()}
 
     assert of(edges) == of(edges.repartition(6))
+
+
+def test_paths_are_spelled_together(lattices):
+    texts = ["", "plain words, 12 of them", "▁ and ▁", "café \U0001f600\n\n end", " leading", "x" * 300_000]
+    codes = [lattices.codes(lattices.units(x)) for x in texts]
+    paths = [[ids for ids, _, _ in own] for own in pieces.sample(lattices, codes, list(range(len(texts))), 2)]
+    flat = [ids for own in paths for ids in own]
+    assert [lattices.spell(ids) for ids in flat] == [b"".join(lattices.fixed[i] for i in ids.tolist()) for ids in flat]
+    assert pieces.faithful(lattices, texts, paths) == [True] * len(flat)
+    moved = [*texts[1:], "another"]
+    told = [pieces.decode(lattices, ids) == x.replace("▁", " ") for x, own in zip(moved, paths) for ids in own]
+    assert pieces.faithful(lattices, moved, paths) == told and not any(told)
+    assert pieces.faithful(lattices, [], []) == []
