@@ -44,7 +44,9 @@ SPACE = "▁"
 _FINE = re.compile(rf"{SPACE}*[^\W\d_²³¹]+|{SPACE}*(?:[^\w{SPACE}\n]|[\d_²³¹])+|{SPACE}+|\n")
 _COARSE = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 #: Bytes of words and branches that a worker remembers; it starts anew beyond them.
-REMEMBERED = 128 << 20
+REMEMBERED = 64 << 20
+#: Characters of new words whose lattices are worked out at a time; a longer word is worked out whole.
+LEARNED = 1 << 15
 #: What a remembered word takes beside its characters: its entry in a dict, and the string.
 _ENTRY = 170
 #: Where a path has become this unlikely, leaving it cannot matter: the chance is below e ** -60.
@@ -74,6 +76,16 @@ def _longer(hashes: np.ndarray, points: np.ndarray) -> np.ndarray:
     return _mixed(hashes * np.uint64(0x9E3779B97F4A7C15) + points.astype(np.uint64) + np.uint64(1))
 
 
+def _hashed(texts: list[str]) -> np.ndarray:
+    """The hash of each string, all worked out a character at a time."""
+    points, lengths = _strings(texts)
+    starts, out = np.cumsum(lengths) - lengths, np.zeros(len(texts), np.uint64)
+    for n in range(int(lengths.max(initial=0))):
+        own = np.flatnonzero(lengths > n)
+        out[own] = _longer(out[own], points[starts[own] + n])
+    return out
+
+
 class Lattices:
     """Steps of all words met so far, in flat arrays.
 
@@ -105,7 +117,7 @@ class Lattices:
         self.spelling, self.begins = np.frombuffer(b"".join(self.fixed), np.uint8), np.cumsum(self.lengths, dtype=np.int32) - self.lengths
         # all beginnings of pieces by their hashes, with the piece that ends there or -1
         begun = sorted({p[:j] for p in self.pieces for j in range(1, len(p) + 1)})
-        hashes = np.array([self._hash(p) for p in begun], np.uint64)
+        hashes = _hashed(begun)
         order = np.argsort(hashes)
         self.begun = hashes[order]
         if len(begun) > 1 and (self.begun[1:] == self.begun[:-1]).any():
@@ -116,13 +128,6 @@ class Lattices:
             self.piece_logp[i] = logp
         self.reset()
 
-    @staticmethod
-    def _hash(text: str) -> int:
-        found = np.zeros(1, np.uint64)
-        for c in text:
-            found = _longer(found, np.array([ord(c)], np.uint32))
-        return int(found[0])
-
     def reset(self) -> None:
         self.steps: dict[str, int] = {}
         kinds = {"first": np.int32, "size": np.int32, "cum": np.float64, "logp": np.float64, "next": np.int32, "at": np.int32, "n": np.int8, "ids": np.int32}
@@ -217,9 +222,14 @@ class Lattices:
 
     def codes(self, units: list[str]) -> np.ndarray:
         """The first step of each word."""
-        new = set(units).difference(self.steps)
-        if new:
-            self.learn(sorted(new))
+        new = [w for w in dict.fromkeys(units) if w not in self.steps]
+        new.sort(key=len)  # a slice at a time, words of like length together
+        ends, at = np.cumsum(np.fromiter(map(len, new), np.int64, len(new))), 0
+        while at < len(new):
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + LEARNED, "right")))
+            self.learn(new[at:to])
+            at = to
         for name in self.kept:
             setattr(self, name, self.kept[name][: self.used[name]])
         return np.fromiter(map(self.steps.__getitem__, units), np.int64, len(units))
@@ -260,95 +270,121 @@ class Lattices:
         return np.ceil(self.cum[branches]).astype(np.int64) - 1
 
 
+def _number(key: int, i: int) -> float:
+    """``_uniform(_mixed(key + i), 0)`` of one number."""
+    x = (key + i) & (2**64 - 1)
+    for _ in range(2):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & (2**64 - 1)
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & (2**64 - 1)
+        x ^= x >> 31
+    return ((x >> 12) + 0.5) / float(1 << 52)
+
+
 class _Search:
     """The search over one text: emitted paths, and the ways to leave them by falling noise."""
 
-    def __init__(self, lattices: Lattices, codes: np.ndarray, key: int, k: int) -> None:
-        self.lattices, self.codes, self.k = lattices, codes, k
-        self.key = np.uint64(key & (2**64 - 1))
-        #: Of each path its branches, and the word of each up to where leaving it cannot matter.
-        self.paths: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, lattices: Lattices, codes: np.ndarray, key: int) -> None:
+        self.lattices, self.codes, self.key = lattices, codes, key & (2**64 - 1)
+        #: Of each path its branches, the words of those before its drawn tail, the tail's first word and the branches of each word there.
+        self.paths: list[tuple[np.ndarray, np.ndarray, int, np.ndarray]] = []
         self.heap: list = []
         empty = np.empty(0, np.int64)
         # the first path has the noise of all of them together
-        self.start = (empty, empty, float(-np.log(-np.log(self._number(1)))), [], 0)
+        self.start = (empty, empty, -math.log(-math.log(_number(self.key, 1))), [], 0)
         self.tail, self.base = codes, 0
 
-    def _stream(self, i: int) -> np.ndarray:
-        return _mixed(np.array([self.key], np.uint64) + np.array([i], np.uint64))
-
-    def _number(self, i: int) -> float:
-        return float(_uniform(self._stream(i), 0)[0])
-
-    def emit(self, branches: np.ndarray, counts: np.ndarray) -> None:
-        """Take the path that ends with the drawn tail, and push the ways to leave it."""
-        before_branches, before_of, bound, banned, since = self.start
-        if len(before_branches):
-            branches = np.concatenate([before_branches, branches])
-        lattices, at = self.lattices, len(self.paths)
-        span = min(len(branches), since + 64)
-        while span > since:
-            logp = lattices.logp[branches[:span]]
-            before = np.cumsum(logp) - logp
-            if span == len(branches) or before[-1] < _FAINT:
-                break
-            span = min(len(branches), 2 * span)
-        of = np.repeat(np.arange(min(len(counts), span)) + self.base, counts[:span])[: span - len(before_of)]
-        self.paths.append((branches, np.concatenate([before_of, of]) if len(before_of) else of))
-        if span <= since:
-            return
-        rest, left = -np.expm1(logp), lattices.size[lattices.step_of(branches[:span])] - 1  # what the steps did not choose
-        if banned:
-            rest[since] -= np.exp(lattices.logp[np.array(banned)]).sum()
-            left[since] -= len(banned)
-        phi = (before + np.log(np.maximum(rest, 1e-300)))[since:]
-        phi[left[since:] <= 0] = -np.inf
-        with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-            noise = phi - np.log(np.exp(phi - bound) - np.log(_uniform(self._stream(2 * at + 3), np.arange(len(phi)))))
-        noise[np.isneginf(phi)] = -np.inf
-        best = np.argpartition(-noise, self.k)[: self.k + 1] if len(noise) > self.k + 1 else range(len(noise))
-        for j in best:
-            if noise[j] > -np.inf:
-                own = since + int(j)
-                heapq.heappush(self.heap, (-float(noise[j]), at, own, [*(banned if own == since else ()), int(branches[own])]))
-
     def next_tail(self) -> bool:
         """Choose the next path's branch where it leaves an emitted one; what follows is to be drawn."""
         if not self.heap:
             return False
         noise, at, own, banned = heapq.heappop(self.heap)
-        branches, of = self.paths[at]
+        branches, before_of, base, counts = self.paths[at]
+        of = np.append(before_of, np.repeat(np.arange(min(len(counts), own + 1)) + base, counts[: own + 1]))[: own + 1]
         lattices = self.lattices
         s = int(lattices.step_of(branches[own]))
         options = [b for b in range(int(lattices.first[s]), int(lattices.first[s] + lattices.size[s])) if b not in banned]
         weight = np.exp(lattices.logp[options])
-        u = self._number(2 * len(self.paths) + 4)
+        u = _number(self.key, 2 * len(self.paths) + 4)
         pick = options[min(int(np.searchsorted(np.cumsum(weight) / weight.sum(), u, "right")), len(options) - 1)]
         follow, word = int(lattices.next[pick]), int(of[own])
-        self.start = (np.append(branches[:own], pick), of[: own + 1], -noise, banned, own)
+        self.start = (np.append(branches[:own], pick), of, -noise, banned, own)
         self.base = word if follow >= 0 else word + 1
         self.tail = np.append(follow, self.codes[word + 1 :]) if follow >= 0 else self.codes[word + 1 :]
         return True
 
-    def results(self) -> list[tuple[np.ndarray, float, float]]:
-        """(ids, log-probability, log-probability of inclusion) of the paths."""
-        limit = -self.heap[0][0] if self.heap else -np.inf  # the noise of the path after the last
-        out = []
-        for branches, _ in self.paths:
-            logp = float(self.lattices.logp[branches].sum())
-            n = self.lattices.n[branches]
-            if (n == 1).all():
-                ids = self.lattices.ids[self.lattices.at[branches]]
-            else:
-                run, place = segments(n)
-                ids = self.lattices.ids[self.lattices.at[branches][run] + place]
-            out.append((ids, logp, 0.0 if limit == -np.inf else _log_included(logp - limit)))
-        return out
+
+def _emit(lattices: Lattices, searches: list[_Search], branches: np.ndarray, counts: np.ndarray, sizes: np.ndarray, k: int) -> None:
+    """Each search takes the path that ends with its drawn tail, and gets the ways to leave it."""
+    word_ends = np.cumsum(sizes)
+    ends = np.append(0, np.cumsum(counts))[np.append(0, word_ends)]
+    paths = [branches[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    if len(searches[0].paths):
+        paths = [np.concatenate([x.start[0], own]) for x, own in zip(searches, paths)]
+        branches = np.concatenate(paths)
+    for x, own, a, b in zip(searches, paths, (word_ends - sizes).tolist(), word_ends.tolist()):
+        x.paths.append((own, x.start[1], x.base, counts[a:b]))
+    lengths = np.fromiter(map(len, paths), np.int64, len(paths))
+    starts = np.cumsum(lengths) - lengths
+    logp = lattices.logp[branches]
+    before = np.empty_like(logp)
+    for a, b in zip(starts.tolist(), (starts + lengths).tolist()):  # apart, so that rounding does not depend on the other texts
+        np.cumsum(logp[a:b], out=before[a:b])
+    before -= logp
+    likely = np.append(0, np.cumsum(before >= _FAINT))
+    since = np.fromiter((x.start[4] for x in searches), np.int64, len(searches))
+    width = np.maximum(np.minimum(lengths, np.maximum(likely[starts + lengths] - likely[starts] + 1, since + 64)) - since, 0)
+    of, place = segments(width)
+    at = (starts + since)[of] + place
+    rest, left = -np.expm1(logp[at]), lattices.size[lattices.step_of(branches[at])] - 1  # what the steps did not choose
+    heads = np.cumsum(width) - width
+    for x, head, n in zip(searches, heads.tolist(), width.tolist()):
+        if n and x.start[3]:
+            rest[head] -= np.exp(lattices.logp[np.array(x.start[3])]).sum()
+            left[head] -= len(x.start[3])
+    phi = before[at] + np.log(np.maximum(rest, 1e-300))
+    phi[left <= 0] = -np.inf
+    keys = np.array([x.key for x in searches], np.uint64) + np.uint64(2 * len(searches[0].paths) + 1)
+    bound = np.array([x.start[2] for x in searches])
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        noise = phi - np.log(np.exp(phi - bound[of]) - np.log(_uniform(_mixed(keys)[of], place)))
+    noise[np.isneginf(phi)] = -np.inf
+    for x, own, head, n in zip(searches, paths, heads.tolist(), width.tolist()):
+        found = noise[head : head + n]
+        best = np.argpartition(-found, k)[: k + 1].tolist() if n > k + 1 else range(n)
+        _, _, _, banned, first = x.start
+        for j in best:
+            value = float(found[j])
+            if value > -np.inf:
+                heapq.heappush(x.heap, (-value, len(x.paths) - 1, first + j, [*(() if j else banned), int(own[first + j])]))
+
+
+def _results(lattices: Lattices, searches: list[_Search]) -> list[list[tuple[np.ndarray, float, float]]]:
+    """For each search (ids, log-probability, log-probability of inclusion) of its paths."""
+    paths = [path[0] for x in searches for path in x.paths]
+    if not paths:
+        return [[] for _ in searches]
+    branches = np.concatenate(paths)
+    n = lattices.n[branches].astype(np.int64)
+    run, place = segments(n)
+    ids = lattices.ids[lattices.at[branches][run] + place]
+    id_ends = np.append(0, np.cumsum(n))
+    logp, out, at, a = lattices.logp[branches], [], 0, 0
+    for x in searches:
+        limit = -x.heap[0][0] if x.heap else -np.inf  # the noise of the path after the last
+        own = []
+        for path in x.paths:
+            b = a + len(path[0])
+            total = float(logp[a:b].sum())
+            to = int(id_ends[b])
+            own.append((ids[at:to], total, 0.0 if limit == -np.inf else _log_included(total - limit)))
+            a, at = b, to
+        out.append(own)
+    return out
 
 
 def sample(lattices: Lattices, texts: list[np.ndarray], keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text (the first steps of its words) at most ``k`` distinct segmentations by falling perturbed log-probability."""
-    searches = [_Search(lattices, codes, key, k) for codes, key in zip(texts, keys)]
+    searches = [_Search(lattices, codes, key) for codes, key in zip(texts, keys)]
     active = searches
     for turn in range(k):
         if turn:
@@ -360,13 +396,8 @@ def sample(lattices: Lattices, texts: list[np.ndarray], keys: list[int], k: int)
         own_keys = _mixed(np.array([x.key for x in active], np.uint64) + np.uint64((turn + 1) << 40))
         streams = _mixed(own_keys[of] + (place + np.array([x.base for x in active])[of]).astype(np.uint64))
         branches, counts = lattices.draw(np.concatenate([x.tail for x in active]), streams)
-        words, taken = 0, 0
-        for x, n in zip(active, sizes.tolist()):
-            own = counts[words : words + n]
-            m = int(own.sum())
-            x.emit(branches[taken : taken + m], own)
-            words, taken = words + n, taken + m
-    return [x.results() for x in searches]
+        _emit(lattices, active, branches, counts, sizes, k)
+    return _results(lattices, searches)
 
 
 def _log_included(x: float) -> float:

@@ -242,3 +242,14 @@ def test_paths_are_spelled_together(lattices):
     told = [pieces.decode(lattices, ids) == x.replace("▁", " ") for x, own in zip(moved, paths) for ids in own]
     assert pieces.faithful(lattices, moved, paths) == told and not any(told)
     assert pieces.faithful(lattices, [], []) == []
+
+
+def test_new_words_are_learned_a_slice_at_a_time(monkeypatch):
+    sizes, learn = [], pieces.Lattices.learn
+    monkeypatch.setattr(pieces.Lattices, "learn", lambda self, new: (sizes.append(sum(map(len, new))), learn(self, new))[1])
+    own = pieces.Lattices(MODEL)
+    rng = random.Random(5)
+    units = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 12))) for _ in range(20_000)] + ["z" * 50_000]
+    codes = own.codes(units)
+    assert max(sizes) <= 50_000 and sorted(sizes)[-2] <= 1 << 15  # 100,000 characters or more at once before
+    assert [own.steps[w] for w in units] == codes.tolist()
