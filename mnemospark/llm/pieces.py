@@ -44,7 +44,7 @@ SPACE = "▁"
 _FINE = re.compile(rf"{SPACE}*[^\W\d_²³¹]+|{SPACE}*(?:[^\w{SPACE}\n]|[\d_²³¹])+|{SPACE}+|\n")
 _COARSE = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 #: Bytes of words and branches that a worker remembers; it starts anew beyond them.
-REMEMBERED = 64 << 20
+REMEMBERED = 96 << 20
 #: Characters of new words whose lattices are worked out at a time; a longer word is worked out whole.
 LEARNED = 1 << 15
 #: What a remembered word takes beside its characters: its entry in a dict, and the string.
@@ -122,6 +122,8 @@ class Lattices:
         self.begun = hashes[order]
         if len(begun) > 1 and (self.begun[1:] == self.begun[:-1]).any():
             raise ValueError("two beginnings of pieces share a hash")
+        # where to begin in them: the first whose upper bits are not smaller
+        self.slots = np.searchsorted(self.begun, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)).astype(np.int32)
         self.ending = np.array([self.pieces.get(p, (-1,))[0] for p in begun], np.int64)[order]
         self.piece_logp = np.zeros(n)
         for i, logp in self.pieces.values():
@@ -138,6 +140,17 @@ class Lattices:
     def nbytes(self) -> int:
         return self.word_bytes + sum(x.nbytes for x in self.kept.values())
 
+    def _place(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash among those of the beginnings of pieces, or of its successor there."""
+        last = len(self.begun) - 1
+        found = np.minimum(self.slots[hashes >> np.uint64(48)], last)
+        open_ = np.flatnonzero(self.begun[found] < hashes)
+        while len(open_):
+            open_ = open_[found[open_] < last]
+            found[open_] += 1
+            open_ = open_[self.begun[found[open_]] < hashes[open_]]
+        return found
+
     def _edges(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, length, piece) of all pieces in the words; ``ends`` has the end of each position's word."""
         alive, hashes = np.arange(len(points)), np.zeros(len(points), np.uint64)
@@ -148,7 +161,7 @@ class Lattices:
             if not len(alive):
                 break
             hashes = _longer(hashes, points[alive + n - 1])
-            found = np.minimum(np.searchsorted(self.begun, hashes), len(self.begun) - 1)
+            found = self._place(hashes)
             known = self.begun[found] == hashes
             alive, hashes, found = alive[known], hashes[known], self.ending[found[known]]
             whole = found >= 0
@@ -160,7 +173,7 @@ class Lattices:
             single[source[0]] = True
         missing = np.flatnonzero(~single)  # characters without a piece: their bytes
         source, length, piece = (np.concatenate([*x, y]) for x, y in ((source, missing), (length, np.ones(len(missing), np.int64)), (piece, np.full(len(missing), -1))))
-        order = np.lexsort((-length, source))
+        order = np.argsort(source * (self.longest + 2) - length)
         return source[order], length[order], piece[order]
 
     def learn(self, new: list[str]) -> None:
