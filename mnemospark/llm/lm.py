@@ -97,24 +97,38 @@ def _start(tokens: int, reach: int, size: int, seed: int = 42) -> tuple[np.ndarr
     return small(2 * reach, tokens + 1, size), np.zeros(size, np.float32), small(size, classes), np.zeros(classes, np.float32), small(classes, size, inside), free
 
 
-def _tokens(texts: list[bytes], known: dict[bytes, int], words: int, rare: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Token numbers of all texts, ``reach`` pads around each, and how many words each text has."""
-    get, parts, counts = known.get, [], []
-    pad = [words + rare] * reach
+class _Codes(dict):
+    """Token numbers by word; those of words outside the vocabulary are hashed as they are asked for."""
+
+    def __init__(self, vocabulary_: tuple[bytes, ...], rare: int) -> None:
+        super().__init__((w, i) for i, w in enumerate(vocabulary_))
+        self.words, self.rare = len(vocabulary_), rare
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = self.words + zlib.crc32(word) % self.rare
+        return code
+
+    def shrink(self) -> None:
+        """Forget the words outside the vocabulary where there are too many."""
+        if len(self) > 600_000:
+            for k in [k for k, v in self.items() if v >= self.words]:
+                del self[k]
+
+
+def _tokens(texts: list[bytes], known: _Codes, reach: int, others: list[Counter] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers of all texts, ``reach`` pads around each, and how many words each text has; ``others`` gets the counts of its other words."""
+    words = known.words
+    parts, counts = [], []
+    pad = np.full(reach, words + known.rare, np.int16)
     for x in texts:
-        own = []
-        for w in x.lower().split():
-            code = get(w)
-            if code is None:
-                if len(known) > 600_000:
-                    for k in [k for k, v in known.items() if v >= words]:
-                        del known[k]
-                code = known[w] = words + zlib.crc32(w) % rare
-            own.append(code)
+        known.shrink()
+        split = x.lower().split()
+        own = np.fromiter(map(known.__getitem__, split), np.int16, len(split))
+        if others is not None:
+            others.append(Counter([split[i] for i in np.flatnonzero(own >= words).tolist()]))
         counts.append(len(own))
-        parts += pad
-        parts += own
-    return np.array(parts + pad, np.int16), np.array(counts, np.int64)
+        parts += (pad, own)
+    return np.concatenate([*parts, pad]), np.array(counts, np.int64)
 
 
 def _positions(counts: np.ndarray, reach: int) -> np.ndarray:
@@ -134,56 +148,70 @@ def _hidden(weights, tokens, at, reach):
     return np.tanh(total, out=total), context
 
 
-def _log_softmax(x):
-    x -= x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """The probabilities in each column, in place."""
+    x -= x.max(0)
+    np.exp(x, out=x)
+    x /= x.sum(0)
+    return x
+
+
+def _log_chosen(x: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """The log-probability of the ``goal`` row of each column; changes ``x``."""
+    x -= x.max(0)
+    chosen = x[goal, np.arange(x.shape[1])]
+    return chosen - np.log(np.exp(x, out=x).sum(0))
+
+
+def _by_class(group: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of the words by class, and (class, begin, end) of each class that has some."""
+    order = np.argsort(group, kind="stable")
+    cuts = np.searchsorted(group[order], np.arange(classes + 1)).tolist()
+    return order, [(c, a, b) for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
 
 
 def _scores(weights, tokens, at, reach):
     """The log-probability of each word at ``at``."""
     _, _, to_class, class_bias, to_word, word_bias = weights
     hidden, _ = _hidden(weights, tokens, at, reach)
-    inside = word_bias.shape[1]
-    goal = tokens[at]
-    group, place = np.divmod(goal, np.int16(inside))
-    out = _log_softmax(hidden @ to_class + class_bias)[np.arange(len(at)), group]
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(len(to_word) + 1))
-    for c in np.flatnonzero(np.diff(cuts)).tolist():
-        own = order[cuts[c] : cuts[c + 1]]
-        out[own] += _log_softmax(hidden[own] @ to_word[c] + word_bias[c])[np.arange(len(own)), place[own]]
+    group, place = np.divmod(tokens[at], np.int16(word_bias.shape[1]))
+    order, runs = _by_class(group, len(to_word))
+    out = _log_chosen(to_class.T @ hidden.T + class_bias[:, None], group)
+    hidden, place, inner = hidden[order], place[order], np.empty_like(out)
+    for c, a, b in runs:
+        inner[a:b] = _log_chosen(to_word[c].T @ hidden[a:b].T + word_bias[c][:, None], place[a:b])
+    out[order] += inner
     return out
 
 
 def _gradient(weights, tokens, at, reach):
     _, _, to_class, class_bias, to_word, word_bias = weights
     hidden, context = _hidden(weights, tokens, at, reach)
-    n, inside = len(at), word_bias.shape[1]
-    goal = tokens[at]
-    group, place = np.divmod(goal, np.int16(inside))
-    miss = np.exp(_log_softmax(hidden @ to_class + class_bias))
-    miss[np.arange(n), group] -= 1
+    n = len(at)
+    group, place = np.divmod(tokens[at], np.int16(word_bias.shape[1]))
+    miss = _softmax(to_class.T @ hidden.T + class_bias[:, None])
+    miss[group, np.arange(n)] -= 1
     miss /= n
-    g_class, g_class_bias = hidden.T @ miss, miss.sum(0)
-    g_hidden = miss @ to_class.T
+    g_class, g_class_bias = (miss @ hidden).T, miss.sum(1)
+    g_hidden = (to_class @ miss).T
     g_word, g_word_bias = np.zeros_like(to_word), np.zeros_like(word_bias)
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(len(to_word) + 1))
-    for c in np.flatnonzero(np.diff(cuts)).tolist():
-        own = order[cuts[c] : cuts[c + 1]]
-        h = hidden[own]
-        miss = np.exp(_log_softmax(h @ to_word[c] + word_bias[c]))
-        miss[np.arange(len(own)), place[own]] -= 1
+    order, runs = _by_class(group, len(to_word))
+    sorted_hidden, place, inner = hidden[order], place[order], np.empty_like(hidden)
+    for c, a, b in runs:
+        h = sorted_hidden[a:b]
+        miss = _softmax(to_word[c].T @ h.T + word_bias[c][:, None])
+        miss[place[a:b], np.arange(b - a)] -= 1
         miss /= n
-        g_word[c], g_word_bias[c] = h.T @ miss, miss.sum(0)
-        g_hidden[own] += miss @ to_word[c].T
+        g_word[c], g_word_bias[c] = (miss @ h).T, miss.sum(1)
+        inner[a:b] = (to_word[c] @ miss).T
+    g_hidden = np.ascontiguousarray(g_hidden)
+    g_hidden[order] += inner
     g_hidden *= 1 - hidden * hidden
     g_embed = np.zeros_like(weights[0])
+    by_size = g_hidden.T.astype(np.float64)
     for p, own in enumerate(context):
-        by = np.argsort(own, kind="stable")
-        sorted_ = own[by]
-        head = np.flatnonzero(np.diff(sorted_, prepend=-1))
-        g_embed[p][sorted_[head]] = np.add.reduceat(g_hidden[by], head, axis=0)
+        for d, values in enumerate(by_size):
+            g_embed[p, :, d] = np.bincount(own, values, minlength=g_embed.shape[1])
     return g_embed, g_hidden.sum(0), g_class, g_class_bias, g_word, g_word_bias
 
 
@@ -212,12 +240,12 @@ def fit_window_model(docs: DataFrame, words: int | None = None, rare: int = 128,
 
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vocabulary_, begin = ship.value
-            known = {w: i for i, w in enumerate(vocabulary_)}
+            known = _Codes(vocabulary_, rare)
             own = tuple(w.copy() for w in begin)
             squares = tuple(np.zeros_like(w) for w in begin)
             trained = 0
             for block in blocks(batches, "text", 2 << 20):
-                tokens, counts = _tokens(block.column("text").cast(pa.binary()).fill_null(b"").to_pylist(), known, n_words, rare, reach)
+                tokens, counts = _tokens(block.column("text").cast(pa.binary()).fill_null(b"").to_pylist(), known, reach)
                 at = np.random.default_rng(trained).permutation(_positions(counts, reach))
                 for i in range(0, len(at), BATCH):
                     _learn(own, squares, tokens, at[i : i + BATCH], reach, rate)
@@ -260,13 +288,14 @@ def score_documents(docs: DataFrame, model: WindowModel, text: str = "text", kee
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, rare, reach, weights = ship.value
-        known = worker_cache(f"lm_{hash(words)}")
-        if not known:
-            known.update({w: i for i, w in enumerate(words)})
+        held = worker_cache(f"lm_{hash((words, rare))}")
+        known = held.setdefault("codes", None)
+        if known is None:
+            known = held["codes"] = _Codes(words, rare)
         for block in blocks(batches, "__text", 2 << 20):
             texts = block.column("__text").cast(pa.binary()).fill_null(b"").to_pylist()
-            tokens, counts = _tokens(texts, known, len(words), rare, reach)
-            others = [Counter(w for w in x.lower().split() if known.get(w, len(words)) >= len(words)) for x in texts]
+            others: list[Counter] = []
+            tokens, counts = _tokens(texts, known, reach, others)
             ends = pa.array(np.cumsum([0, *map(len, others)]), pa.int32())
             hashes = np.array([xxhash.xxh64_intdigest(w, 42) for x in others for w in x], np.uint64).view(np.int64)
             often = np.array([n for x in others for n in x.values()], np.int32)

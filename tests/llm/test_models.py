@@ -253,3 +253,29 @@ def test_new_words_are_learned_a_slice_at_a_time(monkeypatch):
     codes = own.codes(units)
     assert max(sizes) <= 50_000 and sorted(sizes)[-2] <= 1 << 15  # 100,000 characters or more at once before
     assert [own.steps[w] for w in units] == codes.tolist()
+
+
+def test_words_are_numbered_and_counted_in_one_pass():
+    texts = [b"A b zz zz b", b"", b"yy a zz"]
+    others: list = []
+    tokens, counts = lm._tokens(texts, lm._Codes((b"a", b"b"), 4), 1, others)
+    code = {b"a": 0, b"b": 1, b"zz": 2 + zlib.crc32(b"zz") % 4, b"yy": 2 + zlib.crc32(b"yy") % 4}
+    want = [[6] + [code[w] for w in x.lower().split()] for x in texts]
+    assert tokens.tolist() == sum(want, []) + [6] and counts.tolist() == [5, 0, 3]
+    assert others == [{b"zz": 2}, {}, {b"yy": 1, b"zz": 1}]
+
+
+def test_gradient_is_the_slope_of_the_scores():
+    weights = tuple(w.astype(np.float64) for w in lm._start(12, 2, 3))
+    tokens = np.array([12, 12, 1, 5, 5, 0, 11, 3, 12, 12], np.int16)
+    at = np.arange(2, 8)
+    found = lm._gradient(weights, tokens, at, 2)
+    for w, g in zip(weights[:-1], found):
+        for i in range(0, w.size, 5):
+            own, held = w.reshape(-1), w.reshape(-1)[i]
+            own[i] = held + 1e-5
+            up = -lm._scores(weights, tokens, at, 2).mean()
+            own[i] = held - 1e-5
+            down = -lm._scores(weights, tokens, at, 2).mean()
+            own[i] = held
+            assert abs((up - down) / 2e-5 - g.reshape(-1)[i]) < 1e-6
