@@ -6,7 +6,7 @@ The index is a log of segments (:mod:`mnemospark.sources.segments`) with three r
   finds what it retracts, and from which a merge makes the postings;
 * ``terms``: the dictionary, ``term, df``; a segment holds the difference it makes, so that
   sums over the live segments are the document frequencies of the live documents;
-* ``blocks``: the postings of a term, best impact first, in blocks of at most ``block`` entries
+* ``blocks``: the postings of a term, best impact first, in blocks of at most ``block`` entries, as bytes,
   with the highest ``tf`` and the lowest ``doc_len`` in it. Whatever the mean length has
   become, no entry of a block weighs more than those two would together.
 
@@ -18,7 +18,7 @@ read. Queries that exclude words or ask for phrases read all blocks of their ter
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -28,7 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemospark.operators.index import DOCUMENT_FIELDS, count_terms, tokenized
+from mnemospark.functions.text import FOLD_FROM, FOLD_TO
+from mnemospark.operators.index import DOCUMENT_FIELDS, count_terms
 from mnemospark.operators.retrieval import B, IDF_FLOOR, K1, QuerySet, bm25_search, impact
 from mnemospark.session import BROADCAST_ROWS, cut_lineage
 from mnemospark.sources.segments import RowSet, Segment, SegmentLog
@@ -38,8 +39,12 @@ BLOCK = 1024
 #: Bytes of text whose postings a task counts at a time, and the postings of a term that are put in order at a time.
 CHUNK = 16 << 20
 RUN = 1 << 18
-_PIECES = "term string, gaps array<long>, tfs array<int>, lens array<int>"
-_BLOCKS = "bucket int, term string, block int, n int, max_tf long, min_len long, ids array<long>, tfs array<long>, lens array<long>"
+_TEXTS = "id long, doc_len long, words string"
+_PIECES = "term string, n int, data binary"
+_BLOCKS = "bucket int, term string, block int, n int, max_tf long, min_len long, data binary"
+_ENTRIES = "seq long, term string, id long, tf long, doc_len long"
+#: A space for each byte of ASCII that is neither letter nor digit.
+_SPACED = np.array([b if b > 127 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
 
 
 def bucket_of(term: str, buckets: int = BUCKETS) -> Column:
@@ -52,43 +57,148 @@ def bucket_numbers(spark: SparkSession, words: list[str], buckets: int = BUCKETS
     return sorted({r["b"] for r in rows.select(bucket_of("w", buckets).alias("b")).collect()})
 
 
-def _counted(ids: np.ndarray, lens: np.ndarray, words: pa.Array) -> pa.RecordBatch:
-    """One row per term of some documents: their ids in order, each as the gap to the one before, counts (none if all are one) and lengths."""
+def _texts(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """``id, doc_len, words``: the tokens of all fields, as :func:`~mnemospark.operators.index.tokenized` finds them, joined by spaces.
+
+    A text that is ASCII once folded is cut at bytes, a block of texts at a time; others get their spaces by the pattern first.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column("text").cast(pa.string())
+            if not len(text):
+                continue
+            _, at, data = text.buffers()
+            at = np.frombuffer(at, np.int32)[text.offset : text.offset + len(text) + 1]
+            raw = _SPACED[np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]]
+            at = at - at[0]
+            keep = raw != 32
+            opens = keep.copy()  # the first byte of each word
+            opens[1:] &= ~keep[:-1]
+            heads = at[:-1][at[:-1] < len(raw)]
+            opens[heads] = keep[heads]
+            starts = np.flatnonzero(opens)
+            first = np.searchsorted(starts, at)
+            n = np.diff(first)
+            later = np.ones(len(starts), bool)
+            later[first[:-1][n > 0]] = False
+            keep[starts[later] - 1] = True  # of the bytes between two words the last, a space
+            ends = np.append(0, np.cumsum(keep, dtype=np.int32)).astype(np.int32)[at]
+            words = pa.StringArray.from_buffers(len(text), pa.py_buffer(ends), pa.py_buffer(raw[keep]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n.astype(np.int64)), words], ["id", "doc_len", "words"])
+
+    text = F.col("text")
+    ascii = F.octet_length(text) == F.char_length(text)
+    rows = docs.select(F.col("id").cast("long").alias("id"), F.lower(F.concat_ws(" ", *fields)).alias("text"))
+    rows = rows.select("id", F.when(ascii, text).otherwise(F.translate(text, FOLD_FROM, FOLD_TO)).alias("text"))
+    rows = rows.select("id", F.when(ascii, text).otherwise(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")).alias("text"))
+    return rows.mapInArrow(cut, _TEXTS)
+
+
+def _shorten(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unsigned numbers as bytes of 7 bits each, as many as a number needs, and the number of bytes before each."""
+    sizes = np.ones(len(values), np.int64)
+    for bits in range(7, int(values.max(initial=0)).bit_length(), 7):
+        sizes += values >= np.uint64(1 << bits)
+    at = np.append(0, np.cumsum(sizes))
+    out = np.empty(at[-1], np.uint8)
+    place, rest = at[:-1], values
+    while len(place):
+        more = rest > 127
+        out[place] = (rest & np.uint64(127)).astype(np.uint8) | (more.astype(np.uint8) << 7)
+        place, rest = place[more] + 1, rest[more] >> np.uint64(7)
+    return out, at
+
+
+def _lengthen(data: np.ndarray) -> np.ndarray:
+    """The numbers that :func:`_shorten` has written."""
+    ends = np.flatnonzero(data < 128)
+    starts = np.append(0, ends[:-1] + 1)[: len(ends)]
+    out = (data[starts] & 127).astype(np.uint64)
+    k, more = 1, np.flatnonzero(ends > starts)
+    while len(more):
+        out[more] |= (data[starts[more] + k] & 127).astype(np.uint64) << np.uint64(7 * k)
+        k += 1
+        more = more[ends[more] >= starts[more] + k]
+    return out
+
+
+def _to_bytes(first: np.ndarray, ids: np.ndarray, lens: np.ndarray, tfs: np.ndarray) -> pa.Array:
+    """Postings as bytes, a value for each place in ``first``, at which it starts: the gap to the id before, length and count.
+
+    A gap goes as the next multiple of 2^32 and the rest, as ids often have their parts in either half.
+    """
+    gaps = np.diff(ids, prepend=0)
+    gaps[first] = ids[first]
+    high = (gaps + (1 << 31)) >> 32
+    values = np.empty((len(ids), 4), np.uint64)
+    for i, x in enumerate((high, gaps - (high << 32))):
+        values[:, i] = ((x << 1) ^ (x >> 63)).view(np.uint64)  # small numbers, be they below zero or above
+    values[:, 2], values[:, 3] = lens, tfs
+    data, at = _shorten(values.ravel())
+    at = at[np.append(4 * first, 4 * len(ids))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(data)])
+
+
+def _from_bytes(n: np.ndarray, blobs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``id, doc_len, tf`` of all postings in the values of :func:`_to_bytes`, of which each holds ``n``."""
+    blobs = blobs.cast(pa.binary())
+    _, at, data = blobs.buffers()
+    at = np.frombuffer(at, np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
+    values = _lengthen(np.frombuffer(data, np.uint8)[at[0] : at[-1]]).reshape(-1, 4)
+    high, low = ((x >> np.uint64(1)).view(np.int64) ^ -(x & np.uint64(1)).view(np.int64) for x in (values[:, 0].copy(), values[:, 1].copy()))
+    gaps = (high << 32) + low
+    first = np.cumsum(n) - n
+    sums = np.cumsum(gaps)
+    return sums - np.repeat(sums[first] - gaps[first], n), values[:, 2].astype(np.int64), values[:, 3].astype(np.int64)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where their rows have some ``RUN`` postings."""
+    for batch in batches:
+        if batch.num_rows:
+            runs = np.cumsum(batch.column("n").to_numpy().astype(np.int64)) // RUN
+            edges = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), batch.num_rows]
+            yield from (batch.slice(x, y - x) for x, y in zip(edges, edges[1:]))
+
+
+def _occurrences(words: pa.Array, place: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of some documents, and by word and ``place`` of the document the pairs of both that occur, and how often."""
     lists = pc.split_pattern(words, " ")
     flat = lists.flatten().dictionary_encode()
+    pairs = flat.indices.to_numpy().astype(np.int64) * len(place) + np.repeat(place, pc.list_value_length(lists).to_numpy())
+    pairs.sort()
+    starts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+    return flat.dictionary, *np.divmod(pairs[starts], len(place)), np.diff(np.append(starts, len(pairs)))
+
+
+def _counted(ids: np.ndarray, lens: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+    """One row per term of some documents: how many hold it, and their postings, by rising id."""
     order = np.argsort(ids, kind="stable")
     place = np.empty(len(ids), np.int64)
     place[order] = np.arange(len(ids))
-    pairs = flat.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(place, pc.list_value_length(lists).to_numpy())
-    pairs.sort()
-    starts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
-    term, doc = np.divmod(pairs[starts], len(ids))
-    tfs = np.diff(np.append(starts, len(pairs))).astype(np.int32)
+    names, term, doc, tfs = _occurrences(words, place)
     first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
-    size = np.diff(np.append(first, len(term)))
     doc = order[doc]
-    gaps = np.diff(ids[doc], prepend=0)
-    gaps[first] = ids[doc[first]]
-    several = np.maximum.reduceat(tfs, first) > 1
-    lists = [
-        pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(x))
-        for n, x in ((size, gaps), (np.where(several, size, 0), tfs[np.repeat(several, size)]), (size, lens[doc].astype(np.int32)))
-    ]
-    return pa.RecordBatch.from_arrays([flat.dictionary.take(pa.array(term[first])), *lists], ["term", "gaps", "tfs", "lens"])
+    n = pa.array(np.diff(np.append(first, len(doc))), pa.int32())
+    return pa.RecordBatch.from_arrays([names.take(pa.array(term[first])), n, _to_bytes(first, ids[doc], lens[doc], tfs)], ["term", "n", "data"])
 
 
-def _pieces(docs: DataFrame) -> DataFrame:
-    """``term, gaps, tfs, lens``: the postings of ``docs(id, doc_len, words)``, a row for each term of some megabytes of texts.
+def _lost(ids: np.ndarray, lens: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+    """One row per term of some documents: what their leaving adds to its frequency."""
+    names, term, _, _ = _occurrences(words, np.arange(len(ids)))
+    return pa.RecordBatch.from_arrays([names, pa.array(-np.bincount(term, minlength=len(names)))], ["term", "df"])
 
-    So an exchange carries a term once for many documents.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_chunk(docs: DataFrame, count: Callable[[np.ndarray, np.ndarray, pa.Array], pa.RecordBatch], schema: str) -> DataFrame:
+    """The rows that ``count`` makes of the texts of ``docs(id, doc_len, words)``, some megabytes of them at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def close() -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held).combine_chunks()
-            found = _counted(table.column("id").to_numpy(), table.column("doc_len").to_numpy(), table.column("words").combine_chunks())
+            found = count(table.column("id").to_numpy(), table.column("doc_len").to_numpy(), table.column("words").combine_chunks())
             for at in range(0, found.num_rows, 10_000):
                 yield found.slice(at, 10_000)
 
@@ -102,7 +212,15 @@ def _pieces(docs: DataFrame) -> DataFrame:
         if held:
             yield from close()
 
-    return docs.where("doc_len > 0").select(F.col("id").cast("long").alias("id"), "doc_len", "words").mapInArrow(count, _PIECES)
+    return docs.where("doc_len > 0").select(F.col("id").cast("long").alias("id"), "doc_len", "words").mapInArrow(run, schema)
+
+
+def _pieces(docs: DataFrame) -> DataFrame:
+    """``term, n, data``: the postings of ``docs(id, doc_len, words)``, a row for each term of some megabytes of texts.
+
+    So an exchange carries a term once for many documents, and few bytes for each of them.
+    """
+    return _by_chunk(docs, _counted, _PIECES)
 
 
 def _packed(pieces: DataFrame, buckets: int, block: int = BLOCK, salts: int = 16) -> DataFrame:
@@ -112,56 +230,50 @@ def _packed(pieces: DataFrame, buckets: int, block: int = BLOCK, salts: int = 16
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, number, held, size = None, 0, [], 0
-        out, n_out = [], 0
-
-        def close() -> None:
-            nonlocal number, n_out
-            ids, tfs, lens = (np.concatenate(x) for x in zip(*held))
-            rough = tfs / (tfs + K1 * (1 - B + B * lens / 1000.0))
-            order = np.lexsort((ids, -rough))
-            cuts = np.arange(0, len(ids), block)
-            out.append((own, number, cuts, ids[order], tfs[order].astype(np.int64), lens[order].astype(np.int64)))
-            number, n_out = number + len(cuts), n_out + len(ids)
-
-        def emit() -> pa.RecordBatch:
-            ids, tfs, lens = (np.concatenate([x[i] for x in out]) for i in (3, 4, 5))
-            n = [len(x[2]) for x in out]
-            ends = np.cumsum([len(x[3]) for x in out])
-            cuts = np.concatenate([x[2] + e - len(x[3]) for x, e in zip(out, ends.tolist())])
-            at = pa.array(np.append(cuts, len(ids)), pa.int32())
-            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (ids, tfs, lens)]
-            columns = [pa.array(np.repeat([x[0][0] for x in out], n), pa.int32()), pa.array([x[0][1] for x in out], pa.string()).take(pa.array(np.repeat(np.arange(len(out)), n)))]
-            columns += [pa.array(np.concatenate([x[1] + np.arange(len(x[2])) for x in out]), pa.int32()), pa.array(np.diff(np.append(cuts, len(ids))), pa.int32())]
-            columns += [pa.array(np.maximum.reduceat(tfs, cuts)), pa.array(np.minimum.reduceat(lens, cuts)), *lists]
-            return pa.RecordBatch.from_arrays(columns, ["bucket", "term", "block", "n", "max_tf", "min_len", "ids", "tfs", "lens"])
-
-        for batch in batches:
-            (gaps, at), (tfs, at_tfs), (lens, at_lens) = ((x.values.to_numpy(), x.offsets.to_numpy()) for x in map(batch.column, ("gaps", "tfs", "lens")))
-            for i, key in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("term").to_pylist())):
-                if key != own:
-                    if held:
-                        close()
-                    own, number, held, size = key, 0, [], 0
-                n = at[i + 1] - at[i]
-                counts = tfs[at_tfs[i] : at_tfs[i + 1]]
-                held.append((np.cumsum(gaps[at[i] : at[i + 1]]), counts if len(counts) else np.ones(n, np.int32), lens[at_lens[i] : at_lens[i + 1]]))
-                size += n
-                if size >= RUN:
-                    close()
-                    held, size = [], 0
-                if n_out >= RUN:
-                    yield emit()
-                    out, n_out = [], 0
+        held: list[tuple] = []  # pieces: bucket, term, number of postings; and their postings: id, length, count
+        size, own, number = 0, None, 0  # of the last term that was packed, which may go on, the blocks so far
+
+        def close(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, own, number
+            buckets_, n, ids, lens, tfs = (np.concatenate([x[i] for x in held]) for i in (0, 2, 3, 4, 5))
+            terms = pa.concat_arrays([x[1] for x in held])
+            first = np.flatnonzero(np.append(True, pc.not_equal(terms[1:], terms[:-1]).to_numpy(zero_copy_only=False)))
+            sizes = np.add.reduceat(n, first)
+            held, size = [], 0
+            if not last and sizes[-1] < RUN:  # a term that may go on stays together
+                k, size = first[-1], int(sizes[-1])
+                held = [(buckets_[k:], terms[k:], n[k:], *(x[len(ids) - size :] for x in (ids, lens, tfs)))]
+                first, sizes, ids, lens, tfs = first[:-1], sizes[:-1], *(x[: len(ids) - size] for x in (ids, lens, tfs))
+                if not len(first):
+                    return
+            falling = ((1 - tfs / (tfs + K1 * (1 - B + B * lens / 1000.0))) * (1 << 20)).astype(np.int64)
+            order = np.argsort((np.repeat(np.arange(len(first)), sizes) << 21) | falling, kind="stable")
+            ids, lens, tfs = ids[order], lens[order], tfs[order]
+            several = -(-sizes // block)
+            at = np.arange(several.sum()) - np.repeat(np.cumsum(several) - several, several)  # of each block its number within the term
+            cuts = np.repeat(np.cumsum(sizes) - sizes, several) + at * block
+            ends = np.append(cuts, len(ids))
+            names = terms.take(pa.array(first))
+            at[: several[0]] += number if names[0].as_py() == own else 0
+            own, number = names[-1].as_py(), int(at[-1]) + 1
+            which = np.repeat(np.arange(len(first)), several)
+            columns = [pa.array(buckets_[first[which]], pa.int32()), names.take(pa.array(which)), pa.array(at, pa.int32()), pa.array(np.diff(ends), pa.int32())]
+            columns += [pa.array(np.maximum.reduceat(tfs, cuts)), pa.array(np.minimum.reduceat(lens, cuts)), _to_bytes(cuts, ids, lens, tfs)]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "term", "block", "n", "max_tf", "min_len", "data"])
+
+        for part in _parts(batches):
+            n = part.column("n").to_numpy().astype(np.int64)
+            held.append((part.column("bucket").to_numpy(), part.column("term"), n, *_from_bytes(n, part.column("data"))))
+            size += int(n.sum())
+            if size >= 2 * RUN:
+                yield from close(False)
         if held:
-            close()
-        if out:
-            yield emit()
+            yield from close(True)
 
     spread = max(1, -(-4 * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets))
-    salt = F.when(F.size("gaps") >= block, F.pmod(F.xxhash64(F.get(F.col("gaps"), 0)), F.lit(salts))).otherwise(0)
+    salt = F.when(F.col("n") >= block, F.pmod(F.xxhash64("data"), F.lit(salts))).otherwise(0)
     dealt = pieces.repartition(bucket_of("term", buckets), F.pmod(F.xxhash64("term", salt), F.lit(spread))).withColumn("bucket", bucket_of("term", buckets))
-    return dealt.sortWithinPartitions("bucket", "term").select("bucket", "term", "gaps", "tfs", "lens").mapInArrow(pack, _BLOCKS)
+    return dealt.sortWithinPartitions("bucket", "term").select("bucket", "term", "n", "data").mapInArrow(pack, _BLOCKS)
 
 
 def _least_tf(weight: float) -> int:
@@ -174,8 +286,15 @@ def _least_tf(weight: float) -> int:
 
 def entries(blocks: DataFrame) -> DataFrame:
     """``seq, term, id, tf, doc_len`` of the entries of blocks."""
-    rows = blocks.select("seq", "term", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"), F.col("lens").alias("doc_len"))))
-    return rows.select("seq", "term", "id", "tf", "doc_len")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            n = part.column("n").to_numpy().astype(np.int64)
+            ids, lens, tfs = map(pa.array, _from_bytes(n, part.column("data")))
+            which = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([part.column("seq").take(which), part.column("term").take(which), ids, tfs, lens], ["seq", "term", "id", "tf", "doc_len"])
+
+    return blocks.select("seq", "term", "n", "data").mapInArrow(read, _ENTRIES)
 
 
 def _merge_terms(log: SegmentLog, terms: DataFrame, merged: list[Segment]) -> DataFrame:
@@ -219,7 +338,6 @@ class StoredIndex:
         live = self.log.segments()
         if live and max(s.tag for s in live) >= tag:
             return False
-        words = tokenized(docs, self.fields)
         replaced: list[DataFrame] = []  # ``id, doc_len, seq`` of the documents that the batch replaces
 
         def touched(written) -> DataFrame:
@@ -235,8 +353,8 @@ class StoredIndex:
                 if n:
                     own = replaced[0].select("id", "seq")
                     old = self.log.stored("docs", live).join(F.broadcast(own) if n <= BROADCAST_ROWS else own, ["id", "seq"], "left_semi")
-                    lost = old.select(F.explode(F.array_distinct(F.split("words", " "))).alias("term")).where("term <> ''").groupBy("term").agg((-F.count("*")).alias("df"))
-                    found = found.unionByName(lost.withColumn("bucket", bucket_of("term", self.buckets))).groupBy("bucket", "term").agg(F.sum("df").alias("df")).where("df <> 0")
+                    lost = _by_chunk(old, _lost, "term string, df long").withColumn("bucket", bucket_of("term", self.buckets))
+                    found = found.unionByName(lost).groupBy("bucket", "term").agg(F.sum("df").alias("df")).where("df <> 0")
             return found
 
         def measures(written) -> dict[str, float]:
@@ -246,7 +364,7 @@ class StoredIndex:
 
         done = self.log.append(
             touched, tag, measures,
-            docs=words.select("id", "doc_len", F.array_join(F.concat(*self.fields), " ").alias("words")),
+            docs=_texts(docs, self.fields),
             blocks=lambda written: _pieces(written("docs")),
             terms=terms,
         )
@@ -263,7 +381,10 @@ class StoredIndex:
         return self.spark.createDataFrame([(n, total / n if n else None)], "n_docs long, avg_len double")
 
     def postings(self) -> DataFrame:
-        """``id, term, tf, doc_len`` of all live documents, found and counted a document at a time."""
+        """``id, term, tf, doc_len`` of all live documents: the entries of the blocks where all are alive, else counted a document at a time."""
+        live = self.log.segments()
+        if len(live) == 1:
+            return entries(self.log.stored("blocks", live)).select("id", "term", "tf", "doc_len")
         docs = self.log.read("docs").where("doc_len > 0")
         return count_terms(docs.select("id", "doc_len", F.split("words", " ").alias("words")))
 

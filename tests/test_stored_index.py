@@ -200,3 +200,73 @@ def test_postings_travel_a_row_a_term(make, make_docs, spark, tmp_path):
     for _ in range(2):
         assert rows_of(stored._live(stored.log.stored("blocks")), "id", "term", "tf", "doc_len") == want
         stored.log.compact(full=True)
+
+
+ODD = [
+    "", "   ", None, "-", "Plain ascii, twice: ascii_ASCII 42", "\x00a\tb\x7fc\r\nd", "ends with space ", " É à la crème — naïve ", "ΟΔΟΣ ΣΑΣ", "Straße №5 ½ x²",
+    "a\u0301b e\u0301", "日本語 テスト１２", "\U0001d400\U0001f600\U00020000 z", "İstanbul ŒUVRE", "\u00a0nbsp\u2003em",
+]
+
+
+def test_texts_are_cut_as_tokens_are(make_docs):
+    """Cutting bytes gives what the pattern gives, at the seams of fields and of texts too."""
+    docs = make_docs([(i * len(ODD) + j, x, y) for i, x in enumerate(ODD) for j, y in enumerate(ODD)])
+    want = index.tokenized(docs, FIELDS).select("id", "doc_len", F.array_join(F.concat(*FIELDS), " ").alias("words"))
+    assert rows_of(stored_index._texts(docs, FIELDS), "id", "doc_len", "words") == rows_of(want, "id", "doc_len", "words")
+
+
+def test_postings_keep_any_id():
+    rng = np.random.default_rng(4)
+    ids = np.concatenate([[0, -1, 2**63 - 1, -(2**63), 1 << 32, (1 << 31) - 1, 1 << 31], rng.integers(-(2**63), 2**63 - 1, 500), rng.integers(0, 99, 300) << 32])
+    lens, tfs = rng.integers(1, 1 << 40, len(ids)), rng.integers(1, 300, len(ids))
+    lens[600:] = 60
+    first = np.array([0, 1, 7, 9, 600])
+    blobs = stored_index._to_bytes(first, ids, lens, tfs)
+    got = stored_index._from_bytes(np.diff(np.append(first, len(ids))), blobs)
+    assert all((x == y).all() for x, y in zip(got, (ids, lens, tfs)))
+    part = stored_index._from_bytes(np.array([2, 591]), blobs.slice(2, 2))
+    assert (part[0] == ids[7:600]).all()
+    assert len(blobs[4].as_py()) < 7 * (len(ids) - 600)  # ids of two halves take few bytes
+
+
+@pytest.fixture
+def small_batches(spark):
+    """Sets how many rows a batch that goes to Python has at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    yield lambda rows: spark.conf.set(name, rows)
+    spark.conf.set(name, before)
+
+
+def test_long_terms_are_packed_in_runs(spark, make_docs, monkeypatch, small_batches):
+    """Terms of many more postings than are put in order at a time: every posting once, blocks numbered through."""
+    monkeypatch.setattr(stored_index, "RUN", 20)
+    monkeypatch.setattr(stored_index, "CHUNK", 400)
+    small_batches("10")
+    docs = make_docs(corpus_rows(random.Random(8), 300)).coalesce(1)
+    pieces = stored_index._pieces(stored_index._texts(docs, FIELDS))
+    blocks = stored_index._packed(pieces, 1, 8, salts=1).withColumn("seq", F.lit(1).cast("long")).cache()
+    want = rows_of(index.build_postings(docs, FIELDS), "id", "term", "tf", "doc_len")
+    assert pieces.count() > len({x[1] for x in want})
+    assert rows_of(entries(blocks), "id", "term", "tf", "doc_len") == want
+    seen = {}
+    for r in blocks.collect():
+        assert 0 < r["n"] <= 8
+        seen.setdefault(r["term"], []).append(r["block"])
+    assert max(map(len, seen.values())) > 20 and all(sorted(x) == list(range(len(x))) for x in seen.values())
+    for r in entries(blocks.select("seq", F.concat_ws("/", "term", "block", "max_tf", "min_len").alias("term"), "n", "data")).collect():
+        _, _, max_tf, min_len = r["term"].split("/")
+        assert r["tf"] <= int(max_tf) and r["doc_len"] >= int(min_len)
+
+
+def test_a_merged_index_reads_its_postings(make, make_docs, spark, tmp_path):
+    """After a merge the postings come from the blocks; no text is read and counted again."""
+    docs = make_docs(corpus_rows(random.Random(6), 100))
+    stored = StoredIndex(spark, str(tmp_path / "ix"), FIELDS, block=8, buckets=4)
+    stored.apply(docs.withColumn("body", F.upper("title")), tag=0, compact=False)
+    stored.apply(docs.where("id < 90"), make("id long", [(i,) for i in range(95, 100)]), tag=1, compact=False)
+    stored.log.compact(full=True)
+    found = stored.postings()
+    assert all("/blocks/" in x for x in found.inputFiles())
+    left = docs.where("id < 95").withColumn("body", F.when(F.col("id") < 90, F.col("body")).otherwise(F.upper("title")))
+    assert rows_of(found, "id", "term", "tf", "doc_len") == rows_of(index.build_postings(left, FIELDS), "id", "term", "tf", "doc_len")
