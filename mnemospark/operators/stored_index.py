@@ -97,16 +97,21 @@ def _texts(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 
 def _shorten(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unsigned numbers as bytes of 7 bits each, as many as a number needs, and the number of bytes before each."""
-    sizes = np.ones(len(values), np.int64)
-    for bits in range(7, int(values.max(initial=0)).bit_length(), 7):
-        sizes += values >= np.uint64(1 << bits)
-    at = np.append(0, np.cumsum(sizes))
+    long = np.flatnonzero(values > 127)
+    sizes, which, rest = np.ones(len(values), np.uint8), long, values[long]
+    while len(which):
+        sizes[which] += 1
+        rest = rest >> np.uint64(7)
+        which, rest = which[rest > 127], rest[rest > 127]
+    at = np.append(0, np.cumsum(sizes, dtype=np.int64))
     out = np.empty(at[-1], np.uint8)
-    place, rest = at[:-1], values
+    out[at[:-1]] = values.astype(np.uint8) & 127
+    place, rest = at[long], values[long]
     while len(place):
-        more = rest > 127
-        out[place] = (rest & np.uint64(127)).astype(np.uint8) | (more.astype(np.uint8) << 7)
-        place, rest = place[more] + 1, rest[more] >> np.uint64(7)
+        out[place] |= 128  # another byte follows
+        place, rest = place + 1, rest >> np.uint64(7)
+        out[place] = rest.astype(np.uint8) & 127
+        place, rest = place[rest > 127], rest[rest > 127]
     return out, at
 
 
@@ -273,7 +278,7 @@ def _packed(pieces: DataFrame, buckets: int, block: int = BLOCK, salts: int = 16
     spread = max(1, -(-4 * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets))
     salt = F.when(F.col("n") >= block, F.pmod(F.xxhash64("data"), F.lit(salts))).otherwise(0)
     dealt = pieces.repartition(bucket_of("term", buckets), F.pmod(F.xxhash64("term", salt), F.lit(spread))).withColumn("bucket", bucket_of("term", buckets))
-    return dealt.sortWithinPartitions("bucket", "term").select("bucket", "term", "n", "data").mapInArrow(pack, _BLOCKS)
+    return dealt.sortWithinPartitions("term").select("bucket", "term", "n", "data").mapInArrow(pack, _BLOCKS)
 
 
 def _least_tf(weight: float) -> int:
@@ -339,10 +344,13 @@ class StoredIndex:
         if live and max(s.tag for s in live) >= tag:
             return False
         replaced: list[DataFrame] = []  # ``id, doc_len, seq`` of the documents that the batch replaces
+        ids: list[DataFrame] = []
 
         def touched(written) -> DataFrame:
-            ids = written("docs").select("id")
-            return ids if deleted is None else ids.unionByName(deleted.select("id")).distinct()
+            if not ids:  # what is deleted is read once
+                new = written("docs").select("id")
+                ids.append(new if deleted is None else cut_lineage(new.unionByName(deleted.select("id")).distinct()))
+            return ids[0]
 
         def terms(written) -> DataFrame:
             found = written("blocks").groupBy("bucket", "term").agg(F.sum("n").alias("df"))

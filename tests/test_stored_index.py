@@ -270,3 +270,20 @@ def test_a_merged_index_reads_its_postings(make, make_docs, spark, tmp_path):
     assert all("/blocks/" in x for x in found.inputFiles())
     left = docs.where("id < 95").withColumn("body", F.when(F.col("id") < 90, F.col("body")).otherwise(F.upper("title")))
     assert rows_of(found, "id", "term", "tf", "doc_len") == rows_of(index.build_postings(left, FIELDS), "id", "term", "tf", "doc_len")
+
+
+def test_deleted_ids_are_read_once(make, make_docs, spark, tmp_path):
+    """What is to be deleted may be costly to find; a batch looks once."""
+    stored = StoredIndex(spark, str(tmp_path / "ix"), FIELDS, block=8, buckets=4)
+    stored.apply(make_docs(corpus_rows(random.Random(6), 20)))
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    gone = make("id long", [(i,) for i in range(5)]).mapInArrow(seen, "id long")
+    stored.apply(make_docs([(50, "a", "b")]), gone, tag=1, compact=False)
+    assert read.value == 5
+    assert stored.stats().first()["n_docs"] == 16
